@@ -14,7 +14,9 @@ replaced.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -102,23 +104,24 @@ def fit(
         return ToxicityModel(float(np.log(prior / (1 - prior))))
     lengths = rows["features"].map(len).to_numpy()
     doc = np.repeat(np.arange(n), lengths)
-    names, code = np.unique(np.concatenate([np.asarray(f, dtype=object) for f in rows["features"]]).astype(str), return_inverse=True) if lengths.sum() else (np.array([], dtype=str), np.array([], dtype=int))
+    number: dict[str, int] = defaultdict(count().__next__)
+    code = np.fromiter(map(number.__getitem__, chain.from_iterable(rows["features"])), dtype=np.int64, count=int(lengths.sum()))
+    names = sorted(number)  # in an order that does not depend on the order of the rows
+    place = np.empty(len(names), dtype=np.int64)
+    place[[number[f] for f in names]] = np.arange(len(names))
+    code = place[code]
     both = np.bincount(code, minlength=len(names)).astype(float)
     toxic = np.bincount(code, weights=y[doc], minlength=len(names))
     expected = both * pos / n
     chi2 = (toxic - expected) ** 2 / np.maximum(expected * (1 - pos / n), 1e-9)
     chi2[both < min_df] = -1
-    touched = {f for pairs in [*rows["lost"], *rows["gained"]] for f in np.concatenate([np.asarray(p, dtype=object) for p in pairs])} if any(map(len, rows["lost"])) else set()
+    touched = {f for pairs in (*rows["lost"], *rows["gained"]) for changed in pairs for f in changed}
     keep = [int(i) for i in np.argsort(-chi2, kind="stable")[:max_features] if chi2[i] >= 0]
-    index = {str(names[i]): k for k, i in enumerate(keep)}
+    index = {names[i]: k for k, i in enumerate(keep)}
     for f in sorted(touched):
         index.setdefault(f, len(index))
     m = len(index)
-    to = np.full(len(names), -1)
-    for name, k in index.items():
-        at = np.searchsorted(names, name)
-        if at < len(names) and names[at] == name:
-            to[at] = k
+    to = np.fromiter((index.get(f, -1) for f in names), dtype=np.int64, count=len(names))
     used = to[code] >= 0
     r, c = doc[used], to[code][used]
     swap_of, swap_col, swap_sign, swaps = [], [], [], 0
