@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "ic_series"
-PLANS = ("factor_plans", "stat_plans")
+PLANS = ("factor_plans", "stat_plans", "relational_plans", "scalar_plans")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
