@@ -14,16 +14,15 @@ replaced.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from dataclasses import dataclass, field
-from itertools import chain, count
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import id_text, read_table
+from ._common import batches_of, id_text, materialize, read_table
 
 #: Groups of terms that are swapped for one another; the last of a group is its neutral term.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
@@ -86,50 +85,34 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-min(max(total, -30.0), 30.0))))
 
 
-def fit(
-    rows: pd.DataFrame,
-    max_features: int = 4096,
-    min_df: int = 8,
-    l2: float = 2e-4,
-    counterfactual: float = 1.0,
-    steps: int = 300,
-) -> ToxicityModel:
-    """Fit on ``rows`` (label, features, lost, gained): logistic loss, an L2 term, and the mean squared change of the
-    score under the swaps times ``counterfactual``. Features: those in ``min_df`` texts with the largest chi-squared,
-    and all that a swap touches."""
+def select_features(sample: DataFrame, max_features: int, min_df: int) -> list[str]:
+    """Features of ``sample`` (label, features, lost, gained) in ``min_df`` texts with the largest chi-squared, and all that a
+    swap touches (these are words of IDENTITY_GROUPS and their prefixes)."""
+    n, pos = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    counts = sample.select("label", F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic"))
+    expected = F.col("n") * F.lit(pos / max(n, 1))
+    chi2 = F.pow(F.col("toxic") - expected, 2) / F.greatest(expected * F.lit(1 - pos / max(n, 1)), F.lit(1e-9))
+    best = counts.where(F.col("n") >= min_df).orderBy(chi2.desc(), "feature").limit(max_features).select("feature")
+    touched = sample.select(F.explode(F.flatten(F.concat("lost", "gained"))).alias("feature")).distinct()
+    return [r["feature"] for r in best.collect()] + sorted(r["feature"] for r in touched.collect())
+
+
+def fit(rows: pd.DataFrame, vocabulary: list[str], l2: float = 2e-4, counterfactual: float = 1.0, steps: int = 300) -> ToxicityModel:
+    """Fit on ``rows`` (label, at, lost, gained; the latter three are places in ``vocabulary``): logistic loss, an L2 term, and
+    the mean squared change of the score under the swaps times ``counterfactual``."""
     y = rows["label"].to_numpy(dtype=float)
-    n, pos = len(y), float(y.sum())
+    n, pos, m = len(y), float(y.sum()), len(vocabulary)
     prior = (pos + 1) / (n + 2)
     if pos in (0, n):
         return ToxicityModel(float(np.log(prior / (1 - prior))))
-    lengths = rows["features"].map(len).to_numpy()
-    doc = np.repeat(np.arange(n), lengths)
-    number: dict[str, int] = defaultdict(count().__next__)
-    code = np.fromiter(map(number.__getitem__, chain.from_iterable(rows["features"])), dtype=np.int64, count=int(lengths.sum()))
-    names = sorted(number)  # in an order that does not depend on the order of the rows
-    place = np.empty(len(names), dtype=np.int64)
-    place[[number[f] for f in names]] = np.arange(len(names))
-    code = place[code]
-    both = np.bincount(code, minlength=len(names)).astype(float)
-    toxic = np.bincount(code, weights=y[doc], minlength=len(names))
-    expected = both * pos / n
-    chi2 = (toxic - expected) ** 2 / np.maximum(expected * (1 - pos / n), 1e-9)
-    chi2[both < min_df] = -1
-    touched = {f for pairs in (*rows["lost"], *rows["gained"]) for changed in pairs for f in changed}
-    keep = [int(i) for i in np.argsort(-chi2, kind="stable")[:max_features] if chi2[i] >= 0]
-    index = {names[i]: k for k, i in enumerate(keep)}
-    for f in sorted(touched):
-        index.setdefault(f, len(index))
-    m = len(index)
-    to = np.fromiter((index.get(f, -1) for f in names), dtype=np.int64, count=len(names))
-    used = to[code] >= 0
-    r, c = doc[used], to[code][used]
+    lengths = rows["at"].map(len).to_numpy()
+    r, c = np.repeat(np.arange(n), lengths), np.fromiter(chain.from_iterable(rows["at"]), dtype=np.int64, count=int(lengths.sum()))
     swap_of, swap_col, swap_sign, swaps = [], [], [], 0
     for lost, gained in zip(rows["lost"], rows["gained"], strict=True):
         for a, b in zip(lost, gained, strict=True):
             for fs, sign in ((a, -1.0), (b, 1.0)):
                 swap_of += [swaps] * len(fs)
-                swap_col += [index[f] for f in fs]
+                swap_col += list(fs)
                 swap_sign += [sign] * len(fs)
             swaps += 1
     so, sc, ss = np.array(swap_of, dtype=int), np.array(swap_col, dtype=int), np.array(swap_sign)
@@ -146,13 +129,13 @@ def fit(
         mw, vw, mb, vb = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         w = w - rate * (mw / (1 - 0.9**t)) / (np.sqrt(vw / (1 - 0.999**t)) + 1e-8)
         b = b - rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return ToxicityModel(float(b), {f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-3})
+    return ToxicityModel(float(b), {f: float(w[k]) for k, f in enumerate(vocabulary) if abs(w[k]) > 1e-3})
 
 
-def train(documents: DataFrame, labels: DataFrame, max_train_rows: int = 8192, **options) -> ToxicityModel:
+def train(documents: DataFrame, labels: DataFrame, max_train_rows: int = 8192, max_features: int = 4096, min_df: int = 8, **options) -> ToxicityModel:
     """Fit on at most ``max_train_rows`` labelled documents (the bound of the sample; those whose hashed ids are least).
 
-    Only the sampled ids are joined to the texts. Features leave the executors, texts do not.
+    Only the sampled ids are joined to the texts. The driver gets the selected features and, for each sampled document, their places.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
@@ -165,8 +148,18 @@ def train(documents: DataFrame, labels: DataFrame, max_train_rows: int = 8192, *
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "features": [sorted(features(t)) for t in texts], "lost": [[a for a, _ in s] for s in swaps], "gained": [[b for _, b in s] for s in swaps]})
 
     rows = joined.mapInPandas(featurise, "doc_id long, label int, features array<string>, lost array<array<string>>, gained array<array<string>>")
-    # Rows that repeat an id count once, so the bound holds for rows too.
-    return fit(rows.dropDuplicates(["doc_id"]).toPandas(), **options)
+    with batches_of(documents.sparkSession, 500):
+        rows = materialize(rows.dropDuplicates(["doc_id"]), "toxicity-sample")  # rows that repeat an id count once
+        vocabulary = list(dict.fromkeys(select_features(rows, max_features, min_df)))
+        place = {f: k for k, f in enumerate(vocabulary)}
+
+        def places(batches):
+            find = lambda fs: [place[f] for f in fs if f in place]
+            for batch in batches:
+                yield pd.DataFrame({"label": batch["label"], "at": list(map(find, batch["features"])), **{c: [list(map(find, s)) for s in batch[c]] for c in ("lost", "gained")}})
+
+        placed = rows.orderBy("doc_id").mapInPandas(places, "label int, at array<int>, lost array<array<int>>, gained array<array<int>>").toPandas()
+    return fit(placed, vocabulary, **options)
 
 
 def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
