@@ -16,14 +16,14 @@ BAR_COLUMNS = ("asset", "t", "open", "high", "low", "close", "volume", "vwap", "
 
 def calendar(spark: SparkSession, path: str) -> DataFrame:
     """(t, idx) from a text file with an ISO date on each line."""
-    days = spark.read.text(path).select(F.to_date(F.trim("value")).alias("t")).where("t is not null").distinct()
+    days = spark.read.text(path).select(F.trim("value").try_cast("date").alias("t")).where("t is not null").distinct()
     return days.withColumn("idx", (F.row_number().over(Window.orderBy("t")) - 1).cast("int"))
 
 
 def membership_file(spark: SparkSession, path: str, universe: str) -> DataFrame:
     """(universe, asset, start, end) from lines of tab-separated code, start, end; open ends are 1900-01-01 and 2999-12-31."""
     parts = F.split("value", "\t")
-    date = lambda i, default: F.coalesce(F.to_date(F.get(parts, F.lit(i))), F.lit(default).cast("date"))
+    date = lambda i, default: F.coalesce(F.get(parts, F.lit(i)).try_cast("date"), F.lit(default).cast("date"))
     rows = spark.read.text(path).where(F.trim("value") != "")
     return rows.select(F.lit(universe).alias("universe"), F.upper(parts[0]).alias("asset"), date(1, "1900-01-01").alias("start"), date(2, "2999-12-31").alias("end"))
 
