@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barlens.functions.columns import guarded_corr
+from barlens.functions.columns import clip, guarded_corr
 
 
 def numbered(panel: DataFrame) -> DataFrame:
@@ -148,14 +148,14 @@ def redundancy(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def stressed(returns: DataFrame, scenarios: list[tuple[str, float, float, int]]) -> DataFrame:
     """(scenario, pnl, worst): (t, r) under (name, shock, volatility multiple, days): the first days are the shock spread over
-    them plus the scaled deviation from the mean."""
+    them plus the scaled deviation from the mean; a day loses at most 95 % and gains at most 100 %."""
     spark = returns.sparkSession
     table = spark.createDataFrame(scenarios, "scenario string, shock double, multiple double, days int")
     k = F.row_number().over(Window.orderBy("t"))
     r = returns.where("r is not null").select("t", "r", k.alias("k"))
     m = r.agg(F.avg("r").alias("m"))
     d = r.crossJoin(F.broadcast(m)).crossJoin(F.broadcast(table)).where("k <= days")
-    x = d.withColumn("x", F.col("shock") / F.col("days") + (F.col("r") - F.col("m")) * F.col("multiple"))
+    x = d.withColumn("x", clip(F.col("shock") / F.col("days") + (F.col("r") - F.col("m")) * F.col("multiple"), -0.95, 1.0))
     return x.groupBy("scenario").agg((F.product(1 + F.col("x")) - 1).alias("pnl"), F.min("x").alias("worst"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barlens.functions.columns import quantised
 from barlens.operators import backtest, expression, factors, portfolio, stats
-from barlens.plans.stat_plans import _BARS, _BRAND_R, _IC, _PAIRS, _R, _S, panel, q, quantise, returns
+from barlens.plans.stat_plans import _BARS, _IC, _PAIRS, _R, _S, panel, q, quantise, returns
 from barlens.sources import views
 
 
@@ -219,7 +219,7 @@ ORACLE_SQL = {
     + ", o AS (SELECT asset, t, CASE WHEN v3 IS NOT NULL AND count(v3) OVER (PARTITION BY t) > 1 THEN (row_number() OVER (PARTITION BY t ORDER BY v3 NULLS LAST, asset) - 1)::DOUBLE / (count(v3) OVER (PARTITION BY t) - 1) END AS other FROM a), d AS (SELECT abs(score - lag(score) OVER (PARTITION BY asset ORDER BY t)) AS d FROM s), c AS (SELECT t, CASE WHEN count(x) >= 3 AND stddev_pop(x) > 1e-10 AND stddev_pop(y) > 1e-10 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END AS c FROM (SELECT t, CASE WHEN other IS NOT NULL THEN score END AS x, CASE WHEN score IS NOT NULL THEN other END AS y FROM s JOIN o USING (asset, t)) GROUP BY t) SELECT "
     + q({"turnover": "(SELECT avg(d) FROM d)", "mean": "(SELECT avg(c) FROM c)", "strength": "abs((SELECT avg(c) FROM c))"}),
     "stress_scenarios": _M
-    + ", sc AS (SELECT * FROM (VALUES ('crash', -0.2::DOUBLE, 2.0::DOUBLE, 5), ('grind', -0.1, 1.0, 20), ('rally', 0.1, 1.5, 10)) v(scenario, shock, mult, days)), k AS (SELECT *, row_number() OVER (ORDER BY t) AS k, avg(r) OVER () AS mean FROM m), x AS (SELECT scenario, shock / days + (r - mean) * mult AS x FROM k, sc WHERE k <= days) SELECT scenario, "
+    + ", sc AS (SELECT * FROM (VALUES ('crash', -0.2::DOUBLE, 2.0::DOUBLE, 5), ('grind', -0.1, 1.0, 20), ('rally', 0.1, 1.5, 10)) v(scenario, shock, mult, days)), k AS (SELECT *, row_number() OVER (ORDER BY t) AS k, avg(r) OVER () AS mean FROM m), x AS (SELECT scenario, least(greatest(shock / days + (r - mean) * mult, -0.95::DOUBLE), 1.0) AS x FROM k, sc WHERE k <= days) SELECT scenario, "
     + q({"pnl": "product(1 + x) - 1", "worst": "min(x)"})
     + " FROM x GROUP BY scenario",
     "stress_windows": _M

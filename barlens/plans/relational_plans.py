@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlens.functions.columns import quantised, quantised_sql
-from barlens.operators import expression, factors, relational
+from barlens.functions.columns import quantised
+from barlens.operators import expression, factors, relational, stats
 from barlens.plans.stat_plans import _BARS, _IC, _PAIRS, _S, panel, q, quantise
-from barlens.operators import stats
 from barlens.sources import views
 
 ASOF = "1998-06-01"
