@@ -77,3 +77,29 @@ def limit_blocked(side: Column, price: Column, previous: Column, ratio: Column)
 def bar_fill(requested: Column, bar_volume: Column, blocked: Column, share: float = 0.1) -> Column:
     """Filled quantity: at most a share of the bar's volume, nothing where blocked."""
     return F.when(blocked | (bar_volume <= 0), 0.0).otherwise(F.least(requested, bar_volume * share))
+
+
+def debate(points: dict[str, tuple[Column, Column]]) -> tuple[Column, Column, Column]:
+    """Bull points, bear points and verdict: each topic argues for (first condition) or against (second); a lead of two decides."""
+    count = lambda k: sum((F.coalesce(p[k], F.lit(False)).cast("int") for p in points.values()), F.lit(0))
+    bull, bear = count(0), count(1)
+    return bull, bear, F.when(bull - bear >= 2, "buy").when(bear - bull >= 2, "avoid").otherwise("wait")
+
+
+def private_value(revenue: Column, multiples: Column, liquidity_discount: float = 0.25, control_premium: float = 0.1, low: float = 0.2, high: float = 30.0) -> Column:
+    """Revenue times the median of an array of sales multiples within [low, high], less a discount, plus a premium; null without multiples."""
+    m = F.sort_array(F.filter(multiples, lambda x: x.between(low, high)))
+    n = F.size(m)
+    middle = (F.get(m, F.floor((n - 1) / 2).cast("int")) + F.get(m, F.floor(n / 2).cast("int"))) / 2
+    return F.when(n > 0, revenue * middle * (1 - liquidity_discount) * (1 + control_premium))
+
+
+def retrain_due(ic_recent: Column, ic_before: Column, days_since: Column, max_days: int = 90, decay: float = 0.5) -> Column:
+    """Why a model is due: "age", "decay" of its IC below a share of what it was, "sign" if it turned negative; else null."""
+    return F.when(ic_recent < 0, "sign").when(ic_recent < decay * ic_before, "decay").when(days_since > max_days, "age")
+
+
+def traded_weight(target: Column, current: Column, alpha: Column, cost: float) -> Column:
+    """The new weight: the target where the gain |alpha * change| exceeds the cost of the change, else the current one."""
+    delta = target - current
+    return F.when(F.abs(alpha * delta) > cost * F.abs(delta), target).otherwise(current)
