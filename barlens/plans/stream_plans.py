@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,15 +47,12 @@ def ratio(spark, sf_dir):
 
 def ratio_stream(spark, sf_dir):
     """The same rule with state on a stream of the table, drained once; keyed state, one row out for each order."""
-    import posixpath
-
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     folder, name = posixpath.split(path)
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
     orders = stream.select("user_id", "event_id", (F.col("event_type") == "purchase").alias("filled"))
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/barlens-stream"
-    out = runtime.run_once(runtime.ratio_guard(orders, "user_id", 20, 0.9), "append", "ratio", root)
+    out = runtime.run_once(runtime.ratio_guard(orders, "user_id", 20, 0.9), "append", "ratio", runtime.checkpoint_root(spark))
     return out.select("user_id", "event_id", quantised("share").alias("share"), "tripped")
 
 

@@ -6,6 +6,7 @@ into a table, so that a stream's result can be compared with the batch answer.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -92,6 +93,17 @@ def settled(trades: DataFrame, key: str, day: str, qty: str) -> DataFrame:
     return d.select(key, day, "bought", F.coalesce(before, F.lit(0.0)).alias("sellable"))
 
 
+def checkpoint_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder where that is unset in a local session, an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="barlens-stream-")
+
+
 def run_once(stream: DataFrame, mode: str, name: str, checkpoint: str) -> DataFrame:
     """Drain what is available into a memory table ``name`` and return it; for tests and small results."""
     table = f"{name}_{uuid.uuid4().hex[:8]}"
