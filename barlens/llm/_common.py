@@ -44,6 +44,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """From now on the session's Arrow batches have at most so many rows (a lower setting stays).
+
+    Texts are many times larger than the rows that Spark's default is made for, and each task holds a batch on either side.
+    The setting must hold when the result is computed, after the operator has returned its plan, so it is not taken back.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within: at most so many rows in an Arrow batch, for texts that Python turns into much larger objects."""

@@ -26,10 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read_table
+from ._common import bounded_batches, read_table
 
 #: Before a block, a worker forgets the units and words that it has encoded if it holds more units than this.
-MAX_KNOWN_UNITS = 500_000
+MAX_KNOWN_UNITS = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -278,6 +278,7 @@ def blocks(texts: Iterable[str], max_chars: int = 32_000_000):
 
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` with an array of ids for each text."""
+    bounded_batches(df.sparkSession)
 
     @F.pandas_udf("array<int>")
     def to_ids(texts: pd.Series) -> pd.Series:
@@ -298,6 +299,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_c
 
 def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes within the task, so that ids needn't leave it."""
+    bounded_batches(df.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(texts: pd.Series) -> pd.DataFrame:

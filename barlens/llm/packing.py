@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import read_table
+from ._common import bounded_batches, read_table
 from .bpe import load_ranks, public_vocabulary
 
 LENGTH = 2048
@@ -103,6 +103,7 @@ def pack_block(docs: list[tuple[object, np.ndarray]], length: int, width: str) -
 
 def pack(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The packed matrix of the texts of ``df``, ids in 2 bytes where the vocabulary allows it, else in 4."""
+    bounded_batches(df.sparkSession)
     width = "<u2" if max(load_ranks(path).values()) < 1 << 16 else "<u4"
 
     def blocks(batches: Iterable[pd.DataFrame]) -> Iterator[list[tuple[object, np.ndarray]]]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialize, read_table
+from ._common import bounded_batches, materialize, read_table
 
 KINDS = ("assign", "access", "hex", "random")
 #: The patterns of the base kinds.
@@ -141,6 +141,7 @@ _FOUND = T.StructType(
 
 def find(df: DataFrame, text_col: str = "text", out_col: str = "found", alpha: float = 0.01) -> DataFrame:
     """``df`` with the pattern spans and the tested runs of each whole text."""
+    bounded_batches(df.sparkSession)
 
     @F.pandas_udf(_FOUND)
     def scan_texts(texts: pd.Series) -> pd.DataFrame:

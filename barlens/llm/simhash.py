@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialize, read_table
+from ._common import bounded_batches, materialize, read_table
 from .components import connected_components
 
 SHINGLE = 3
@@ -146,6 +146,7 @@ def group_fingerprints(rows: DataFrame, radius: int = 2) -> DataFrame:
 
 def _with_fingerprints(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The rows with their fingerprint and a number, in shared storage; rows without a doc_id are the last to stand for others."""
+    bounded_batches(docs.sparkSession)
     row = F.struct(*columns).alias("row")
     return materialize(docs.select(row, fingerprint_of("text").alias("fp"), F.monotonically_increasing_id().alias("rid")), "simhash").withColumn(
         "best", F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), F.col("rid").alias("rid"))
