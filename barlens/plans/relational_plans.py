@@ -239,7 +239,7 @@ def histogram(spark, sf_dir):
 
 def weekly(spark, sf_dir):
     e = views.table(spark, sf_dir, "events")
-    return e.groupBy(F.to_date(F.date_trunc("week", "ts")).alias("week"), "event_type").agg(F.count(F.lit(1)).alias("n"), quantised(F.avg("value")).alias("mean"), F.count_distinct("user_id").alias("users"))
+    return e.groupBy(F.to_date(F.date_trunc("week", "ts")).alias("week"), "event_type").agg(F.count(F.lit(1)).alias("n"), quantised(F.sum(F.col("value").cast("decimal(18,4)")).cast("double") / F.count(F.lit(1))).alias("mean"), F.count_distinct("user_id").alias("users"))
 
 
 _EVENTS = (
@@ -377,5 +377,5 @@ ORACLE_SQL = {
     "priority_order": "SELECT CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS priority, event_type, row_number() OVER (PARTITION BY event_type ORDER BY abs(value) DESC, event_id) AS k, event_id, value FROM events QUALIFY k <= 10",
     "decayed_score": "WITH w AS (SELECT user_id, pow(0.5::DOUBLE, (epoch(date_trunc('second', (SELECT max(ts) FROM events))) - epoch(date_trunc('second', ts))) / 3600.0::DOUBLE / 24) AS w, least(greatest(value / 100 - 0.5::DOUBLE, -3), 3) AS s FROM events) SELECT user_id, " + q({"score": "sum(w * s) / sum(w)"}) + " FROM w GROUP BY user_id",
     "value_histogram": "WITH b AS (SELECT unnest([1, 5, 10, 25, 50, 100, 250])::DOUBLE AS le) SELECT event_type, le, count(*) AS n FROM events JOIN b ON value <= le GROUP BY ALL",
-    "weekly_report": "SELECT CAST(date_trunc('week', ts) AS DATE) AS week, event_type, count(*) AS n, " + q({"mean": "avg(value)"}) + ", count(DISTINCT user_id) AS users FROM events GROUP BY ALL",
+    "weekly_report": "SELECT CAST(date_trunc('week', ts) AS DATE) AS week, event_type, count(*) AS n, " + q({"mean": "CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(*)"}) + ", count(DISTINCT user_id) AS users FROM events GROUP BY ALL",
 }
