@@ -6,7 +6,7 @@ rules counts, whatever the size of the corpus, and all documents take part. It e
 each rule's chance of each vote for good and for bad ones. A document is kept if its pattern's posterior is at least one half.
 
 Defined cases: a null or empty text has no words, fails the base rules and is not kept, and no rule but the
-length rule votes on it; repeated rows are counted and judged alike; an empty table gives an empty result; other columns stay,
+one on short texts votes on it; repeated rows are counted and judged alike; an empty table gives an empty result; other columns stay,
 but those named as output columns are replaced.
 """
 
@@ -20,9 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, read_table
+from ._common import bounded_batches, materialize, read_table
 
 SYMBOLS = b"#*$%&|<>"
+#: An abstention is weak evidence: it shifts the odds by this factor at most.
+MAX_SILENCE = 3.0
 _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_ended long, n_distinct long"
 
 
@@ -77,36 +79,34 @@ def brute_counts(text: str | None) -> tuple[int, ...]:
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes bad outside [low, high], good inside [good_low, good_high], and abstains between."""
+    """A condition and the vote that it casts where it holds: 1 good, -1 bad. Elsewhere, and on nulls, it abstains."""
 
     name: str
-    value: Column
-    low: float
-    good_low: float
-    good_high: float
-    high: float
+    holds: Column
+    vote: int
 
-    def vote(self) -> Column:
-        bad = (self.value < self.low) | (self.value > self.high)
-        good = self.value.between(self.good_low, self.good_high)
-        return F.coalesce(F.when(bad, -1).when(good, 1).otherwise(0), F.lit(0)).cast("int")
+    def column(self) -> Column:
+        return F.when(F.coalesce(self.holds, F.lit(False)), self.vote).otherwise(0).cast("int")
 
 
 def rules() -> list[Rule]:
-    """The production rules; a ratio without words or lines is null, on which a rule abstains."""
-    inf = float("inf")
+    """The production rules. A rule says what it knows and abstains otherwise; ratios without words or lines are null."""
 
     def per(top: str, below: str) -> Column:
         return F.try_divide(F.col(top), F.col(below))
 
+    symbols, ended, repeated, duplicates, long = per("n_symbols", "n_words"), per("n_ended", "n_lines"), per("n_repeat_words", "n_words"), per("n_dup_lines", "n_lines"), per("word_chars", "n_words")
+    variety = per("n_distinct", "n_words")
     return [
-        Rule("length", F.col("n_words"), 50, 100, inf, inf),
-        Rule("word_length", per("word_chars", "n_words"), 2.5, 3, 12, 16),
-        Rule("symbols", per("n_symbols", "n_words"), -inf, -inf, 0.02, 0.2),
-        Rule("duplicate_lines", per("n_dup_lines", "n_lines"), -inf, -inf, 0.1, 0.3),
-        Rule("repeated_words", per("n_repeat_words", "n_words"), -inf, -inf, 0.15, 0.4),
-        Rule("ended_lines", per("n_ended", "n_lines"), 0.3, 0.8, inf, inf),
-        Rule("vocabulary", per("n_distinct", "n_words") * F.sqrt("n_words"), 2, 4, inf, inf),
+        Rule("short", F.col("n_words") < 50, -1),
+        Rule("symbols", symbols > 0.1, -1),
+        Rule("duplicate_lines", (duplicates > 0.3) & (F.col("n_dup_lines") >= 3), -1),
+        Rule("repeated_words", repeated > 0.3, -1),
+        Rule("odd_word_length", (long < 2.5) | (long > 16), -1),
+        Rule("unended_lines", ended < 0.3, -1),
+        Rule("few_words", (variety < 0.2) & (F.col("n_distinct") < 200), -1),
+        Rule("prose", (symbols < 0.02) & (ended >= 0.8) & long.between(3, 12), 1),
+        Rule("fresh", (repeated < 0.2) & (duplicates < 0.2) & (symbols < 0.05), 1),
     ]
 
 
@@ -121,33 +121,42 @@ class LabelModel:
         """Probability of "good" for each row of votes."""
         logs = np.log([1 - self.good, self.good])[None, :].repeat(len(votes), axis=0)
         for r in range(votes.shape[1]):
-            logs += np.log(self.chances[r][:, votes[:, r] + 1]).T
+            own = np.log(self.chances[r])
+            own[0, 1] = own[1, 1] + np.clip(own[0, 1] - own[1, 1], -np.log(MAX_SILENCE), np.log(MAX_SILENCE))
+            logs += own[:, votes[:, r] + 1].T
         logs -= logs.max(axis=1, keepdims=True)
         p = np.exp(logs)
         return p[:, 1] / p.sum(axis=1)
 
 
-def expectation_maximisation(votes: np.ndarray, n: np.ndarray, rounds: int = 100, least_accuracy: float = 0.6, pseudo: float = 1.0) -> LabelModel:
+def expectation_maximisation(votes: np.ndarray, n: np.ndarray, rounds: int = 200, strength: float = 0.005, start: float = 0.8) -> LabelModel:
     """Fit on distinct vote patterns and their numbers.
 
-    Starts from rules of accuracy 0.8. A rule that votes is held to be right at least as often as ``least_accuracy`` within
-    either class, so that the classes cannot change places.
+    Starts from rules of accuracy ``start``, whose bad votes count double. Each rule's estimate is drawn towards its start by a
+    share ``strength`` of the documents, and no rule is held to vote good more often for bad documents than for good ones, or
+    bad more often for good ones, so the classes cannot change places.
     """
-    m = votes.shape[1]
-    balance = votes.sum(axis=1)
-    p = 1 / (1 + np.exp(-np.log(4) * balance))
-    good, chances = 0.5, np.full((m, 2, 3), 1 / 3)
+    m, total = votes.shape[1], n.sum()
+    p = 1 / (1 + np.exp(-np.log(start / (1 - start)) * np.where(votes < 0, 2 * votes, votes).sum(axis=1)))
+    cast = np.stack([np.bincount(votes[:, r] + 1, weights=n, minlength=3) / total for r in range(m)])
+    prior = np.empty((m, 2, 3))
+    for c in range(2):
+        lean = np.array([start, 1.0, 1 - start])[:: 1 if c == 0 else -1]
+        prior[:, c] = (cast + 1e-3) * lean
+    prior /= prior.sum(axis=2, keepdims=True)
+    good, chances = 0.5, prior.copy()
     for _ in range(rounds):
         mass = np.stack(((1 - p) * n, p * n), axis=1)
-        good = float(np.clip((mass[:, 1].sum() + pseudo) / (n.sum() + 2 * pseudo), 0.02, 0.98))
+        good = float(np.clip(mass[:, 1].sum() / total, 0.02, 0.98))
         for r in range(m):
             for c in range(2):
-                w = np.bincount(votes[:, r] + 1, weights=mass[:, c], minlength=3) + pseudo / 3
-                cast = w[0] + w[2]
-                right = max(w[2 * c] / cast, least_accuracy)
-                w[2 * c], w[2 - 2 * c] = cast * right, cast * (1 - right)
+                w = np.bincount(votes[:, r] + 1, weights=mass[:, c], minlength=3) + strength * total * prior[r, c]
                 chances[r, c] = np.maximum(w / w.sum(), 1e-6)
-        new = LabelModel(good, chances).posterior(votes)
+            for vote, c in ((0, 1), (2, 0)):  # bad votes for good documents, good votes for bad ones
+                if chances[r, c, vote] > chances[r, 1 - c, vote]:
+                    chances[r, :, vote] = chances[r, :, vote].mean()
+            chances[r] /= chances[r].sum(axis=1, keepdims=True)
+        new = LabelModel(good, chances.copy()).posterior(votes)
         if np.abs(new - p).max() < 1e-9:
             break
         p = new
@@ -157,13 +166,15 @@ def expectation_maximisation(votes: np.ndarray, n: np.ndarray, rounds: int = 100
 def judge(df: DataFrame, text_col: str = "text", least: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``df`` (default: all) with the counts, ``base_failed``, ``votes``, ``quality`` (posterior) and ``kept``."""
 
+    bounded_batches(df.sparkSession)
+
     @F.pandas_udf(_COUNTS)
     def count_all(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([counts(t) for t in texts], columns=[c.split()[0] for c in _COUNTS.split(", ")])
 
     carried = [c for c in (df.columns if keep is None else keep) if c not in {x.split()[0] for x in _COUNTS.split(", ")} | {"votes", "quality", "base_failed", "kept"}]
     counted = df.select(*carried, count_all(F.col(text_col)).alias("__counts")).select(*carried, "__counts.*")
-    voted = materialize(counted.withColumn("votes", F.array(*[r.vote() for r in rules()])), "votes")
+    voted = materialize(counted.withColumn("votes", F.array(*[r.column() for r in rules()])), "votes")
     patterns = voted.groupBy("votes").count().collect()  # at most 3 to the number of rules
     quality = F.lit(None).cast("double")
     if patterns:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batches_of, id_text, materialize, read_table
+from ._common import batches_of, bounded_batches, id_text, materialize, read_table
 
 #: Groups of terms that are swapped for one another; the last of a group is its neutral term.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
@@ -41,6 +41,10 @@ SWAPS = {term: [other for other in group if other != term] for group in IDENTITY
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 PREFIXES = (4, 5)
+#: Features below this chi-squared are not used: of a hundred thousand that tell nothing, about one reaches it.
+MIN_CHI2 = 19.5
+#: But with few labels that is too strict: this many of the largest are used anyway.
+MIN_FEATURES = 256
 
 
 def features(text: str) -> set[str]:
@@ -86,20 +90,21 @@ class ToxicityModel:
 
 
 def select_features(sample: DataFrame, max_features: int, min_df: int) -> list[str]:
-    """Features of ``sample`` (label, features, lost, gained) in ``min_df`` texts with the largest chi-squared, and all that a
-    swap touches (these are words of IDENTITY_GROUPS and their prefixes)."""
+    """Features of ``sample`` (label, features, lost, gained) in ``min_df`` texts with the largest chi-squared of at least
+    MIN_CHI2, and all that a swap touches (these are words of IDENTITY_GROUPS and their prefixes)."""
     n, pos = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     counts = sample.select("label", F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic"))
     expected = F.col("n") * F.lit(pos / max(n, 1))
     chi2 = F.pow(F.col("toxic") - expected, 2) / F.greatest(expected * F.lit(1 - pos / max(n, 1)), F.lit(1e-9))
-    best = counts.where(F.col("n") >= min_df).orderBy(chi2.desc(), "feature").limit(max_features).select("feature")
+    best = counts.withColumn("chi2", chi2).where(F.col("n") >= min_df).orderBy(F.desc("chi2"), "feature").limit(max_features).select("feature", "chi2")
     touched = sample.select(F.explode(F.flatten(F.concat("lost", "gained"))).alias("feature")).distinct()
-    return [r["feature"] for r in best.collect()] + sorted(r["feature"] for r in touched.collect())
+    return [r["feature"] for i, r in enumerate(best.collect()) if r["chi2"] >= MIN_CHI2 or i < MIN_FEATURES] + sorted(r["feature"] for r in touched.collect())
 
 
-def fit(rows: pd.DataFrame, vocabulary: list[str], l2: float = 2e-4, counterfactual: float = 1.0, steps: int = 300) -> ToxicityModel:
-    """Fit on ``rows`` (label, at, lost, gained; the latter three are places in ``vocabulary``): logistic loss, an L2 term, and
-    the mean squared change of the score under the swaps times ``counterfactual``."""
+def fit(rows: pd.DataFrame, vocabulary: list[str], l2: float = 1e-4, counterfactual: float = 1.0, steps: int = 400) -> ToxicityModel:
+    """Fit on ``rows`` (label, at, lost, gained; the latter three are places in ``vocabulary``): logistic loss with the rarer
+    label weighted by the root of the labels' ratio, an L2 term, and the mean squared change of the score under the swaps
+    times ``counterfactual``."""
     y = rows["label"].to_numpy(dtype=float)
     n, pos, m = len(y), float(y.sum()), len(vocabulary)
     prior = (pos + 1) / (n + 2)
@@ -117,10 +122,13 @@ def fit(rows: pd.DataFrame, vocabulary: list[str], l2: float = 2e-4, counterfact
             swaps += 1
     so, sc, ss = np.array(swap_of, dtype=int), np.array(swap_col, dtype=int), np.array(swap_sign)
 
+    rare = float(pos < n / 2)
+    importance = np.where(y == rare, np.sqrt(max(pos, n - pos) / min(pos, n - pos)), 1.0)
+    importance /= importance.sum()
     w, b, mw, vw, mb, vb = np.zeros(m), float(np.log(prior / (1 - prior))), np.zeros(m), np.zeros(m), 0.0, 0.0
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(r, weights=w[c], minlength=n), -30, 30)))
-        e = (p - y) / n
+        e = (p - y) * importance
         gw = np.bincount(c, weights=e[r], minlength=m) + l2 * w
         if swaps:
             change = np.bincount(so, weights=ss * w[sc], minlength=swaps)
@@ -132,7 +140,7 @@ def fit(rows: pd.DataFrame, vocabulary: list[str], l2: float = 2e-4, counterfact
     return ToxicityModel(float(b), {f: float(w[k]) for k, f in enumerate(vocabulary) if abs(w[k]) > 1e-3})
 
 
-def train(documents: DataFrame, labels: DataFrame, max_train_rows: int = 8192, max_features: int = 4096, min_df: int = 8, **options) -> ToxicityModel:
+def train(documents: DataFrame, labels: DataFrame, max_train_rows: int = 16384, max_features: int = 4096, min_df: int = 8, **options) -> ToxicityModel:
     """Fit on at most ``max_train_rows`` labelled documents (the bound of the sample; those whose hashed ids are least).
 
     Only the sampled ids are joined to the texts. The driver gets the selected features and, for each sampled document, their places.
@@ -164,6 +172,7 @@ def train(documents: DataFrame, labels: DataFrame, max_train_rows: int = 8192, m
 
 def score(df: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``df`` with ``score_col`` (0 to 1; a column of that name is replaced)."""
+    bounded_batches(df.sparkSession)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
