@@ -18,6 +18,7 @@ import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain, count, islice
 
@@ -91,7 +92,7 @@ class MergeReplay:
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merged token of each pair of tokens, NONE where there is none or an end stands in the pair."""
-        keys = left * self.base + right
+        keys = left.astype(np.int64) * self.base + right
         at = np.searchsorted(self.keys, keys)
         return np.where((self.keys[at] == keys) & (left >= 0) & (right >= 0), self.values[at], self.NONE)
 
@@ -115,15 +116,17 @@ class MergeReplay:
         lengths = np.fromiter(map(len, todo), dtype=np.int64, count=len(todo))
         ends = np.cumsum(lengths + 1)
         n = int(ends[-1]) + 1
-        token = np.full(n, -1, dtype=np.int64)
+        token = np.full(n, -1, dtype=np.int32)
         inside = np.ones(n, dtype=bool)
         inside[0] = False
         inside[ends] = False
         token[inside] = self.single[np.frombuffer(b"".join(todo), dtype=np.uint8)]
-        right, left = np.arange(1, n + 1), np.arange(-1, n - 1)
+        right, left = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         right[-1] = n - 1
-        pair = np.full(n, self.NONE, dtype=np.int64)
-        pair[:-1] = self.pair_ranks(token[:-1], token[1:])
+        pair = np.full(n, self.NONE, dtype=np.int32)
+        for a in range(0, n - 1, 1 << 18):  # in parts, as looking pairs up takes much more room than their ranks
+            b = min(a + (1 << 18), n - 1)
+            pair[a:b] = self.pair_ranks(token[a:b], token[a + 1 : b + 1])
         # The inverted index: for each merge the positions where its pair stands, or stood when they were added.
         index: dict[int, list[np.ndarray]] = {}
         queue: list[int] = []
@@ -141,7 +144,7 @@ class MergeReplay:
                     index[rank] = [part]
                     heapq.heappush(queue, rank)
 
-        at = np.flatnonzero(pair != self.NONE)
+        at = np.flatnonzero(pair != self.NONE).astype(np.int32)
         if len(at):
             add(at)
         while queue:
@@ -253,6 +256,16 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+@contextmanager
+def remembering(path: str, pattern: str) -> Iterator[Encoder]:
+    """The worker's encoder; what it remembers of a task's texts goes with the task, as the worker lives on for other stages."""
+    encoder = _encoder(path, pattern)
+    try:
+        yield encoder
+    finally:
+        encoder.forget()
+
+
 def encode_texts(texts: Sequence[str], path: str, pattern: str) -> Iterator[np.ndarray]:
     """The ids of each text. The texts are one block: their new words are replayed together."""
     return _encoder(path, pattern).encode(texts)
@@ -263,7 +276,7 @@ def decode_ids(ids: Iterable[int], path: str, pattern: str) -> bytes:
     return _encoder(path, pattern).decode(ids)
 
 
-def blocks(texts: Iterable[str], max_chars: int = 32_000_000):
+def blocks(texts: Iterable[str], max_chars: int = 2_000_000):
     """Runs of the texts of at most ``max_chars`` characters, or of one longer text."""
     block, chars = [], 0
     for t in texts:
@@ -281,8 +294,10 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
     bounded_batches(df.sparkSession)
 
     @F.pandas_udf("array<int>")
-    def to_ids(texts: pd.Series) -> pd.Series:
-        return pd.Series([ids for block in blocks(texts.fillna("")) for ids in encode_texts(block, path, pattern)], dtype="object")
+    def to_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        with remembering(path, pattern) as encoder:
+            for texts in batches:
+                yield pd.Series([ids for block in blocks(texts.fillna("")) for ids in encoder.encode(block)], dtype="object")
 
     return df.withColumn(ids_col, to_ids(F.col(text_col)))
 
@@ -302,13 +317,15 @@ def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
     bounded_batches(df.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(texts: pd.Series) -> pd.DataFrame:
-        rows, encoder = [], _encoder(path, pattern)
-        for block in blocks(texts.fillna("")):
-            for ids in encoder.encode(block):
-                own = ids.tolist()
-                rows.append((len(own), hashlib.sha256(encoder.decimal(own).encode()).hexdigest(), hashlib.sha256(encoder.decode(own)).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with remembering(path, pattern) as encoder:
+            for texts in batches:
+                rows = []
+                for block in blocks(texts.fillna("")):
+                    for ids in encoder.encode(block):
+                        own = ids.tolist()
+                        rows.append((len(own), hashlib.sha256(encoder.decimal(own).encode()).hexdigest(), hashlib.sha256(encoder.decode(own)).hexdigest()))
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select(F.col(id_col), digest(F.col(text_col)).alias("d")).select(id_col, "d.*")
 
