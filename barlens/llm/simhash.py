@@ -7,6 +7,10 @@ whose population counts differ beyond r. A bucket larger than a group is dealt o
 and a hash, with the same skip. A group returns a spanning forest of its links, not the links. Components of the forests are
 those of all links.
 
+The pipeline's stage goes by another rule: texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Their
+fingerprints differ in about 10 of 64 bits and often in 15, and buckets for such a radius are 4 bits wide, which is all pairs;
+so its candidates come from MinHash bands (0.997 of pairs at 0.8, more above), and each is verified on the whole texts.
+
 Defined cases: a null or empty text has fingerprint zero and is linked as any other; fewer than three words are one
 shingle; repeated rows share a component; a null doc_id is never a component's id while there is another (in
 ``drop_near_duplicates`` it stays only when its whole component has none); other columns stay out of the result.
@@ -24,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import paragraphs
 from ._common import bounded_batches, materialize, read_table
 from .components import connected_components
 
@@ -192,6 +197,40 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+@F.pandas_udf(T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+def _whole_texts(texts: pd.Series) -> pd.DataFrame:
+    digests, bands = [], []
+    for at in range(0, len(texts), 200):
+        words = [_words(t) or [b""] for t in texts.iloc[at : at + 200]]
+        hashes = [paragraphs.shingle_hashes(w) for w in words]
+        digests += [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+        bands += list(paragraphs.band_keys(np.concatenate(hashes), np.cumsum([0, *map(len, hashes[:-1])])).view(np.int64))
+    return pd.DataFrame({"digest": digests, "bands": bands})
+
+
+@F.pandas_udf(T.BinaryType())
+def _whole_shingles(texts: pd.Series) -> pd.Series:
+    return pd.Series([np.unique((paragraphs.shingle_hashes(_words(t) or [b""]) >> np.uint64(32)).astype("<u4")).tobytes() for t in texts], dtype="object")
+
+
+def drop_near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """One row of each component of texts with that Jaccard similarity of five-word shingles, the one with the least doc_id; columns unchanged."""
+    bounded_batches(docs.sparkSession)
+    row = F.struct(*docs.columns).alias("row")
+    rows = materialize(docs.select(row, _whole_texts("text").alias("whole"), F.monotonically_increasing_id().alias("rid")), "near-copies").select("row", "rid", "whole.digest", "whole.bands")
+    # Shingles are not stored: only those of colliding texts are made, after the semi-join.
+    found = rows.select("digest", "bands", _whole_shingles("row.text").alias("shingles"))
+    linked = connected_components(paragraphs.near_links(found, threshold, bucket_rows=paragraphs.GROUP_ROWS)).withColumnRenamed("node", "digest")
+    best = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), F.col("rid").alias("rid"))
+    least = rows.groupBy("digest").agg(F.min(best).alias("best")).join(linked, "digest", "left")
+    kept = least.groupBy(F.coalesce("component", "digest").alias("component")).agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))
+    return rows.join(kept, "rid", "left_semi").select("row.*")
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near-duplicates."""
-    return drop_near_duplicates(docs)
+    """Pipeline stage: one document of each group of near-duplicates (five-word shingles, Jaccard 0.8)."""
+    return drop_near_copies(docs)
