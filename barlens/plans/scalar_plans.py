@@ -107,6 +107,12 @@ def slices(spark, sf_dir):
     return execution.schedule(o, execution.urgency_style(F.col("urgency")))
 
 
+def slices_all(spark, sf_dir):
+    """Schedules of all parent orders; no SQL twin, tested by hand."""
+    o = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.floor(F.col("o_totalprice") / 10).alias("qty"), (F.col("o_orderkey") % 100 / 100.0).alias("urgency"))
+    return execution.schedule(o, execution.urgency_style(F.col("urgency")))
+
+
 def fills(spark, sf_dir):
     bars = views.supplier_bars(spark, sf_dir)
     target = bars.groupBy("asset").agg((F.max("volume") * 2).alias("target"))
@@ -190,7 +196,7 @@ QUERIES = {
     "valuation": valuation,
     "valuation_sensitivity": sensitivity,
     "transaction_costs": costs,
-    "order_slices": slices,
+    "order_slices": slices, "order_slices_all": slices_all,
     "capped_fills": fills,
     "kill_switch": switch,
     "flow_control": flow,
