@@ -26,6 +26,14 @@ def bridge(spark, sf_dir):
     return b.select("p_brand", quantised(finance.private_value(F.col("revenue"), F.col("m"), low=1.0)).alias("value"))
 
 
+def bridge_all(spark, sf_dir):
+    """Each brand's revenue at the exact median multiple, over all parts of the brand; no SQL twin, tested by hand."""
+    p = views.table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.sum(F.col("p_retailprice").cast("decimal(18,2)")).alias("revenue"), F.count(F.lit(1)).alias("n"))
+    m = F.col("p_size") / 10.0
+    b = p.groupBy("p_brand").agg(F.sum("revenue").cast("double").alias("revenue"), F.percentile(F.when(m.between(1.0, 30.0), m), 0.5, F.col("n")).alias("middle"))
+    return b.select("p_brand", quantised(finance.private_value(F.col("revenue"), F.array("middle"), low=1.0)).alias("value"))
+
+
 def retraining(spark, sf_dir):
     ic = stats.rank_ic(stats.paired(*panel(spark, sf_dir))).withColumn("ic", quantised("ic"))
     w = Window.orderBy("t")
@@ -42,7 +50,7 @@ def trades(spark, sf_dir):
     return d.select("asset", quantised(finance.traded_weight(F.col("target"), F.col("current"), F.col("alpha"), 0.25), 1e6).alias("weight"))
 
 
-QUERIES = {"debates": debates, "private_bridge": bridge, "retrain_triggers": retraining, "cost_aware_trades": trades}
+QUERIES = {"debates": debates, "private_bridge": bridge, "private_bridge_all": bridge_all, "retrain_triggers": retraining, "cost_aware_trades": trades}
 ORACLE_SQL = {
     "debates": """WITH d AS (SELECT p_partkey, (p_retailprice < 1200)::INT + (p_size > 30)::INT + (p_partkey % 3 = 0)::INT AS bull, (p_retailprice > 1700)::INT + (p_size < 10)::INT + (p_partkey % 5 = 0)::INT AS bear FROM part)
     SELECT p_partkey, bull, bear, CASE WHEN bull - bear >= 2 THEN 'buy' WHEN bear - bull >= 2 THEN 'avoid' ELSE 'wait' END AS verdict FROM d""",
