@@ -36,20 +36,41 @@ def rebalanced(panel: DataFrame, n_hold: int, every: int, cost_bps: float) -> Da
     return gross.join(moved, "period").select("t", "gross", cost.alias("cost"), (F.col("gross") - cost).alias("net"))
 
 
+def path_rows(panel: DataFrame, strategies: DataFrame) -> DataFrame:
+    """What the fold of each strategy needs, (strategy, t, asset, r, pick): every date, the best ``n_hold`` of each rebalance date
+    (pick), and returns of assets from the day after they were first chosen. Bounded by dates and choices, not by assets."""
+    p = numbered(panel)
+    grid = strategies.select("strategy", F.col("n_hold").cast("int").alias("n_hold"), F.col("every").cast("int").alias("every"))
+    most = grid.agg(F.max("n_hold").alias("n")).first()["n"] or 0
+    best = Window.partitionBy("strategy", "idx").orderBy(F.desc("score"), "asset")
+    finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
+    open_ = p.where(finite).select("asset", "t", "idx", "score").crossJoin(F.broadcast(grid)).where("idx % every = 0")
+    # The literal bound lets Spark drop rows before the shuffle.
+    picks = open_.withColumn("k", F.row_number().over(best)).where(F.col("k") <= most).where("k <= n_hold").select("strategy", "t", "idx", "asset")
+    since = picks.groupBy("strategy", "asset").agg(F.min("idx").alias("since"))
+    held = p.select("asset", "t", "idx", "r").join(since, "asset").where("idx > since").select("strategy", "t", "asset", "r", F.lit(False).alias("pick"))
+    none = F.lit(None)
+    kinds = dict(held.dtypes)
+    dates = p.select("t").distinct().crossJoin(F.broadcast(grid.select("strategy"))).select("strategy", "t", none.cast(kinds["asset"]).alias("asset"), none.cast(kinds["r"]).alias("r"), F.lit(False).alias("pick"))
+    return held.unionByName(picks.select("strategy", "t", "asset", none.cast(kinds["r"]).alias("r"), F.lit(True).alias("pick"))).unionByName(dates)
+
+
 def path_backtest(panel: DataFrame, strategies: DataFrame) -> DataFrame:
     """(strategy, t, equity, cash, blocked): the fold for each row of ``strategies`` (strategy, n_hold, every, cost_bps, limit).
 
     Buys of assets at their upper limit and sells of those at their lower limit are blocked, so weights depend on the path;
-    weights drift with returns. One group for each strategy holds its panel; strategies run in parallel.
+    weights drift with returns. One group for each strategy holds the assets that it ever chose; strategies run in parallel.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         cfg = rows.iloc[0]
-        r = rows.pivot(index="t", columns="asset", values="r")
-        s = rows.pivot(index="t", columns="asset", values="score").reindex(columns=r.columns)
-        w, cash, equity, target, out = np.zeros(r.shape[1]), 1.0, 1.0, None, []
-        for i, t in enumerate(r.index):
-            day = r.loc[t].to_numpy(dtype=float)
+        picks = rows[rows["pick"]]
+        assets, dates = np.sort(picks["asset"].unique()), np.sort(rows["t"].unique())
+        r = rows[rows["asset"].notna() & ~rows["pick"]].pivot(index="t", columns="asset", values="r").reindex(index=dates, columns=assets).to_numpy(dtype=float)
+        chosen = {t: np.searchsorted(assets, own.to_numpy()) for t, own in picks.groupby("t")["asset"]}
+        w, cash, equity, target, out = np.zeros(len(assets)), 1.0, 1.0, None, []
+        for i, t in enumerate(dates):
+            day = r[i]
             known = np.nan_to_num(day)
             blocked = 0
             grown = w * (1 + known)
@@ -70,16 +91,13 @@ def path_backtest(panel: DataFrame, strategies: DataFrame) -> DataFrame:
                 equity *= 1 - traded * cfg["cost_bps"] / 1e4
                 target = None
             if i % int(cfg["every"]) == 0:
-                row = s.loc[t].to_numpy(dtype=float)
-                best = np.argsort(-np.nan_to_num(row, nan=-np.inf), kind="stable")[: int(cfg["n_hold"])]
-                best = best[np.isfinite(row[best])]
                 target = np.zeros(len(w))
-                if len(best):
-                    target[best] = 1 / len(best)
+                if t in chosen:
+                    target[chosen[t]] = 1 / len(chosen[t])
             out.append((cfg["strategy"], t, equity, cash, blocked))
         return pd.DataFrame(out, columns=["strategy", "t", "equity", "cash", "blocked"])
 
-    rows = panel.select("asset", "t", "score", "r").crossJoin(F.broadcast(strategies))
+    rows = path_rows(panel, strategies).join(F.broadcast(strategies.select("strategy", "every", "cost_bps", "limit")), "strategy")
     return rows.groupBy("strategy").applyInPandas(fold, "strategy string, t date, equity double, cash double, blocked long")
 
 
