@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from . import paragraphs
 from ._common import bounded_batches, materialize, read_table
+from ._shingles import band_keys, kept_shingles, shingles_of, words_of
 from .components import connected_components
 
 SHINGLE = 3
@@ -197,24 +198,30 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+#: MinHash bands of whole texts: a pair at 0.8 collides with probability 1 - (1 - 0.8^3)^8 = 0.997.
+BANDS, ROWS = 8, 3
+_NO_WORDS = np.zeros(1, dtype=np.uint64)
+
+
+def _words(text: str | None) -> np.ndarray:
+    words = words_of(text)[2]
+    return words if len(words) else _NO_WORDS
 
 
 @F.pandas_udf(T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
 def _whole_texts(texts: pd.Series) -> pd.DataFrame:
     digests, bands = [], []
     for at in range(0, len(texts), 200):
-        words = [_words(t) or [b""] for t in texts.iloc[at : at + 200]]
-        hashes = [paragraphs.shingle_hashes(w) for w in words]
-        digests += [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
-        bands += list(paragraphs.band_keys(np.concatenate(hashes), np.cumsum([0, *map(len, hashes[:-1])])).view(np.int64))
+        words = list(map(_words, texts.iloc[at : at + 200]))
+        shingles = list(map(shingles_of, words))
+        digests += map(xxhash.xxh3_128_digest, words)
+        bands += list(band_keys(np.concatenate(shingles), np.cumsum([0, *map(len, shingles[:-1])]), BANDS, ROWS))
     return pd.DataFrame({"digest": digests, "bands": bands})
 
 
 @F.pandas_udf(T.BinaryType())
 def _whole_shingles(texts: pd.Series) -> pd.Series:
-    return pd.Series([np.unique((paragraphs.shingle_hashes(_words(t) or [b""]) >> np.uint64(32)).astype("<u4")).tobytes() for t in texts], dtype="object")
+    return pd.Series([kept_shingles(shingles_of(_words(t))) for t in texts], dtype="object")
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
