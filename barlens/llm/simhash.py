@@ -230,11 +230,12 @@ def drop_near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     row = F.struct(*docs.columns).alias("row")
     rows = materialize(docs.select(row, _whole_texts("text").alias("whole"), F.monotonically_increasing_id().alias("rid")), "near-copies").select("row", "rid", "whole.digest", "whole.bands")
     # Shingles are not stored: only those of colliding texts are made, after the semi-join.
-    found = rows.select("digest", "bands", _whole_shingles("row.text").alias("shingles"))
-    linked = connected_components(paragraphs.near_links(found, threshold, bucket_rows=paragraphs.GROUP_ROWS)).withColumnRenamed("node", "digest")
+    own = F.xxhash64("digest")
+    found = rows.select(own.alias("id"), "bands", _whole_shingles("row.text").alias("shingles"))
+    linked = connected_components(paragraphs.near_links(found, threshold, shingle_bytes=4, sizes_differ=True, bucket_rows=paragraphs.GROUP_ROWS)).withColumnRenamed("node", "id")
     best = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), F.col("rid").alias("rid"))
-    least = rows.groupBy("digest").agg(F.min(best).alias("best")).join(linked, "digest", "left")
-    kept = least.groupBy(F.coalesce("component", "digest").alias("component")).agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))
+    least = rows.groupBy("digest").agg(F.min(best).alias("best")).withColumn("id", own).join(linked, "id", "left")
+    kept = least.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))
     return rows.join(kept, "rid", "left_semi").select("row.*")
 
 
