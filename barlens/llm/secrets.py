@@ -1,21 +1,23 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on what looks like an encoded key.
 
-Pass 1 (Python, one pass over whole texts, no shuffle) finds the pattern spans and tests each further run of 20 or more
-key characters. The run's encoding is the smallest alphabet that holds it. The battery: chi-squared uniformity over that
-alphabet, a runs test about its middle, and lag-1 serial correlation, joined to one p-value for "drawn at random". The
-count of equal pairs gives, from its exact mean and variance under letter frequencies of ordinary text, a p-value for
-"ordinary text"; its variance falls with length, so short runs can hardly reach small values.
-Pass 2 counts these p-values in bins for each stratum (encoding, length class) over all documents, finds each stratum's
-Benjamini-Hochberg threshold from the few hundred counts, and adds the runs that pass it and that the battery does not reject.
+Pass 1 counts, over the whole texts of all documents, which character follows which in tokens too short to be keys: the model of
+ordinary text (66 x 66 counts come to the driver). Pass 2 finds the pattern spans and tests each further run of 20 or more key
+characters. The run's encoding is the smallest alphabet that holds it. The battery asks how well "each character drawn at random"
+explains the run: chi-squared uniformity over that alphabet, a runs test about its middle, and lag-1 serial correlation, joined to
+one p-value; a run that it rejects is no key. The same three traits give the evidence against ordinary text, as a likelihood ratio of the
+uniform draw to the text model: how far its frequencies are from uniform, how seldom it changes between letters, capitals and digits,
+and what its characters tell of the next. Under the text model the ratio exceeds x with a chance of 1/x at most, whatever the length, so
+8/ratio (for the alphabets that may be chosen) is a p-value that takes account of length: each character of a random key adds evidence.
+The p-values are counted in bins for each stratum (encoding, length class) over all documents, each stratum's Benjamini-Hochberg
+threshold comes from the few hundred counts, and the runs that pass it and that the battery does not reject are added.
 
 Defined cases: a null text is empty and has no spans; equal starts are ordered as assign, access, hex, random; tokens that
 overlap a pattern span are not tested; repeated rows get equal results; other columns of the input are not returned by
-``scan``, and stay in ``redact``.
+``scan``, and stay in ``redact``; where there is no text to count, the model is letters as frequent as in English that keep their class.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 
@@ -53,22 +55,25 @@ LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6
 BINS = 200
 
 
-def _moments(alphabet: str) -> tuple[float, float]:
-    """Sums of squares and cubes of the frequencies that ordinary text has on the alphabet: letters as in English
-    (nine in ten in the small letters where there are both), digits and signs as a tenth, skewed to the small digits."""
-    share = {}
-    for c in alphabet:
-        letter = LETTERS[ord(c.lower()) - 97] if c.isalpha() else 0
-        digit = 10 / (1 + int(c)) if c.isdigit() else 0
-        share[c] = letter * (0.1 if c.isupper() and "a" in alphabet else 1) + digit * (1 if any(map(str.isalpha, alphabet)) else 10) + 0.5 * (c in "+/-_")
-    q = np.array(list(share.values())) / sum(share.values())
-    return float((q**2).sum()), float((q**3).sum())
+#: What the counts start from: a share that keeps the class of the character before, and the weight in counts of each character.
+SAME_CLASS, PRIOR_COUNTS = 0.85, 200.0
+
+
+def _prior() -> np.ndarray:
+    """Chances of the next character (before, next) without any counts: letters as in English, a tenth as many capitals."""
+    chars = ALPHABETS["mixed"]
+    share = np.array([LETTERS[ord(c.lower()) - 97] * (0.1 if c.isupper() else 1) if c.isalpha() else 1.0 if c.isdigit() else 0.5 for c in chars])
+    kind = np.array([0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3 for c in chars])
+    same = kind[:, None] == kind[None, :]
+    within = same * share / (same * share).sum(axis=1, keepdims=True)
+    return SAME_CLASS * within + (1 - SAME_CLASS) * share / share.sum()
 
 
 _CODES = {name: np.full(128, -1, dtype=np.int64) for name in ALPHABETS}
 for _name, _chars in ALPHABETS.items():
     _CODES[_name][[ord(c) for c in _chars]] = np.arange(len(_chars))
-_MOMENTS = {name: _moments(chars) for name, chars in ALPHABETS.items()}
+_SYMBOL = _CODES["mixed"]
+_N = len(ALPHABETS["mixed"])
 
 
 def _upper(z: float) -> float:
@@ -76,8 +81,46 @@ def _upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(run: str) -> tuple[str, float, float]:
-    """Encoding, p-value of "drawn at random" (Fisher's join of the three tests) and p-value of "ordinary text"."""
+def count_pairs(texts: list[str | None]) -> np.ndarray:
+    """How often each character follows each in tokens of fewer than MIN_RUN key characters, as a flat array (before, next)."""
+    raw = np.frombuffer("\n".join(t or "" for t in texts).encode(), dtype=np.uint8)
+    code = np.where(raw < 128, _SYMBOL[raw & 127], -1)
+    edges = np.flatnonzero(np.diff(code >= 0, prepend=False, append=False))
+    short = np.zeros(len(code) + 1, dtype=np.int64)
+    starts, ends = edges[::2], edges[1::2]
+    few = ends - starts < MIN_RUN
+    np.add.at(short, starts[few], 1)
+    np.add.at(short, ends[few], -1)
+    inside = np.cumsum(short)[:-1] > 0
+    at = np.flatnonzero(inside[1:] & inside[:-1])
+    return np.bincount(code[at] * _N + code[at + 1], minlength=_N * _N)
+
+
+def text_model(df: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Logarithms of the chances that a character (row) is followed by another (column) in ordinary text, from all rows of ``df``."""
+
+    def run(batches):
+        total = np.zeros(_N * _N, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                total += count_pairs(batch["text"].iloc[at : at + 200].tolist())
+        seen = np.flatnonzero(total)
+        yield pd.DataFrame({"pair": seen, "n": total[seen]})
+
+    bounded_batches(df.sparkSession)
+    rows = df.select(F.col(text_col).alias("text")).mapInPandas(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    return model_of({r["pair"]: r["n"] for r in rows})
+
+
+def model_of(counts: dict[int, int]) -> np.ndarray:
+    total = np.zeros(_N * _N)
+    total[list(counts)] = list(counts.values())
+    total = total.reshape(_N, _N) + PRIOR_COUNTS * _prior()
+    return np.log(total / total.sum(axis=1, keepdims=True))
+
+
+def battery(run: str, model: np.ndarray) -> tuple[str, float, float]:
+    """Encoding, p-value of "drawn at random" (Fisher's join of the three tests) and log10 of the p-value of "ordinary text"."""
     raw = np.frombuffer(run.encode("ascii"), dtype=np.uint8)
     for name, table in _CODES.items():
         x = table[raw]
@@ -85,7 +128,6 @@ def battery(run: str) -> tuple[str, float, float]:
             break
     k, n = len(ALPHABETS[name]), len(x)
     counts = np.bincount(x, minlength=k).astype(float)
-    pairs = float((counts * (counts - 1)).sum())
     chi2 = k / n * float((counts**2).sum()) - n
     p_uniform = _upper((chi2 - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))
     high = x >= k / 2
@@ -96,10 +138,9 @@ def battery(run: str) -> tuple[str, float, float]:
     p_serial = 2 * _upper(abs(float((d[1:] * d[:-1]).sum()) / spread + 1 / n) * math.sqrt(n)) if spread else 0.0
     half = -sum(math.log(max(p, 1e-300)) for p in (p_uniform, p_runs, p_serial))
     p_random = math.exp(-half) * (1 + half + half * half / 2)  # chi-squared with 6 degrees of freedom, above 2 * half
-    s2, s3 = _MOMENTS[name]
-    mean = n * (n - 1) * s2
-    var = 4 * n * (n - 1) * (n - 2) * (s3 - s2**2) + 2 * n * (n - 1) * (s2 - s2**2)
-    return name, p_random, 1 - _upper((pairs - mean) / math.sqrt(var)) if pairs < mean else 1.0
+    y = _SYMBOL[raw]
+    ratio = -(n - 1) * math.log(k) - float(model[y[:-1], y[1:]].sum())
+    return name, p_random, min(0.0, (math.log(len(ALPHABETS)) - ratio) / math.log(10))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -114,7 +155,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]], alpha: float) -> list[tuple[int, int, str, int]]:
+def candidates(text: str, spans: list[tuple[int, int, int]], alpha: float, model: np.ndarray) -> list[tuple[int, int, str, int]]:
     """(start, end, stratum, bin) of the runs outside the spans that the battery does not reject at ``alpha``.
 
     Every run that is tested gets a row, as the false-discovery control counts them all; bin -1 marks the rejected."""
@@ -122,11 +163,14 @@ def candidates(text: str, spans: list[tuple[int, int, int]], alpha: float) -> li
     for m in _RUN.finditer(text):
         while at < len(spans) and spans[at][2] <= m.start():
             at += 1
-        if any(s < m.end() and e > m.start() for s, _, e in spans[at:]):
+        k = at
+        while k < len(spans) and spans[k][0] < m.end() and spans[k][2] <= m.start():
+            k += 1
+        if k < len(spans) and spans[k][0] < m.end():
             continue
-        name, p_random, p_text = battery(m.group())
+        name, p_random, p_text = battery(m.group(), model)
         n = m.end() - m.start()
-        level = -1 if p_random < alpha else min(BINS - 1, int(-10 * math.log10(max(p_text, 1e-30))))
+        level = -1 if p_random < alpha else min(BINS - 1, int(-10 * p_text))
         found.append((m.start(), m.end(), f"{name}:{min(5, n.bit_length() - 4)}", level))
     return found
 
@@ -139,7 +183,7 @@ _FOUND = T.StructType(
 )
 
 
-def find(df: DataFrame, text_col: str = "text", out_col: str = "found", alpha: float = 0.01) -> DataFrame:
+def find(df: DataFrame, model: np.ndarray, text_col: str = "text", out_col: str = "found", alpha: float = 0.01) -> DataFrame:
     """``df`` with the pattern spans and the tested runs of each whole text."""
     bounded_batches(df.sparkSession)
 
@@ -149,7 +193,7 @@ def find(df: DataFrame, text_col: str = "text", out_col: str = "found", alpha: f
         for text in texts:
             spans = base_spans(text or "")
             base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-            runs.append([{"start": s, "end": e, "stratum": t, "level": b} for s, e, t, b in candidates(text or "", spans, alpha)])
+            runs.append([{"start": s, "end": e, "stratum": t, "level": b} for s, e, t, b in candidates(text or "", spans, alpha, model)])
         return pd.DataFrame({"base": base, "runs": runs})
 
     return df.withColumn(out_col, scan_texts(F.col(text_col)))
@@ -193,16 +237,18 @@ def joined(spans):
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = 0.01) -> DataFrame:
     """(id, base, spans) for every row; the intermediate table in shared storage holds no texts."""
-    found = materialize(find(df.select(F.col(id_col), F.col(text_col)), text_col).select(id_col, "found"), "secrets")
+    found = materialize(find(df.select(F.col(id_col), F.col(text_col)), text_model(df, text_col), text_col).select(id_col, "found"), "secrets")
     return found.select(id_col, F.col("found.base").alias("base"), all_spans(thresholds(found, q)).alias("spans"))
 
 
 def redact(df: DataFrame, text_col: str = "text", marker: str = "[SECRET]", q: float = 0.01) -> DataFrame:
-    """``df`` with each secret's characters replaced by ``marker``; overlapping spans become one marker."""
+    """``df`` with each secret's characters replaced by ``marker``; overlapping spans become one marker.
+
+    Rows and spans are written to shared storage once, so texts are scanned once, and a row keeps its own spans."""
     name = "found"
     while name in df.columns:
         name += "_"
-    found = find(df, text_col, name)
+    found = materialize(find(df, text_model(df, text_col), text_col, name), "secrets")
     least = thresholds(found, q, name)
 
     @F.pandas_udf("string")
@@ -222,30 +268,14 @@ def redact(df: DataFrame, text_col: str = "text", marker: str = "[SECRET]", q: f
     return found.withColumn(text_col, replaced(F.col(text_col), all_spans(least, name))).drop(name)
 
 
-def brute_force(texts: list[str | None], q: float = 0.01, alpha: float = 0.01) -> list[str]:
-    """The same spans from plain loops over all texts, for tests."""
-    base = [base_spans(t or "") for t in texts]
-    runs = [candidates(t or "", b, alpha) for t, b in zip(texts, base, strict=True)]
-    flat = [r for rs in runs for r in rs]
-    out = []
-    for b, rs in zip(base, runs, strict=True):
-        spans = [*b]
-        for s, e, stratum, level in rs:
-            family = [x[3] for x in flat if x[2] == stratum]
-            best = [v for v in {x for x in family if x >= 0} if 10 ** (-v / 10) <= q * sum(x >= v for x in family) / len(family)]
-            if best and level >= min(best):
-                spans.append((s, len(KINDS) - 1, e))
-        out.append(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans)))
-    return out
-
-
-def sha256_text(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def of_kind(k: int):
+    """Whether a span is of that kind (of one parameter: Spark would give a second one the span's place)."""
+    return lambda s: s["kind"] == k
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, spans = F.col("base"), F.col("spans")
-    n = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    n = [F.size(F.filter(base, of_kind(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return scan(read_table(spark, sf_dir, "documents", ["doc_id", "text"])).select("doc_id", *n, F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"))
 
 
