@@ -6,11 +6,11 @@ Blocks are runs of a task's input of bounded numbers of tokens, so memory is bou
 task is repeated from its input alone; only the last rows of a block are not full.
 
 Each result row is a row of the matrix: ``ids`` (little-endian, fixed width, padded), ``cu_seqlens`` (cumulative segment
-lengths, from 0), ``resets`` (offsets at which positions start again at 0), and for each segment its doc_id and its first token
-in the document.
+lengths, from 0), ``resets`` (offsets at which positions start again at 0), and for each segment its doc_id, the number of its input row
+(which tells repeated rows and null ids apart) and its first token in the document.
 
 Defined cases: null and empty texts have no tokens and are in no row; a null doc_id is kept as null; repeated rows
-are packed each for itself; other columns of the input are not returned.
+are packed each for itself, under row numbers of their own; other columns of the input are not returned.
 """
 
 from __future__ import annotations
@@ -88,17 +88,17 @@ def _tokenizer(path: str, pattern: str):
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
-def pack_block(docs: list[tuple[object, np.ndarray]], length: int, width: str) -> pd.DataFrame:
-    """The rows of one block of (doc_id, ids)."""
-    segments = [(d, at, ids[at : at + length]) for d, ids in docs for at in range(0, len(ids), length)]
+def pack_block(docs: list[tuple[object, int, np.ndarray]], length: int, width: str) -> pd.DataFrame:
+    """The rows of one block of (doc_id, row number, ids)."""
+    segments = [(d, at, ids[at : at + length], r) for d, r, ids in docs for at in range(0, len(ids), length)]
     rows = []
     for own in best_fit_decreasing([len(s[2]) for s in segments], length):
         parts = [segments[i] for i in own]
         ends = np.cumsum([len(p[2]) for p in parts])
         ids = np.full(length, PAD, dtype=width)
         ids[: ends[-1]] = np.concatenate([p[2] for p in parts])
-        rows.append((ids.tobytes(), [0, *ends.tolist()], [0, *ends[:-1].tolist()], [p[0] for p in parts], [p[1] for p in parts], int(ends[-1])))
-    return pd.DataFrame(rows, columns=["ids", "cu_seqlens", "resets", "doc_ids", "doc_offsets", "n_tokens"])
+        rows.append((ids.tobytes(), [0, *ends.tolist()], [0, *ends[:-1].tolist()], [p[0] for p in parts], [p[3] for p in parts], [p[1] for p in parts], int(ends[-1])))
+    return pd.DataFrame(rows, columns=["ids", "cu_seqlens", "resets", "doc_ids", "doc_rows", "doc_offsets", "n_tokens"])
 
 
 def pack(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -106,17 +106,17 @@ def pack(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_co
     bounded_batches(df.sparkSession)
     width = "<u2" if max(load_ranks(path).values()) < 1 << 16 else "<u4"
 
-    def blocks(batches: Iterable[pd.DataFrame]) -> Iterator[list[tuple[object, np.ndarray]]]:
+    def blocks(batches: Iterable[pd.DataFrame]) -> Iterator[list[tuple[object, int, np.ndarray]]]:
         encode = _tokenizer(path, pattern).encode_to_numpy
         block, tokens = [], 0
         for batch in batches:
-            for d, t in zip(batch["id"], batch["text"], strict=True):
+            for d, r, t in zip(batch["id"], batch["row"], batch["text"], strict=True):
                 if t:
                     ids = encode(t, disallowed_special=()).astype(width)
                     if block and tokens + len(ids) > block_tokens:
                         yield block
                         block, tokens = [], 0
-                    block.append((None if pd.isna(d) else int(d), ids))
+                    block.append((None if pd.isna(d) else int(d), r, ids))
                     tokens += len(ids)
         if block:
             yield block
@@ -127,18 +127,20 @@ def pack(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_co
             for at in range(0, len(rows), 2000):
                 yield rows.iloc[at : at + 2000]
 
-    schema = "ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, doc_offsets array<long>, n_tokens long"
-    return df.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS id", f"`{text_col}` AS text").mapInPandas(run, schema)
+    schema = "ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, doc_rows array<long>, doc_offsets array<long>, n_tokens long"
+    return df.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS id", f"`{text_col}` AS text", "monotonically_increasing_id() AS row").mapInPandas(run, schema)
 
 
-def unpack(rows: Iterable[tuple], width: str = "<u2") -> dict[int, np.ndarray]:
-    """The ids of each document from (ids, cu_seqlens, doc_ids, doc_offsets), for tests and readers."""
+def unpack(rows: Iterable[tuple], width: str = "<u2") -> dict[int, tuple[int | None, np.ndarray]]:
+    """doc_id and ids of each input row from (ids, cu_seqlens, doc_ids, doc_rows, doc_offsets), for tests and readers."""
     parts: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for raw, ends, docs, offsets in rows:
+    named: dict[int, int | None] = {}
+    for raw, ends, docs, numbers, offsets in rows:
         ids = np.frombuffer(raw, dtype=width)
-        for d, at, a, b in zip(docs, offsets, ends, ends[1:], strict=False):
-            parts.setdefault(d, []).append((at, ids[a:b]))
-    return {d: np.concatenate([x for _, x in sorted(p, key=lambda y: y[0])]) for d, p in parts.items()}
+        for d, r, at, a, b in zip(docs, numbers, offsets, ends, ends[1:], strict=False):
+            named[r] = d
+            parts.setdefault(r, []).append((at, ids[a:b]))
+    return {r: (named[r], np.concatenate([x for _, x in sorted(p, key=lambda y: y[0])])) for r, p in parts.items()}
 
 
 def position_ids(resets: list[int], n_tokens: int, length: int = LENGTH) -> np.ndarray:
