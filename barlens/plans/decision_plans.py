@@ -20,14 +20,7 @@ def debates(spark, sf_dir):
 
 
 def bridge(spark, sf_dir):
-    """Each brand's revenue at the median multiple of its first parts' size over ten (brands are few, their arrays short)."""
-    p = views.table(spark, sf_dir, "part").withColumn("n", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))).where("n <= 9")
-    b = p.groupBy("p_brand").agg(F.sum(F.col("p_retailprice").cast("decimal(18,2)")).cast("double").alias("revenue"), F.collect_list(F.col("p_size") / 10.0).alias("m"))
-    return b.select("p_brand", quantised(finance.private_value(F.col("revenue"), F.col("m"), low=1.0)).alias("value"))
-
-
-def bridge_all(spark, sf_dir):
-    """Each brand's revenue at the exact median multiple, over all parts of the brand; no SQL twin, tested by hand."""
+    """Each brand's revenue at the exact median multiple (a part's size over ten, from 1 to 30) over all its parts; equal sizes are counted first."""
     p = views.table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.sum(F.col("p_retailprice").cast("decimal(18,2)")).alias("revenue"), F.count(F.lit(1)).alias("n"))
     m = F.col("p_size") / 10.0
     b = p.groupBy("p_brand").agg(F.sum("revenue").cast("double").alias("revenue"), F.percentile(F.when(m.between(1.0, 30.0), m), 0.5, F.col("n")).alias("middle"))
@@ -50,11 +43,11 @@ def trades(spark, sf_dir):
     return d.select("asset", quantised(finance.traded_weight(F.col("target"), F.col("current"), F.col("alpha"), 0.25), 1e6).alias("weight"))
 
 
-QUERIES = {"debates": debates, "private_bridge": bridge, "private_bridge_all": bridge_all, "retrain_triggers": retraining, "cost_aware_trades": trades}
+QUERIES = {"debates": debates, "private_bridge": bridge, "retrain_triggers": retraining, "cost_aware_trades": trades}
 ORACLE_SQL = {
     "debates": """WITH d AS (SELECT p_partkey, (p_retailprice < 1200)::INT + (p_size > 30)::INT + (p_partkey % 3 = 0)::INT AS bull, (p_retailprice > 1700)::INT + (p_size < 10)::INT + (p_partkey % 5 = 0)::INT AS bear FROM part)
     SELECT p_partkey, bull, bear, CASE WHEN bull - bear >= 2 THEN 'buy' WHEN bear - bull >= 2 THEN 'avoid' ELSE 'wait' END AS verdict FROM d""",
-    "private_bridge": "WITH p AS (SELECT p_brand, p_retailprice, p_size / 10.0::DOUBLE AS m FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 9) SELECT p_brand, "
+    "private_bridge": "WITH p AS (SELECT p_brand, p_retailprice, p_size / 10.0::DOUBLE AS m FROM part) SELECT p_brand, "
     + q({"value": "CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) * (quantile_cont(m, 0.5) FILTER (m BETWEEN 1 AND 30)) * 0.75::DOUBLE * 1.1::DOUBLE"})
     + " FROM p GROUP BY p_brand",
     "retrain_triggers": _IC

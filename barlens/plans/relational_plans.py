@@ -78,10 +78,10 @@ def _numbered(spark, sf_dir) -> DataFrame:
 
 
 def _label_events(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """An event on every fifth bar, for up to six bars, as wide as 0.2 + 0.05 * (bar modulo 3)."""
+    """An event on every bar, for up to six bars, as wide as 0.2 + 0.05 * (bar modulo 3)."""
     bars = _numbered(spark, sf_dir)
     last = F.max("i").over(Window.partitionBy("asset"))
-    e = bars.withColumn("last", last).where("i % 5 = 1").select(
+    e = bars.withColumn("last", last).select(
         (F.col("asset") * 1000 + F.col("i")).alias("event_id"), "asset", F.col("i").alias("i0"), F.least(F.col("i") + 5 + F.col("asset") % 2, F.col("last")).cast("int").alias("i1"), (F.lit(0.2) + F.lit(0.05) * (F.col("i") % 3)).alias("width"), F.when(F.col("i") % 2 == 0, -1).otherwise(1).alias("side")
     )
     return e, bars
@@ -245,7 +245,7 @@ def weekly(spark, sf_dir):
 _EVENTS = (
     _BARS
     + f""", n AS (SELECT asset, t, close, row_number() {_S} AS i FROM bars
-), e AS (SELECT asset * 1000 + i AS event_id, asset, i AS i0, least(i + 5 + asset % 2, max(i) OVER (PARTITION BY asset)) AS i1, 0.2::DOUBLE + 0.05::DOUBLE * (i % 3) AS width, CASE WHEN i % 2 = 0 THEN -1 ELSE 1 END AS side FROM n QUALIFY i % 5 = 1
+), e AS (SELECT asset * 1000 + i AS event_id, asset, i AS i0, least(i + 5 + asset % 2, max(i) OVER (PARTITION BY asset)) AS i1, 0.2::DOUBLE + 0.05::DOUBLE * (i % 3) AS width, CASE WHEN i % 2 = 0 THEN -1 ELSE 1 END AS side FROM n
 ), c AS (SELECT n.asset, n.i, count(e.event_id) AS n FROM n LEFT JOIN e ON n.asset = e.asset AND n.i BETWEEN e.i0 AND e.i1 GROUP BY ALL)"""
 )
 

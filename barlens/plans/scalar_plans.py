@@ -17,8 +17,6 @@ LEXICON = {"with": 0.5, "for": 0.25, "was": 1.0, "from": -0.5, "that": -0.25, "n
 INTENSIFIERS, NEGATORS = ("and", "the"), ("of", "to")
 TIERS = [(2.0, ("license", "apache")), (1.0, ("rights", "the and")), (-1.5, ("idiot", "scum", "trash"))]
 CLASSES = [("legal", ("license", "rights reserved")), ("abuse", ("idiot", "moron", "scum")), ("article", ("the ", "der ", "la "))]
-RAW_TIMES = ["2024-01-05 09:30:00", "2024-01-05T09:30:01", "2024-01-05 09:30", "2024/02/03", "2024/02/03 10:11", "20240203", "1704447000", "1704447000123", "soon", "", None]
-RAW_JSON = ['x {"a": {"b": 1}} y {"c": 2}', "none", None, '[{"i": 1, "s": 0.5}, {"i": 2, "s": 9.0}, {"i": 3}]']
 
 
 def sentiment(spark, sf_dir):
@@ -46,13 +44,23 @@ def similar(spark, sf_dir):
 
 
 def times(spark, sf_dir):
-    d = spark.createDataFrame([(i, r) for i, r in enumerate(RAW_TIMES)], "id int, raw string")
-    return d.select("id", F.date_format(text.tolerant_timestamp("raw"), "yyyy-MM-dd HH:mm:ss").alias("moment"))
+    """A time 7305 days after each order, written in one of seven ways, read back."""
+    moment = F.col("o_orderdate") + F.expr("interval 7305 days")
+    at = lambda f: F.date_format(moment, f)
+    ways = [at("yyyy-MM-dd HH:mm:ss"), at("yyyy-MM-dd'T'HH:mm:ss"), at("yyyy/MM/dd HH:mm"), at("yyyyMMdd"), F.unix_timestamp(moment).cast("string"), F.concat(F.unix_timestamp(moment).cast("string"), F.lit("123")), F.lit("soon")]
+    raw = F.get(F.array(*ways), (F.col("o_orderkey") % 7).cast("int"))
+    d = views.table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
+    return d.select("o_orderkey", F.date_format(text.tolerant_timestamp("raw"), "yyyy-MM-dd HH:mm:ss").alias("moment"))
 
 
 def json_scores(spark, sf_dir):
-    d = spark.createDataFrame([(i, r) for i, r in enumerate(RAW_JSON)], "id int, raw string")
-    return d.select("id", text.first_json("raw").alias("object"), F.coalesce(F.array_join(F.transform(text.parsed_scores("raw"), lambda x: F.concat_ws(":", x["i"].cast("string"), x["s"].cast("string"))), ","), F.lit("")).alias("scores"))
+    """The first object in a note on each event, and the scores in a list of them."""
+    e = views.table(spark, sf_dir, "events")
+    note = F.concat(F.lit("about "), F.col("props"), F.lit(' and {"c": 2}'))
+    scores = F.concat(F.lit('[{"i": 1, "s": '), (F.col("event_id") % 40 / 8.0).cast("string"), F.lit('}, {"i": 2}, {"i": '), (F.col("event_id") % 9).cast("string"), F.lit(', "s": 0.25}]'))
+    d = e.select("event_id", F.when(F.col("event_id") % 10 > 0, note).otherwise("none").alias("note"), F.when(F.col("event_id") % 7 > 0, scores).alias("scores"))
+    joined = F.array_join(F.transform(text.parsed_scores("scores"), lambda x: F.concat_ws(":", x["i"].cast("string"), x["s"].cast("string"))), ",")
+    return d.select("event_id", text.first_json("note").alias("object"), F.coalesce(joined, F.lit("")).alias("scores"))
 
 
 def dates(spark, sf_dir):
@@ -89,7 +97,7 @@ def valuation(spark, sf_dir):
 
 
 def sensitivity(spark, sf_dir):
-    c = _companies(spark, sf_dir).where("p_size = 50")
+    c = _companies(spark, sf_dir)
     grid = spark.createDataFrame([(g, r) for g in (-0.01, 0.0, 0.01) for r in (0.08, 0.1, 0.12)], "dg double, rate double")
     return c.crossJoin(F.broadcast(grid)).select("p_partkey", "dg", "rate", quantised(finance.dcf(F.col("cash"), F.col("growth") + F.col("dg"), F.col("rate"))).alias("value"))
 
@@ -103,12 +111,7 @@ def costs(spark, sf_dir):
 
 
 def slices(spark, sf_dir):
-    o = views.table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("order_id"), F.floor(F.col("o_totalprice") / 10).alias("qty"), (F.col("o_orderkey") % 100 / 100.0).alias("urgency"))
-    return execution.schedule(o, execution.urgency_style(F.col("urgency")))
-
-
-def slices_all(spark, sf_dir):
-    """Schedules of all parent orders; no SQL twin, tested by hand."""
+    """Schedules of all parent orders."""
     o = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.floor(F.col("o_totalprice") / 10).alias("qty"), (F.col("o_orderkey") % 100 / 100.0).alias("urgency"))
     return execution.schedule(o, execution.urgency_style(F.col("urgency")))
 
@@ -196,7 +199,7 @@ QUERIES = {
     "valuation": valuation,
     "valuation_sensitivity": sensitivity,
     "transaction_costs": costs,
-    "order_slices": slices, "order_slices_all": slices_all,
+    "order_slices": slices,
     "capped_fills": fills,
     "kill_switch": switch,
     "flow_control": flow,
@@ -212,19 +215,20 @@ ORACLE_SQL = {
     SELECT page_id, """ + ", ".join(f"{f}trim(regexp_replace(regexp_replace(regexp_replace({c}, '<[^>]*>', ' ', 'g'), '&[a-zA-Z#0-9]+;', ' ', 'g'), '\\s+', ' ', 'g')){e}" for f, c, e in (("", "t", " AS title"), ("length(", "html", ") AS n"))) + " FROM p",
     "token_similarity": f"""WITH w AS (SELECT item_id, text, list_distinct({_WORDS.format(c='text')}) AS w FROM benchmark)
     SELECT a.item_id, """ + q({"similarity": "len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w)))"}) + ", length(a.text) - length(replace(a.text, ' ', '')) AS spaces FROM w a JOIN w b ON b.item_id = a.item_id + 1",
-    "tolerant_times": "SELECT * FROM (VALUES (0, '2024-01-05 09:30:00'), (1, '2024-01-05 09:30:01'), (2, '2024-01-05 09:30:00'), (3, '2024-02-03 00:00:00'), (4, '2024-02-03 10:11:00'), (5, '2024-02-03 00:00:00'), (6, '2024-01-05 09:30:00'), (7, '2024-01-05 09:30:00'), (8, NULL), (9, NULL), (10, NULL)) t(id, moment)",
-    "json_scores": """SELECT * FROM (VALUES (0, '{"a": {"b": 1}}', ''), (1, NULL, ''), (2, NULL, ''), (3, '{"i": 1, "s": 0.5}', '1:0.5,2:1.0')) t(id, object, scores)""",
+    "tolerant_times": """WITH o AS (SELECT o_orderkey, o_orderdate + INTERVAL 7305 DAY AS m FROM orders) SELECT o_orderkey, CASE o_orderkey % 7 WHEN 6 THEN NULL WHEN 3 THEN strftime(m, '%Y-%m-%d 00:00:00') WHEN 2 THEN strftime(m, '%Y-%m-%d %H:%M:00') ELSE strftime(m, '%Y-%m-%d %H:%M:%S') END AS moment FROM o""",
+    "json_scores": """WITH e AS (SELECT event_id, props, event_id % 40 / 8.0::DOUBLE AS s, event_id % 9 AS i FROM events)
+    SELECT event_id, CASE WHEN event_id % 10 > 0 THEN props END AS object, CASE WHEN event_id % 7 > 0 THEN '1:' || least(greatest(s, 0), 1)::VARCHAR || ',' || i::VARCHAR || ':0.25' ELSE '' END AS scores FROM e""",
     "announcement_dates": f"WITH a AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, {_ANNOUNCED} AS announced FROM orders) SELECT o_orderkey, announced, CAST(floor((announced - d) * 252 / 365.0::DOUBLE) AS INT) AS days, " + q({"weight": "pow(0.5::DOUBLE, greatest((announced - d) * 24.0::DOUBLE, 0) / 720)"}) + " FROM a",
     "market_hours": "SELECT event_id, isodow(ts) <= 5 AND ((hour(ts) * 60 + minute(ts)) BETWEEN 570 AND 689 OR (hour(ts) * 60 + minute(ts)) BETWEEN 780 AND 899) AS open FROM events",
     "code_rules": "WITH r AS (SELECT c_custkey, (['60', '30', '68', '00', '83', '92'])[c_custkey % 6 + 1] || lpad(c_custkey::VARCHAR, 4, '0') AS code FROM customer) SELECT c_custkey, code, CASE WHEN left(code, 2) IN ('30', '68') THEN 0.2::DOUBLE WHEN left(code, 2) IN ('83', '92') THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS limit_ratio FROM r",
     "valuation": f"WITH {_CO}, w AS (SELECT *, least(greatest(equity / (equity + debt) * (0.025::DOUBLE + beta * 0.06::DOUBLE) + debt / (equity + debt) * {0.045 * (1 - 0.25)!r}::DOUBLE, 0.05), 0.2) AS wacc FROM co), v AS (SELECT *, {_dcf_sql('growth', 'wacc')} AS dcf, cash * 12 AS pe, equity * (1 + growth) AS pb FROM w), t AS (SELECT *, (CASE WHEN dcf > 0 THEN dcf * 0.5::DOUBLE ELSE 0 END + CASE WHEN pe > 0 THEN pe * 0.3::DOUBLE ELSE 0 END + CASE WHEN pb > 0 THEN pb * 0.2::DOUBLE ELSE 0 END) / (CASE WHEN dcf > 0 THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN pe > 0 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN pb > 0 THEN 0.2::DOUBLE ELSE 0 END) AS target FROM v) SELECT p_partkey, "
     + q({"wacc": "wacc", "dcf": "dcf", "target": "target", "score": "least(greatest(growth / 0.1::DOUBLE * 100, 0), 100) * 0.6::DOUBLE + least(greatest((beta - 1.6::DOUBLE) / (0.6::DOUBLE - 1.6::DOUBLE) * 100, 0), 100) * 0.4::DOUBLE"})
     + ", CASE WHEN target / equity - 1 > 0.1::DOUBLE THEN 'discount' WHEN target / equity - 1 < -0.1::DOUBLE THEN 'premium' ELSE 'fair' END AS verdict, array_to_string(list_filter([CASE WHEN debt > equity THEN 'debt' END, CASE WHEN cash < 0 THEN 'cash' END, CASE WHEN growth > 0.11::DOUBLE THEN 'growth' END], lambda x: x IS NOT NULL), ',') AS flags FROM t",
-    "valuation_sensitivity": f"WITH {_CO}, g AS (SELECT unnest([-0.01, 0.0, 0.01])::DOUBLE AS dg), r AS (SELECT unnest([0.08, 0.1, 0.12])::DOUBLE AS rate) SELECT p_partkey, dg, rate, " + q({"value": _dcf_sql("growth + dg", "rate")}) + " FROM co, g, r WHERE p_size = 50",
+    "valuation_sensitivity": f"WITH {_CO}, g AS (SELECT unnest([-0.01, 0.0, 0.01])::DOUBLE AS dg), r AS (SELECT unnest([0.08, 0.1, 0.12])::DOUBLE AS rate) SELECT p_partkey, dg, rate, " + q({"value": _dcf_sql("growth + dg", "rate")}) + " FROM co, g, r",
     "transaction_costs": "WITH d AS (SELECT l_suppkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / 100 AS adv FROM lineitem GROUP BY 1), o AS (SELECT l_suppkey, l_extendedprice AS v, adv, least(l_extendedprice / adv, 1) AS p FROM lineitem JOIN d USING (l_suppkey)) SELECT l_suppkey, count(*) AS n, "
     + q({"bps": "sum((0.3::DOUBLE / sqrt(252.0::DOUBLE) * (0.1::DOUBLE * p + 0.142::DOUBLE * pow(p, 0.6::DOUBLE)) + 0.0017::DOUBLE) * v) / sum(v) * 1e4", "sqrt_bps": "avg(0.0045::DOUBLE * sqrt(v / adv) * 1e4)"})
     + " FROM o GROUP BY l_suppkey",
-    "order_slices": f"""WITH o AS (SELECT o_orderkey AS order_id, floor(o_totalprice / 10) AS whole, CASE WHEN (o_orderkey % 100) / 100.0::DOUBLE >= 0.7 THEN 'shortfall' WHEN (o_orderkey % 100) / 100.0::DOUBLE >= 0.3 THEN 'vwap' ELSE 'twap' END AS style FROM orders WHERE o_orderkey % 5 = 0
+    "order_slices": f"""WITH o AS (SELECT o_orderkey AS order_id, floor(o_totalprice / 10) AS whole, CASE WHEN (o_orderkey % 100) / 100.0::DOUBLE >= 0.7 THEN 'shortfall' WHEN (o_orderkey % 100) / 100.0::DOUBLE >= 0.3 THEN 'vwap' ELSE 'twap' END AS style FROM orders
     ), s AS (SELECT order_id, style, whole, unnest(generate_series(0, 7))::INT AS slot, unnest(CASE style WHEN 'twap' THEN {_SLICES['twap']} WHEN 'vwap' THEN {_SLICES['vwap']} ELSE {_SLICES['shortfall']} END) AS w FROM o), c AS (SELECT *, floor(whole * w) AS qty FROM s)
     SELECT order_id, slot, style, CASE WHEN slot = 7 THEN whole - sum(qty) OVER (PARTITION BY order_id) + qty ELSE qty END AS qty FROM c""",
     "capped_fills": _BARS
