@@ -15,11 +15,15 @@ def words_of(text: Column | str) -> Column:
 
 def lexicon_score(text: Column | str, lexicon: dict[str, float], intensifiers: tuple[str, ...], negators: tuple[str, ...], boost: float = 1.5, flip: float = -0.8, limit: float = 3.0) -> Column:
     """Sum of the words' scores, times ``boost`` or ``flip`` after an intensifier or a negator, clipped to +-``limit``; null text scores 0."""
-    words = words_of(F.coalesce(col(text), F.lit("")))
     table = F.create_map(*[F.lit(x) for kv in lexicon.items() for x in kv])
-    before = F.concat(F.array(F.lit("")), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
-    hits = F.zip_with(words, before, lambda w, b: F.coalesce(F.try_element_at(table, w), F.lit(0.0)) * F.when(b.isin(*intensifiers), boost).when(b.isin(*negators), flip).otherwise(1.0))
-    return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(clip(F.aggregate(hits, F.lit(0.0), lambda a, x: a + x), -limit, limit))
+    factor = lambda b: F.when(b.isin(*intensifiers), boost).when(b.isin(*negators), flip).otherwise(1.0)
+
+    def total(words: Column) -> Column:
+        hits = F.transform(words, lambda w, i: F.coalesce(F.try_element_at(table, w) * factor(F.coalesce(F.get(words, i - 1), F.lit(""))), F.lit(0.0)))
+        return clip(F.aggregate(hits, F.lit(0.0), lambda a, x: a + x), -limit, limit)
+
+    # Bound by a lambda, so that a text is split once.
+    return F.element_at(F.transform(F.array(words_of(F.coalesce(col(text), F.lit("")))), total), 1)
 
 
 def keyword_hits(text: Column | str, keywords: tuple[str, ...]) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlens.functions.columns import quantised, quantised_sql
+from barlens.functions.columns import guarded_corr, quantised, quantised_sql
 from barlens.operators import evolution, expression, factors, risk, stats
 from barlens.plans.stat_plans import _AVG_RANK, _BARS, _GUARD, _R, _S, q, quantise, returns
 from barlens.sources import views
@@ -100,7 +100,11 @@ def pool(spark, sf_dir):
     fwd = stats.forward_returns(bars)
     exprs = {"a": "sub(close, delay(close, 1))", "b": "sub(close, delay(close, 2))", "c": "sub(vwap, close)", "d": "volume", "e": "ts_std(close, 6)"}
     wide = expression.evaluate(bars, {k: f"rank({e})" for k, e in exprs.items()})
-    ics = {k: stats.rank_ic(stats.paired(wide.select("asset", "t", F.col(k).alias("score")), fwd)).agg(F.avg("ic")).first()[0] for k in exprs}
+    stacked = wide.join(fwd, ["asset", "t"]).select("t", "fwd", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("score")) for k in exprs])).alias("x")).select("t", "fwd", "x.*")
+    of = lambda c: F.rank().over(Window.partitionBy("name", "t").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("name", "t", c)) - 1) / 2
+    ranked = stacked.where("score is not null and fwd is not null").select("name", "t", of("score").alias("x"), of("fwd").alias("y"))
+    ic = ranked.groupBy("name", "t").agg(F.coalesce(guarded_corr(F.col("x"), F.col("y")), F.lit(0.0)).alias("ic"), F.count(F.lit(1)).alias("n")).where("n >= 10")
+    ics = dict(ic.groupBy("name").agg(F.avg("ic")).collect())
     pairs = [(a, b) for a in exprs for b in exprs if a < b]
     corr = wide.groupBy("t").agg(*[stats.guarded_corr(F.col(a), F.col(b)).alias(f"{a}{b}") for a, b in pairs]).agg(*[F.avg(f"{a}{b}").alias(f"{a}{b}") for a, b in pairs]).first()
     chosen = risk.greedy_pool(ics, {(a, b): corr[f"{a}{b}"] or 0.0 for a, b in pairs}, 3, 0.5)
