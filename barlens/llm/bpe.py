@@ -58,14 +58,31 @@ class Ragged:
 
 
 def merge_leftmost(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one word, merging the leftmost pair of least rank again and again."""
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        rank, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-        if rank == 1 << 60:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[p] for p in parts]
+    """The ids of one word, merging the leftmost pair of least rank again and again; a heap of pairs, so that long words take n log n."""
+    parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
+    after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+    queue: list[tuple[int, int, int]] = []
+
+    def offer(i: int) -> None:
+        if 0 <= i and after[i] < len(parts):
+            pair = parts[i] + parts[after[i]]
+            if pair in ranks:
+                heapq.heappush(queue, (ranks[pair], i, len(pair)))
+
+    for i in range(len(parts)):
+        offer(i)
+    while queue:
+        rank, i, length = heapq.heappop(queue)
+        j = after[i]
+        # Of a place that was merged since, the pair is another: ranks tell it but for its length.
+        if parts[i] is None or j >= len(parts) or len(parts[i]) + len(parts[j]) != length or ranks.get(parts[i] + parts[j]) != rank:
+            continue
+        parts[i], parts[j], after[i] = parts[i] + parts[j], None, after[j]
+        if after[j] < len(parts):
+            before[after[j]] = i
+        offer(i)
+        offer(before[i])
+    return [ranks[p] for p in parts if p is not None]
 
 
 def distinct(places: np.ndarray) -> np.ndarray:
