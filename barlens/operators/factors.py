@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from barlens.functions.columns import guarded_corr, quantised
 from barlens.operators.expression import cross, cross_zscore, series, trailing, when_full
 
-EMA_BARS = 250
+#: Bars of a block of exponential weights.
+EMA_BLOCK = 512
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -44,18 +45,32 @@ def last_rank(c: Column, w: int) -> Column:
     return when_full(F.size(F.filter(values, lambda x: x <= c)) / F.size(values), w)
 
 
-def ema(c: Column, span: int) -> Column:
-    """Exponential mean with weights adjusted to the bars there are (at most the last 250)."""
-    values, keep = F.collect_list(c).over(trailing(EMA_BARS)), 1 - 2 / (span + 1)
-    top = F.aggregate(values, F.lit(0.0), lambda acc, x: acc * keep + x)
-    return top / F.aggregate(values, F.lit(0.0), lambda acc, x: acc * keep + 1.0)
+def with_emas(df: DataFrame, value: str, spans: dict[str, int]) -> DataFrame:
+    """Adds exponential means of all bars so far, with weights adjusted to the bars there are; a null value is no bar.
+
+    An asset's bars are summed in blocks with weights that grow by bar and are taken back at each row, so that no weight overflows. A block begins with the mean
+    at the end of the one before it; what is older than that block weighs less than the last bit of a double (span 26: 1e-18)."""
+    so_far = series().rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__i", F.count(value).over(so_far) - 1)
+    df = df.withColumns({"__k": F.pmod("__i", F.lit(EMA_BLOCK)), "__b": F.floor(F.col("__i") / EMA_BLOCK)})
+    block = Window.partitionBy("asset", "__b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    keep = {n: 1 - 2 / (span + 1) for n, span in spans.items()}
+    power = lambda n, k: F.pow(F.lit(keep[n]), k)
+    df = df.withColumns({f"__{n}": F.sum(F.col(value) * power(n, -F.col("__k"))).over(block) * power(n, F.col("__k")) for n in spans})
+    before = series().rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.col(value).isNotNull() & (F.col("__k") == EMA_BLOCK - 1)
+    df = df.withColumns({f"__{n}_old": F.coalesce(F.last(F.when(ends, F.col(f"__{n}")), ignorenulls=True).over(before), F.lit(0.0)) for n in spans})
+    bars = F.col("__k") + F.when(F.col("__b") > 0, F.lit(EMA_BLOCK)).otherwise(0) + 1
+    out = {n: F.when(F.col("__i") >= 0, (F.col(f"__{n}") + F.col(f"__{n}_old") * power(n, F.col("__k") + 1)) * (1 - keep[n]) / (1 - power(n, bars))) for n in spans}
+    return df.withColumns(out).drop("__i", "__k", "__b", *[x for n in spans for x in (f"__{n}", f"__{n}_old")])
 
 
 def library_factors(bars: DataFrame, shares: Column | None = None) -> DataFrame:
     """(asset, t, momentum ... alpha10): the twenty-one library factors."""
     o, c, v, low = F.col("open"), F.col("close"), F.col("volume"), F.col("low")
     d = F.col("d1")
-    df = bars.withColumns({"r": change(c), "d1": c - F.lag(c).over(series()), "d2lnv": F.log(v) - F.log(F.lag(v, 2).over(series())), "body": ratio(c - o, o), "rank_low": percent_rank(low), "shares": F.lit(9973.0) if shares is None else shares})
+    df = with_emas(bars, "close", {"ema12": 12, "ema26": 26})
+    df = df.withColumns({"r": change(c), "d1": c - F.lag(c).over(series()), "d2lnv": F.log(v) - F.log(F.lag(v, 2).over(series())), "body": ratio(c - o, o), "rank_low": percent_rank(low), "shares": F.lit(9973.0) if shares is None else shares})
     r = F.col("r")
     df = df.withColumns(
         {
@@ -92,7 +107,7 @@ def library_factors(bars: DataFrame, shares: Column | None = None) -> DataFrame:
         change(c, 20).alias("momentum"),
         ratio(c - F.col("ma20"), F.col("sd20")).alias("mean_reversion"),
         F.when(F.col("dn14") == 0, 100.0).otherwise(100 - 100 / (1 + ratio(F.col("up14"), F.col("dn14")))).alias("rsi"),
-        (ema(c, 12) - ema(c, 26)).alias("macd"),
+        (F.col("ema12") - F.col("ema26")).alias("macd"),
         ratio(c - F.col("ma20"), 4 * F.col("sd20")).alias("bollinger"),
         ratio(total(v * r, 20), total(v, 20)).alias("vwm"),
         change(v, 10).alias("vol_roc"),
