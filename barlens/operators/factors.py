@@ -45,7 +45,7 @@ def last_rank(c: Column, w: int) -> Column:
     return when_full(F.size(F.filter(values, lambda x: x <= c)) / F.size(values), w)
 
 
-def with_emas(df: DataFrame, value: str, spans: dict[str, int]) -> DataFrame:
+def with_emas(df: DataFrame, value: str, spans: dict[str, float]) -> DataFrame:
     """Adds exponential means of all bars so far, with weights adjusted to the bars there are; a null value is no bar.
 
     An asset's bars are summed in blocks with weights that grow by bar and are taken back at each row, so that no weight overflows. A block begins with the mean

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlens.operators.factors import change
+from barlens.operators.factors import change, with_emas
 
 STYLES = ("momentum", "volatility", "size", "liquidity")
 
@@ -172,15 +172,13 @@ def tree_scores(rows: DataFrame, names: tuple[str, ...], model: str = "forest",
     return make.fit(v.where("train")).transform(v.where("test")).drop("__x")
 
 
-def expert_weights(ic_by_factor: DataFrame, half_life: int = 6, sharpness: float = 20.0) -> DataFrame:
-    """(t, factor, weight): softmax over factors of the exponentially weighted mean of each factor's ICs before t."""
-    w = Window.partitionBy("factor").orderBy("t").rowsBetween(-60, -1)
-    keep = 0.5 ** (1 / half_life)
-    past = F.collect_list("ic").over(w)
-    top = F.aggregate(past, F.lit(0.0), lambda a, x: a * keep + x)
-    bottom = F.aggregate(past, F.lit(0.0), lambda a, x: a * keep + 1.0)
-    d = ic_by_factor.withColumn("m", F.coalesce(F.try_divide(top, bottom), F.lit(0.0))).withColumn("e", F.exp(F.col("m") * sharpness))
-    return d.select("t", "factor", (F.col("e") / F.sum("e").over(Window.partitionBy("t"))).alias("weight"))
+def expert_weights(ic_by_factor: DataFrame, half_life: float = 6, sharpness: float = 20.0) -> DataFrame:
+    """(t, factor, weight): softmax over factors of the exponentially weighted mean of all of each factor's ICs before t."""
+    span = 2 / (1 - 0.5 ** (1 / half_life)) - 1
+    d = with_emas(ic_by_factor.withColumnRenamed("factor", "asset"), "ic", {"m": span})
+    before = F.last("m", ignorenulls=True).over(Window.partitionBy("asset").orderBy("t").rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("e", F.exp(F.coalesce(before, F.lit(0.0)) * sharpness))
+    return d.select("t", F.col("asset").alias("factor"), (F.col("e") / F.sum("e").over(Window.partitionBy("t"))).alias("weight"))
 
 
 def greedy_pool(ics: dict[str, float], correlations: dict[tuple[str, str], float], most: int, limit: float) -> list[str]:

@@ -82,8 +82,8 @@ def forest_ic(spark, sf_dir):
     return stats.rank_ic(risk.tree_scores(_rows(spark, sf_dir), NAMES))
 
 
-def experts(spark, sf_dir):
-    """Gate weights of three factors from their past ICs."""
+def ics_of(spark, sf_dir) -> DataFrame:
+    """(t, factor, ic) of three factors."""
     bars = views.supplier_bars(spark, sf_dir)
     fwd = stats.forward_returns(bars)
     wide = expression.evaluate(bars, {"mom": "sub(close, delay(close, 3))", "gap": "sub(vwap, close)", "vol": "volume"})
@@ -91,7 +91,12 @@ def experts(spark, sf_dir):
     for f in ("mom", "gap", "vol"):
         one = stats.rank_ic(stats.paired(wide.select("asset", "t", F.col(f).alias("score")), fwd)).select("t", F.lit(f).alias("factor"), quantised("ic").alias("ic"))
         ics = one if ics is None else ics.unionByName(one)
-    return quantise(risk.expert_weights(ics), "t", "factor")
+    return ics
+
+
+def experts(spark, sf_dir):
+    """Gate weights of three factors from their past ICs."""
+    return quantise(risk.expert_weights(ics_of(spark, sf_dir)), "t", "factor")
 
 
 def pool(spark, sf_dir):
@@ -182,7 +187,7 @@ ORACLE_SQL = {
     "expert_weights": _BARS
     + f""", z AS (SELECT asset, t, close - lag(close, 3) {_S} AS mom, vwap - close AS gap, volume AS vol, lead(close) {_S} / close - 1 AS fwd FROM bars
     ), i AS ({_ic_sql('mom', 'mom')} UNION ALL {_ic_sql('gap', 'gap')} UNION ALL {_ic_sql('vol', 'vol')}
-    ), p AS (SELECT t, factor, coalesce(list(ic) OVER (PARTITION BY factor ORDER BY t ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), []) AS past FROM i
+    ), p AS (SELECT t, factor, coalesce(list(ic) OVER (PARTITION BY factor ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS past FROM i
     ), g AS (SELECT t, factor, exp(CASE WHEN len(past) > 0 THEN list_reduce(list_prepend(0.0::DOUBLE, past), lambda a, x: a * {_KEEP}::DOUBLE + x) / list_reduce(list_prepend(0.0::DOUBLE, past), lambda a, x: a * {_KEEP}::DOUBLE + 1) ELSE 0 END * 20) AS e FROM p)
     SELECT t, factor, """
     + q({"weight": "e / sum(e) OVER (PARTITION BY t)"})
