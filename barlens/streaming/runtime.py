@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 WATERMARK = "10 minutes"
@@ -117,10 +118,21 @@ def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _into(check, sink: str):
+    """A batch's checked rows go to the folder of its number, so that a batch that is run again replaces what it wrote."""
+
+    def execute(batch: DataFrame, i: int) -> None:
+        check(batch).write.mode("overwrite").parquet(f"{sink}/batch={i}")
+
+    return execute
+
+
 def gated(stream: DataFrame, check, sink: str, checkpoint: str) -> None:
-    """Each micro-batch passes ``check`` (a function of a DataFrame) before it is appended: the gate-and-execute loop."""
+    """Each micro-batch passes ``check`` (a function of a DataFrame) before it is kept in ``sink``: the gate-and-execute loop, until the source is drained."""
+    stream.writeStream.foreachBatch(_into(check, sink)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    def execute(batch: DataFrame, _: int) -> None:
-        check(batch).write.mode("append").parquet(sink)
 
-    stream.writeStream.foreachBatch(execute).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def live(stream: DataFrame, check, sink: str, checkpoint: str, immediate: bool = False, every: str = "5 seconds") -> StreamingQuery:
+    """The running query of the same loop: what arrives passes at once, or, buffered, ``every`` so long. The caller stops it; a restart goes on from the checkpoint."""
+    writer = stream.writeStream.foreachBatch(_into(check, sink)).option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime="0 seconds" if immediate else every).start()
