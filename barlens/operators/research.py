@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlens.functions.columns import guarded_corr
 from barlens.operators import factors, portfolio, selection, stats
 from barlens.operators.expression import cross, cross_zscore
 
@@ -248,3 +249,30 @@ def daily_run(items: DataFrame, known: DataFrame, cash: float, least: float, mos
     n = best.agg(F.count(F.lit(1)).alias("n"))
     buys = best.crossJoin(F.broadcast(n)).select("asset", (F.lit(cash) / F.col("n")).alias("bought"))
     return s.join(F.broadcast(buys), "asset", "left").select("asset", "score", "triggered", F.coalesce("bought", F.lit(0.0)).alias("bought"))
+
+
+def pool_greedy(wide: DataFrame, forward: DataFrame, names: tuple[str, ...], k: int = 3, least_gain: float = 0.0, least: int = 10) -> list[tuple[str, float, float]]:
+    """(name, IC of the pool with it, gain) of at most ``k`` candidates: each step adds the one whose rank, summed with those of the pool, has the largest mean
+    rank-IC, ties to the name, while the gain exceeds ``least_gain`` (the first one is always taken).
+
+    One job a step for all candidates left; rows need all scores and a return, dates ``least`` such rows."""
+    ok = F.col("fwd").isNotNull()
+    for c in names:
+        ok = ok & F.col(c).isNotNull()
+    ranked = wide.join(forward, ["asset", "t"]).where(ok).select("t", *[stats.average_rank(c).alias(c) for c in names], stats.average_rank("fwd").alias("y"))
+    by = Window.partitionBy("name", "t")
+    tied = F.rank().over(by.orderBy("s")) + (F.count(F.lit(1)).over(Window.partitionBy("name", "t", "s")) - 1) / 2
+    chosen: list[tuple[str, float, float]] = []
+    before = 0.0
+    while len(chosen) < min(k, len(names)):
+        pool = sum((F.col(c) for c, _, _ in chosen), F.lit(0.0))
+        left = [c for c in names if c not in {x for x, _, _ in chosen}]
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), (pool + F.col(c)).alias("s")) for c in left]))
+        d = ranked.select("t", "y", each.alias("x")).select("t", "y", "x.*").select("name", "t", "y", tied.alias("r"))
+        ic = d.groupBy("name", "t").agg(F.coalesce(guarded_corr(F.col("r"), F.col("y")), F.lit(0.0)).alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        found = sorted((-r["ic"], r["name"]) for r in ic.groupBy("name").agg(F.avg("ic").alias("ic")).collect())
+        if not found or (chosen and -found[0][0] - before <= least_gain):
+            break
+        chosen.append((found[0][1], -found[0][0], -found[0][0] - before))
+        before = -found[0][0]
+    return chosen

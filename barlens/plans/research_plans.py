@@ -121,6 +121,20 @@ def nested(spark, sf_dir):
     return quantise(research.nested_targets(alpha, cov, current, 1e4, 0.4), "asset")
 
 
+def deflated_ic(spark, sf_dir):
+    """Probabilistic and deflated ICIR of the candidates' ICs, each one of three trials: moments from Spark."""
+    rows = stats.moments(ics_of(spark, sf_dir).select(F.col("factor").alias("asset"), "t", F.col("ic").alias("r"))).collect()  # three factors
+    out = [(m["asset"], m["n"], (m["mean"] / m["sd"] if m["sd"] else 0.0), m["skew"], m["kurt"]) for m in rows]
+    return spark.createDataFrame([(a, x, stats.probabilistic_sharpe(x, n, s, k), stats.deflated_sharpe(x, n, s, k, len(rows))) for a, n, x, s, k in out], "factor string, icir double, psr double, dsr double")
+
+
+def pool_greedy(spark, sf_dir):
+    bars = views.supplier_bars(spark, sf_dir)
+    wide = expression.evaluate(bars, {k: e for k, (e, _) in CANDIDATES.items()})
+    found = research.pool_greedy(wide, stats.forward_returns(bars), tuple(CANDIDATES))
+    return spark.createDataFrame([(i, n, ic, gain) for i, (n, ic, gain) in enumerate(found)], "place int, name string, ic double, gain double")
+
+
 def anchors(spark, sf_dir):
     """Each part's price against means over its brand, its kind and its size, a mean of fewer than two parts being none."""
     p = views.table(spark, sf_dir, "part")
@@ -164,6 +178,8 @@ QUERIES = {
     "research_run": run,
     "nested_targets": nested,
     "valuation_anchor": anchors,
+    "deflated_ic": deflated_ic,
+    "pool_greedy": pool_greedy,
 }
 ORACLE_SQL = {
     "meta_dataset": _META + " SELECT asset, t, " + q({k: k for k in (*FEATURES, "fwd")}) + ", label, split FROM meta",
