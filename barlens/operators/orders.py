@@ -165,3 +165,50 @@ def buy_and_hold(bars: DataFrame, coverage: float = 0.9, year: int = 244) -> Dat
     path = price.withColumn("r", F.col("p") / F.lag("p").over(w) - 1).withColumn("d", F.col("p") / F.max("p").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     years = F.count(F.lit(1)) / float(year)
     return path.agg(F.max("n").alias("assets"), (F.pow(F.max_by("p", "t") / F.min_by("p", "t"), 1 / years) - 1).alias("annual"), (F.avg("r") / F.stddev_samp("r") * float(np.sqrt(year))).alias("sharpe"), F.min("d").alias("drawdown"))
+
+
+def settled_account(trades: DataFrame, commission: float = 2.5e-4, minimum: float = 5.0, stamp: float = 5e-4) -> DataFrame:
+    """(account, asset, day, bought, sold, kept, fees) from ``trades`` (account, asset, day, side, qty, price): what is bought may be sold from the next day on.
+
+    A day's sales go as far as settled holdings do; ``kept`` is what is left of these. Holdings follow x = max(x + bought the day before - asked, 0),
+    which running sums and their least value give, so no account is folded row by row. Fees: commission on either side's value of the day, ``minimum`` at least,
+    and stamp duty on sales. Trades without a positive quantity and price are left out."""
+    buys, sells = F.col("side") == "buy", F.col("side") == "sell"
+    total = lambda side, c: F.coalesce(F.sum(F.when(side, c)), F.lit(0.0))
+    value = (F.col("qty") * F.col("price")).cast("decimal(38,4)")
+    d = trades.where("qty > 0 and price > 0").groupBy("account", "asset", "day").agg(
+        total(buys, F.col("qty")).alias("bought"), total(sells, F.col("qty")).alias("asked"), total(buys, value).cast("double").alias("paid"), total(sells, value).cast("double").alias("worth")
+    )
+    w = Window.partitionBy("account", "asset").orderBy("day")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("step", F.lag("bought", 1, 0.0).over(w) - F.col("asked")).withColumn("s", F.sum("step").over(so_far))
+    d = d.withColumn("kept", F.col("s") - F.least(F.lit(0.0), F.min("s").over(so_far)))
+    d = d.withColumn("sold", F.lag("kept", 1, 0.0).over(w) + F.lag("bought", 1, 0.0).over(w) - F.col("kept"))
+    got = F.coalesce(F.try_divide(F.col("worth") * F.col("sold"), "asked"), F.lit(0.0))
+    fee = lambda v: F.when(v > 0, F.greatest(v * commission, F.lit(minimum))).otherwise(0.0)
+    return d.select("account", "asset", "day", "bought", "sold", "kept", (fee(F.col("paid")) + fee(got) + got * stamp).alias("fees"))
+
+
+def event_veto(orders: DataFrame, days: float = 3.0) -> DataFrame:
+    """``orders`` (key, id, ts, side, negative) with ``vetoed``: a buy within so many days after the key's last negative row before it (by ts, id)."""
+    before = Window.partitionBy("key").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("negative"), F.col("ts")), ignorenulls=True).over(before)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    age = micros(F.col("ts")) - micros(last)
+    return orders.withColumn("vetoed", (F.col("side") == "buy") & F.coalesce(age <= int(days * 86400 * 1e6), F.lit(False)))
+
+
+def shrunk_to_tracking(weights: DataFrame, returns: DataFrame, most: float, periods: int = 252) -> DataFrame:
+    """(asset, weight) from (asset, weight, benchmark) and (asset, t, r): the active part is scaled down until its tracking error is at most ``most``."""
+    active = returns.where("r is not null").join(weights, "asset").groupBy("t").agg(F.sum((F.col("weight") - F.col("benchmark")) * F.col("r")).alias("a"))
+    te = active.agg((F.stddev_pop("a") * float(np.sqrt(periods))).alias("te"))
+    k = F.when(F.col("te") > most, most / F.col("te")).otherwise(1.0)
+    return weights.crossJoin(F.broadcast(te)).select("asset", (F.col("benchmark") + k * (F.col("weight") - F.col("benchmark"))).alias("weight"))
+
+
+def index_returns(bars: DataFrame, index: Column, dates: DataFrame) -> DataFrame:
+    """(t, r) of the asset that ``index`` picks, on every row of ``dates`` (t): close over the index's last close before; 0 where there is none, or it is not finite."""
+    w = Window.orderBy("t")  # one asset's bars
+    r = bars.where(index).select("t", (F.try_divide("close", F.lag("close").over(w)) - 1).alias("r"))
+    finite = F.col("r").isNotNull() & ~F.isnan("r") & (F.abs("r") != float("inf"))
+    return dates.select("t").distinct().join(r, "t", "left").select("t", F.when(finite, F.col("r")).otherwise(0.0).alias("r"))

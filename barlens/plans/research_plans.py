@@ -151,6 +151,36 @@ def anchors(spark, sf_dir):
     return quantise(d.withColumn("tier", orders.valuation_tier(F.col("implied"))), "p_partkey", "n_methods", "verdict")
 
 
+def account(spark, sf_dir):
+    """Suppliers as accounts and brands as assets; returned lines are sales."""
+    part = views.table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    side = F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy")
+    d = views.table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    d = d.select(F.col("l_suppkey").alias("account"), F.col("p_brand").alias("asset"), F.to_date("l_shipdate").alias("day"), side.alias("side"), F.col("l_quantity").alias("qty"), F.try_divide("l_extendedprice", "l_quantity").alias("price"))
+    return quantise(orders.settled_account(d), "account", "asset", "day")
+
+
+def veto(spark, sf_dir):
+    """Purchases of a user within three days after an error."""
+    e = views.table(spark, sf_dir, "events")
+    d = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", F.when(F.col("event_type") == "purchase", "buy").otherwise("none").alias("side"), (F.col("event_type") == "error").alias("negative"))
+    return orders.event_veto(d).where("side = 'buy'").select("id", "vetoed")
+
+
+def shrunk(spark, sf_dir):
+    """Volume weights against equal ones, at a tracking error of 10 % a year."""
+    bars = views.supplier_bars(spark, sf_dir)
+    v = bars.groupBy("asset").agg(F.sum("volume").alias("v"))
+    w = v.crossJoin(F.broadcast(v.agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n")))).select("asset", (F.col("v") / F.col("s")).alias("weight"), (1 / F.col("n")).alias("benchmark"))
+    r = bars.select("asset", "t", factors.change(F.col("close")).alias("r"))
+    return orders.shrunk_to_tracking(w, r, 0.1, 12).select("asset", quantised("weight", 1e6).alias("weight"))
+
+
+def index_returns(spark, sf_dir):
+    bars = views.event_bars(spark, sf_dir)
+    return quantise(orders.index_returns(bars, F.col("asset") == "view", bars), "t")
+
+
 _META = (
     _BARS
     + f""", v AS (SELECT asset, t, {', '.join(f'{s} AS {k}' for k, (_, s) in FEATURES.items())}, lead(close) {_S} / close - 1 AS fwd FROM bars
@@ -178,6 +208,10 @@ QUERIES = {
     "research_run": run,
     "nested_targets": nested,
     "valuation_anchor": anchors,
+    "settled_account": account,
+    "event_veto": veto,
+    "shrunk_weights": shrunk,
+    "index_returns": index_returns,
     "deflated_ic": deflated_ic,
     "pool_greedy": pool_greedy,
 }
@@ -230,4 +264,21 @@ ORACLE_SQL = {
     + """, 0) AS anchor FROM p), i AS (SELECT *, anchor / price - 1 AS implied FROM a) SELECT p_partkey, """
     + q({"anchor": "anchor", "implied": "implied", "low": "least(brand, kind, size)", "high": "greatest(brand, kind, size)", "tier": "CASE WHEN implied IS NULL THEN 0.5 WHEN implied >= 0.3 THEN 1 WHEN implied >= 0.15 THEN 0.8 WHEN implied >= 0 THEN 0.5 WHEN implied >= -0.1 THEN 0.3 ELSE 0.1 END::DOUBLE"})
     + ", coalesce((brand > 0)::INT, 0) + coalesce((kind > 0)::INT, 0) + coalesce((size > 0)::INT, 0) AS n_methods, CASE WHEN implied IS NULL THEN 'unknown' WHEN implied > 0.1::DOUBLE THEN 'cheap' WHEN implied < -0.1::DOUBLE THEN 'dear' ELSE 'fair' END AS verdict FROM i",
+    "settled_account": """WITH d AS (SELECT l_suppkey AS account, p_brand AS asset, CAST(l_shipdate AS DATE) AS day, coalesce(sum(l_quantity) FILTER (l_returnflag <> 'R'), 0) AS bought, coalesce(sum(l_quantity) FILTER (l_returnflag = 'R'), 0) AS asked,
+      CAST(coalesce(sum(CAST(l_extendedprice AS DECIMAL(38,4))) FILTER (l_returnflag <> 'R'), 0) AS DOUBLE) AS paid, CAST(coalesce(sum(CAST(l_extendedprice AS DECIMAL(38,4))) FILTER (l_returnflag = 'R'), 0) AS DOUBLE) AS worth
+      FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0 AND l_extendedprice > 0 GROUP BY ALL
+    ), a AS (SELECT *, coalesce(lag(bought) OVER w, 0) AS before, coalesce(lag(bought) OVER w, 0) - asked AS step FROM d WINDOW w AS (PARTITION BY account, asset ORDER BY day)
+    ), b AS (SELECT *, sum(step) OVER (PARTITION BY account, asset ORDER BY day ROWS UNBOUNDED PRECEDING) AS s FROM a
+    ), c AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY account, asset ORDER BY day ROWS UNBOUNDED PRECEDING)) AS kept FROM b
+    ), e AS (SELECT *, coalesce(lag(kept) OVER (PARTITION BY account, asset ORDER BY day), 0) + before - kept AS sold FROM c
+    ), f AS (SELECT *, CASE WHEN asked > 0 THEN worth * sold / asked ELSE 0 END AS got FROM e) SELECT account, asset, day, """
+    + q({"bought": "bought", "sold": "sold", "kept": "kept", "fees": "CASE WHEN paid > 0 THEN greatest(paid * 2.5e-4::DOUBLE, 5) ELSE 0 END + CASE WHEN got > 0 THEN greatest(got * 2.5e-4::DOUBLE, 5) ELSE 0 END + got * 5e-4::DOUBLE"})
+    + " FROM f",
+    "event_veto": """WITH l AS (SELECT *, last_value(CASE WHEN event_type = 'error' THEN ts END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bad FROM events)
+    SELECT event_id AS id, coalesce(ts - bad <= INTERVAL 3 DAY, false) AS vetoed FROM l WHERE event_type = 'purchase'""",
+    "shrunk_weights": _BARS
+    + f""", v AS (SELECT asset, sum(volume) AS v FROM bars GROUP BY asset), w AS (SELECT asset, v / sum(v) OVER () AS w, 1.0::DOUBLE / count(*) OVER () AS b FROM v
+    ), r AS (SELECT asset, t, close / lag(close) {_S} - 1 AS r FROM bars), a AS (SELECT t, sum((w - b) * r) AS a FROM r JOIN w USING (asset) WHERE r IS NOT NULL GROUP BY t), e AS (SELECT stddev_pop(a) * sqrt(12.0::DOUBLE) AS te FROM a)
+    SELECT asset, floor((b + CASE WHEN te > 0.1::DOUBLE THEN 0.1::DOUBLE / te ELSE 1 END * (w - b)) * 1e6 + 0.5) / 1e6 AS weight FROM w, e""",
+    "index_returns": "WITH " + views.SQL["event_bars"] + """, i AS (SELECT t, close / nullif(lag(close) OVER (ORDER BY t), 0) - 1 AS r FROM bars WHERE asset = 'view') SELECT t, """ + q({"r": "coalesce(r, 0)"}) + " FROM (SELECT DISTINCT t FROM bars) LEFT JOIN i USING (t)",
 }
