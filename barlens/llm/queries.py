@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_bpe
+from .divergence import OP13_SQL, op13_divergence
 from .licenses import op8_licenses
 from .mixing import OP6_SQL, op6_mixing
 from .neighbours import op2_neighbours
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_paragraphs": op9_paragraphs,
     "op10_simhash": op10_simhash,
+    "op13_divergence": op13_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op13_divergence": OP13_SQL}
