@@ -13,6 +13,7 @@ from .mixing import OP6_SQL, op6_mixing
 from .neighbours import op2_neighbours
 from .packing import op4_packing
 from .paragraphs import op9_paragraphs
+from .prefix_trie import OP12_SQL, op12_prefix_trie
 from .quality import op7_quality
 from .secrets import op3_secrets
 from .simhash import op10_simhash
@@ -29,7 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_paragraphs": op9_paragraphs,
     "op10_simhash": op10_simhash,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_divergence": op13_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op13_divergence": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL, "op12_prefix_trie": OP12_SQL, "op13_divergence": OP13_SQL}
