@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_bpe
 from .divergence import OP13_SQL, op13_divergence
+from .language_model import op11_lm_score
 from .licenses import op8_licenses
 from .mixing import OP6_SQL, op6_mixing
 from .neighbours import op2_neighbours
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_paragraphs": op9_paragraphs,
     "op10_simhash": op10_simhash,
+    "op11_lm_score": op11_lm_score,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_divergence": op13_divergence,
 }
