@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.functions.columns import guarded_corr
-from barlens.operators import factors, portfolio, selection, stats
+from barlens.operators import factors, portfolio, risk, selection, stats
 from barlens.operators.expression import cross, cross_zscore
+from barlens.sources import scratch
 
 # Expression templates and the lags that stand for {L}; an empty tuple for a template without one.
 TEMPLATES: list[tuple[str, tuple[int, ...]]] = [
@@ -83,17 +84,22 @@ def meta_dataset(rows: DataFrame, names: tuple[str, ...], train_end: int, embarg
 
     Dates before number ``train_end`` train, those from ``embargo`` later test, those between are left out. Rows need a return, and all
     features on the first ``warm`` dates; dates with fewer than 5 such rows, or fewer than a third of all assets, are left out."""
+    split = F.when(F.col("i") < train_end, "train").when(F.col("i") >= train_end + embargo, "test")
+    return meta_rows(rows, names, warm, cost_bps).withColumn("split", split).where("split is not null").drop("i")
+
+
+def meta_rows(rows: DataFrame, names: tuple[str, ...], warm: int = 40, cost_bps: float = 0.0) -> DataFrame:
+    """(asset, t, i, names ..., fwd, label): the rows of :func:`meta_dataset` before the split; nothing of a row depends on later dates."""
     n_assets = rows.agg(F.count_distinct("asset").alias("n_assets"))
     ok = F.col("fwd").isNotNull()
     complete = F.lit(True)
     for c in names:
         complete = complete & F.col(c).isNotNull()
-    split = F.when(F.col("i") < train_end, "train").when(F.col("i") >= train_end + embargo, "test")
-    d = dated(rows).withColumns({"split": split, "ok": ok & ((F.col("i") >= warm) | complete)}).where("split is not null")
+    d = dated(rows).withColumn("ok", ok & ((F.col("i") >= warm) | complete))
     d = d.withColumns({f"__{c}": F.coalesce(cross_zscore(F.col(c)), F.lit(0.0)) for c in names}).withColumn("n_ok", F.count_if("ok").over(cross()))
     d = d.crossJoin(F.broadcast(n_assets)).where(F.col("ok") & (F.col("n_ok") >= F.greatest(F.lit(5), F.floor(F.col("n_assets") / 3))))
     label = (F.col("fwd") - 2 * cost_bps / 1e4 > 0).cast("int")
-    return d.select("asset", "t", *[F.col(f"__{c}").alias(c) for c in names], "fwd", label.alias("label"), "split")
+    return d.select("asset", "t", "i", *[F.col(f"__{c}").alias(c) for c in names], "fwd", label.alias("label"))
 
 
 def win_probability(data: DataFrame, names: tuple[str, ...], trees: int = 60, depth: int = 3, step: float = 0.1, seed: int = 42) -> DataFrame:
@@ -102,25 +108,33 @@ def win_probability(data: DataFrame, names: tuple[str, ...], trees: int = 60, de
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    v = VectorAssembler(inputCols=list(names), outputCol="__x").transform(data)
-    n, kinds = v.where("split = 'train'").agg(F.count(F.lit(1)), F.count_distinct("label")).first()
+    v = VectorAssembler(inputCols=list(names), outputCol="__x")
+    train = data.where("split = 'train'")
+    n, kinds = train.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
     if n < 30 or kinds < 2:
         raise ValueError(f"{n} training rows with {kinds} labels; 30 rows and both labels are needed")
-    model = GBTClassifier(featuresCol="__x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed).fit(v.where("split = 'train'"))
-    out = model.transform(v.where("split = 'test'"))
+    model = GBTClassifier(featuresCol="__x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed).fit(v.transform(risk.in_order(train, names, n)))
+    out = model.transform(v.transform(data.where("split = 'test'")))
     return out.select("asset", "t", *names, "fwd", "label", vector_to_array("probability")[1].alias("p"))
 
 
 def hit_rate(scored: DataFrame, fraction: float = 0.3) -> DataFrame:
     """One row (rate, n): share of label 1 among the ``fraction`` of rows (one at least) with the largest ``p``, to six digits.
 
-    Counts by value of p are summed from the top, so that rows are not sorted in one place; rows of the last value count by their mean."""
-    by = scored.groupBy(F.round("p", 6).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("hits"))
+    Thousandths of p are counted first, which finds the one that holds the last row; only values within it are ordered, a thousand at most, so no window
+    grows with the rows. Rows of the last value count by their mean."""
+    by = scored.groupBy(F.round(F.col("p") * 1e6).cast("long").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("hits")).withColumn("cell", F.floor(F.col("p") / 1000))
     total = by.agg(F.greatest(F.floor(F.sum("n") * fraction), F.lit(1)).alias("top"))
-    above = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = by.groupBy("cell").agg(F.sum("n").alias("in_cell"))
+    # One row a thousandth, then one row a value of a single thousandth.
+    before = cells.withColumn("before", F.coalesce(F.sum("in_cell").over(Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    d = by.join(F.broadcast(before), "cell").crossJoin(F.broadcast(total)).where(F.col("before") < F.col("top"))
+    cut = F.col("before") + F.col("in_cell") > F.col("top")
+    order = Window.partitionBy("cell").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
+    last = d.where(cut).withColumn("above", F.col("before") + F.coalesce(F.sum("n").over(order), F.lit(0)))
     taken = F.least(F.greatest(F.col("top") - F.col("above"), F.lit(0)), F.col("n"))
-    d = by.withColumn("above", above).crossJoin(F.broadcast(total)).withColumn("taken", taken)
-    return d.agg((F.sum(F.col("hits") * F.col("taken") / F.col("n")) / F.sum("taken")).alias("rate"), F.sum("taken").alias("n"))
+    both = d.where(~cut).select("hits", "n", F.col("n").alias("taken")).unionByName(last.select("hits", "n", taken.alias("taken")))
+    return both.agg((F.sum(F.col("hits") * F.col("taken") / F.col("n")) / F.sum("taken")).alias("rate"), F.sum("taken").alias("n"))
 
 
 def daily_top(scored: DataFrame, n: int = 6, least_p: float = 0.0) -> DataFrame:
@@ -136,24 +150,29 @@ def daily_top(scored: DataFrame, n: int = 6, least_p: float = 0.0) -> DataFrame:
     return by.crossJoin(F.broadcast(n_assets)).where(F.col("n") >= F.greatest(F.lit(5), F.floor(F.col("n_assets") / 3))).select("t", "ret", "bench", (F.col("ret") > 0).cast("int").alias("win"))
 
 
-def rolling_scores(rows: DataFrame, names: tuple[str, ...], start: int, every: int = 20, warm: int = 40, cost_bps: float = 10.0, trees: int = 20) -> DataFrame:
+def rolling_scores(rows: DataFrame, names: tuple[str, ...], start: int, every: int = 20, warm: int = 40, cost_bps: float = 10.0, trees: int = 20, horizon: int = 1) -> DataFrame:
     """(asset, t, score, p, fwd) of each date from number ``start`` on, by a forest and a win classifier that are fitted anew every ``every`` dates
-    on all dates before the block; blocks with fewer than 50 training rows are left out.
+    on all dates whose returns over ``horizon`` dates are known when the block begins; blocks with fewer than 50 training rows are left out.
 
-    The driver loops over retrain dates, a number that does not grow with assets; each fit is a Spark job."""
+    The rows are written once. The driver loops over retrain dates, a number that does not grow with assets; each fit is a Spark job over rows in
+    an order of their own, so reruns and other partitionings give the same scores."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    n_dates = rows.select("t").distinct().count()
+    data = scratch.written(meta_rows(rows, names, warm, cost_bps), "rolling")
+    # One row a date.
+    n_by_date = {r["i"]: r["n"] for r in data.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
+    v = VectorAssembler(inputCols=list(names), outputCol="__x")
     out = None
-    for r in range(start, n_dates, every):
-        data = meta_dataset(rows, names, r, 0, warm, cost_bps)
-        if data.where("split = 'train'").count() < 50:
+    for r in range(start, max(n_by_date, default=-1) + 1, every):
+        known = r - horizon + 1
+        n = sum(k for i, k in n_by_date.items() if i < known)
+        if n < 50:
             continue
-        block = data.join(dated(rows).where(F.col("i") < r + every).select("t", "asset"), ["t", "asset"])
-        v = VectorAssembler(inputCols=list(names), outputCol="__x")
-        forest = RandomForestRegressor(featuresCol="__x", labelCol="fwd", predictionCol="score", numTrees=trees, maxDepth=5, seed=42).fit(v.transform(data.where("split = 'train'")))
-        one = forest.transform(v.transform(win_probability(block, names, trees=trees))).select("asset", "t", "score", "p", "fwd")
+        train, block = data.where(F.col("i") < known), data.where(F.col("i").between(r, r + every - 1))
+        forest = RandomForestRegressor(featuresCol="__x", labelCol="fwd", predictionCol="score", numTrees=trees, maxDepth=5, seed=42).fit(v.transform(risk.in_order(train, names, n)))
+        both = train.withColumn("split", F.lit("train")).unionByName(block.withColumn("split", F.lit("test")))
+        one = forest.transform(v.transform(win_probability(both, names, trees=trees))).select("asset", "t", "score", "p", "fwd")
         out = one if out is None else out.unionByName(one)
     kinds = dict(rows.dtypes)
     return out if out is not None else rows.sparkSession.createDataFrame([], f"asset {kinds['asset']}, t {kinds['t']}, score double, p double, fwd double")

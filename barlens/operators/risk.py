@@ -162,14 +162,21 @@ def linear_score(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     return rows.withColumn("score", sum((F.col(c) * w for c, w in weights.items() if c), F.lit(weights[""])))
 
 
+def in_order(rows: DataFrame, names: tuple[str, ...], n: int, each: int = 200_000) -> DataFrame:
+    """``n`` rows of (asset, t) in partitions and an order that follow from the rows alone, features to ten digits: what a fit that draws rows needs to be repeatable."""
+    rounded = rows.withColumns({c: F.round(c, 10) for c in names})
+    return rounded.repartition(max(1, -(-n // each)), "t", "asset").sortWithinPartitions("t", "asset")
+
+
 def tree_scores(rows: DataFrame, names: tuple[str, ...], model: str = "forest", seed: int = 3) -> DataFrame:
-    """Test rows with the score of a forest or of boosted trees fitted on the training rows."""
+    """Test rows with the score of a forest or of boosted trees fitted on the training rows, the same in any order and partitioning of ``rows``."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    v = VectorAssembler(inputCols=list(names), outputCol="__x").transform(rows)
+    v = VectorAssembler(inputCols=list(names), outputCol="__x")
+    train = rows.where("train")
     make = RandomForestRegressor(featuresCol="__x", labelCol="fwd", predictionCol="score", numTrees=20, maxDepth=4, seed=seed) if model == "forest" else GBTRegressor(featuresCol="__x", labelCol="fwd", predictionCol="score", maxIter=10, maxDepth=3, seed=seed)
-    return make.fit(v.where("train")).transform(v.where("test")).drop("__x")
+    return make.fit(v.transform(in_order(train, names, train.count()))).transform(v.transform(rows.where("test"))).drop("__x")
 
 
 def expert_weights(ic_by_factor: DataFrame, half_life: float = 6, sharpness: float = 20.0) -> DataFrame:
