@@ -26,6 +26,43 @@ def lexicon_score(text: Column | str, lexicon: dict[str, float], intensifiers: t
     return F.element_at(F.transform(F.array(words_of(F.coalesce(col(text), F.lit("")))), total), 1)
 
 
+def phrase_tokens(text: Column | str, terms: list[str]) -> Column:
+    """The text's words with every phrase of ``terms`` (words of a to z with single spaces) as one token: from left to right, the longest
+    phrase that begins at a word, and on from its end. Null text has no tokens."""
+    phrases = sorted({t for t in terms if " " in t}, key=lambda t: (-t.count(" "), t))
+    words = words_of(F.coalesce(col(text), F.lit("")))
+    if not phrases:
+        return words
+    # Every word stands between spaces of its own, so that phrases which follow one another share none.
+    spaced = F.array_join(F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" "))), "")
+    marked = F.regexp_replace(spaced, "( (?:" + "|".join(p.replace(" ", "  ") for p in phrases) + ") )", "<$1>")
+    found = F.regexp_extract_all(marked, F.lit("(<[^>]*>| [a-z]+ )"), 1)
+    return F.transform(found, lambda t: F.regexp_replace(F.trim(F.translate(t, "<>", "")), "  ", " "))
+
+
+def phrase_hits(text: Column | str, lexicon: dict[str, float], intensifiers: dict[str, float], negators: tuple[str, ...], window: int = 2, flip: float = -0.8) -> Column:
+    """Array of (place, phrase, score): the tokens of :func:`phrase_tokens` that the lexicon has, in order, each with its number from 0.
+
+    A score is the phrase's value, times that of the nearest intensifier among the ``window`` tokens before it, times ``flip`` if the token just before it is a negator."""
+    table, stronger = (F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) for d in (lexicon, intensifiers))
+
+    def hits(tokens: Column) -> Column:
+        def one(token: Column, i: Column) -> Column:
+            boost = F.coalesce(*[F.try_element_at(stronger, F.get(tokens, i - back)) for back in range(1, window + 1)], F.lit(1.0))
+            turn = F.when(F.coalesce(F.get(tokens, i - 1).isin(*negators), F.lit(False)), flip).otherwise(1.0)
+            return F.struct(i.cast("int").alias("place"), token.alias("phrase"), (F.try_element_at(table, token) * boost * turn).alias("score"))
+
+        return F.filter(F.transform(tokens, one), lambda h: h["score"].isNotNull())
+
+    # Bound by a lambda, so that a text is matched once.
+    return F.element_at(F.transform(F.array(phrase_tokens(text, [*lexicon, *intensifiers, *negators])), hits), 1)
+
+
+def phrase_score(hits: Column, limit: float = 3.0) -> Column:
+    """Sum of the scores of :func:`phrase_hits`, clipped to +-``limit``."""
+    return clip(F.aggregate(hits, F.lit(0.0), lambda a, h: a + h["score"]), -limit, limit)
+
+
 def keyword_hits(text: Column | str, keywords: tuple[str, ...]) -> Column:
     """How many of the keywords stand in the lower-cased text."""
     low = F.lower(F.coalesce(col(text), F.lit("")))

@@ -6,15 +6,14 @@ A factor that ranks a rolling value first fixes it to a grid of 1e-6, so that ti
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.functions.columns import guarded_corr, quantised
 from barlens.operators.expression import cross, cross_zscore, series, trailing, when_full
 
-#: Bars of a block of exponential weights.
-EMA_BLOCK = 512
-
 
 def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
@@ -48,21 +47,29 @@ def last_rank(c: Column, w: int) -> Column:
 def with_emas(df: DataFrame, value: str, spans: dict[str, float]) -> DataFrame:
     """Adds exponential means of all bars so far, with weights adjusted to the bars there are; a null value is no bar.
 
-    An asset's bars are summed in blocks with weights that grow by bar and are taken back at each row, so that no weight overflows. A block begins with the mean
-    at the end of the one before it; what is older than that block weighs less than the last bit of a double (span 26: 1e-18)."""
+    An asset's bars are summed in blocks with weights that grow by bar and are taken back at each row. A block of a span is so long that its first weight
+    is e^-37 of its last, below the last bit of a double: then no weight overflows, and a bar needs its own block and the end of the one before it."""
     so_far = series().rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("__i", F.count(value).over(so_far) - 1)
-    df = df.withColumns({"__k": F.pmod("__i", F.lit(EMA_BLOCK)), "__b": F.floor(F.col("__i") / EMA_BLOCK)})
-    block = Window.partitionBy("asset", "__b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    keep = {n: 1 - 2 / (span + 1) for n, span in spans.items()}
-    power = lambda n, k: F.pow(F.lit(keep[n]), k)
-    df = df.withColumns({f"__{n}": F.sum(F.col(value) * power(n, -F.col("__k"))).over(block) * power(n, F.col("__k")) for n in spans})
     before = series().rowsBetween(Window.unboundedPreceding, -1)
-    ends = F.col(value).isNotNull() & (F.col("__k") == EMA_BLOCK - 1)
-    df = df.withColumns({f"__{n}_old": F.coalesce(F.last(F.when(ends, F.col(f"__{n}")), ignorenulls=True).over(before), F.lit(0.0)) for n in spans})
-    bars = F.col("__k") + F.when(F.col("__b") > 0, F.lit(EMA_BLOCK)).otherwise(0) + 1
-    out = {n: F.when(F.col("__i") >= 0, (F.col(f"__{n}") + F.col(f"__{n}_old") * power(n, F.col("__k") + 1)) * (1 - keep[n]) / (1 - power(n, bars))) for n in spans}
-    return df.withColumns(out).drop("__i", "__k", "__b", *[x for n in spans for x in (f"__{n}", f"__{n}_old")])
+    bar = "__ema_bar"
+    df = df.withColumn(bar, F.count(value).over(so_far) - 1)
+    helpers, out = [bar], {}
+    for j, (n, span) in enumerate(spans.items()):
+        keep = 1 - 2 / (span + 1)
+        length = max(1, math.ceil(37 / -math.log(keep))) if keep > 0 else 1
+        block, local, old = (f"__ema_{x}_{j}" for x in ("block", "sum", "old"))
+        helpers += [block, local, old]
+        place = F.pmod(F.col(bar), F.lit(length))
+        power = lambda k, keep=keep: F.pow(F.lit(float(keep)), k) if keep > 0 else (k == 0).cast("double")
+        df = df.withColumn(block, F.floor(F.col(bar) / length))
+        within = Window.partitionBy("asset", block).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumn(local, F.sum(F.col(value) * power(-place)).over(within) * power(place))
+        ended = F.col(value).isNotNull() & (place == length - 1)
+        df = df.withColumn(old, F.coalesce(F.last(F.when(ended, F.col(local)), ignorenulls=True).over(before), F.lit(0.0)))
+        bars = place + F.when(F.col(block) > 0, F.lit(length)).otherwise(0) + 1
+        # A row without a value has the mean of the last bar.
+        out[n] = F.last(F.when(F.col(value).isNotNull(), (F.col(local) + F.col(old) * power(place + 1)) * (1 - keep) / (1 - power(bars))), ignorenulls=True).over(so_far)
+    return df.withColumns(out).drop(*helpers)
 
 
 def library_factors(bars: DataFrame, shares: Column | None = None) -> DataFrame:

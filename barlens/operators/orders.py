@@ -19,7 +19,8 @@ def generated_orders(targets: DataFrame, cash: Column, lot: int = 1, max_positio
     sells = t.where("held > target").select("account", "asset", F.lit("sell").alias("side"), (F.col("held") - F.col("target")).cast("double").alias("qty"))
     wanted = t.where((F.col("target") > F.col("held")) & (F.col("price") > 0)).withColumn("want", F.floor((F.col("target") - F.col("held")) / lot) * lot).where("want > 0")
     per = wanted.groupBy("account").agg(F.max("cash").alias("cash"), F.array_sort(F.collect_list(F.struct("place", "asset", "price", F.col("want").cast("double").alias("want")))).alias("buys"))
-    empty = F.array().cast("array<struct<asset:bigint,qty:double>>")
+    kind = targets.schema["asset"].dataType.simpleString()
+    empty = F.array().cast(f"array<struct<asset:{kind},qty:double>>")
 
     def step(state: Column, buy: Column) -> Column:
         lots = F.floor(state["cash"] / (buy["price"] * lot)) * lot

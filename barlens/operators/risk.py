@@ -47,7 +47,7 @@ def factor_returns(returns: DataFrame, exposures: DataFrame, factors: tuple[str,
                 out += [(row["t"], n, float(v)) for n, v in zip(names, np.linalg.lstsq(a, y, rcond=None)[0], strict=True)]
             yield pd.DataFrame(out, columns=["t", "factor", "ret"])
 
-    return by_date.mapInPandas(solve, "t date, factor string, ret double")
+    return by_date.mapInPandas(solve, f"t {by_date.schema['t'].dataType.simpleString()}, factor string, ret double")
 
 
 def newey_west(factor_series: DataFrame, lags: int = 2) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlens.functions import columns, finance, text
-from barlens.functions.columns import quantised
+from barlens.functions.columns import quantised, quantised_sql
 from barlens.operators import execution
 from barlens.operators.expression import series
 from barlens.plans.stat_plans import _BARS, _S, q, quantise
@@ -24,6 +24,19 @@ def sentiment(spark, sf_dir):
     return d.select("doc_id", text.lexicon_score("text", LEXICON, INTENSIFIERS, NEGATORS).alias("score"), text.tiered_score("text", TIERS).alias("catalyst"), text.first_class("text", CLASSES).alias("category"), text.heat(text.keyword_hits("text", ("license", "rights", "apache", "mit"))).alias("heat"))
 
 
+#: Phrases that stand within one another, share words with modifiers, and follow one another.
+PHRASES = {"the": 0.1, "of the": 0.4, "and the": -0.3, "with": 0.5, "was": 1.0, "was not": -1.2, "for the": 0.6, "rights reserved": 0.8, "all rights reserved": 1.1, "mit license": 0.9, "idiot": -2.0, "der": 0.2, "und der": -0.6, "la": 0.3, "de la": -0.4, "en": 0.05}
+STRONGER, REVERSED = {"and": 1.5, "that": 1.4, "as of": 1.6, "que": 1.3, "die": 1.2}, ("not", "to", "in", "no longer", "el")
+
+
+def phrases(spark, sf_dir):
+    """Scores by phrases of every whole document: the longest one at each place, with the words before it."""
+    d = views.table(spark, sf_dir, "documents").select("doc_id", text.phrase_hits("text", PHRASES, STRONGER, REVERSED).alias("hits"))
+    longest = F.aggregate("hits", F.lit(""), lambda a, h: F.when(F.length(h["phrase"]) > F.length(a), h["phrase"]).otherwise(a))
+    places = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h["place"])
+    return d.select("doc_id", F.size("hits").cast("long").alias("n_hits"), places.alias("places"), longest.alias("longest"), quantised(text.phrase_score("hits")).alias("score"))
+
+
 def items(spark, sf_dir):
     """Mean over a source's documents of (2 * score of the first line + score of the next 500 characters) / 2."""
     d = views.table(spark, sf_dir, "documents")
@@ -157,8 +170,6 @@ def matching(spark, sf_dir):
     return b.select("asset", "t", side.alias("side"), blocked.alias("blocked"), quantised(finance.bar_fill(F.col("volume") / 2, F.col("volume"), blocked)).alias("filled"))
 
 
-
-
 _WORDS = "list_filter(regexp_split_to_array(lower({c}), '[^a-z]+'), lambda w: w <> '')"
 
 
@@ -170,6 +181,20 @@ def _lexicon_sql(c: str) -> str:
     return f"least(greatest(coalesce(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip({w}, list_prepend('', {w})[:-2]), lambda p: (list_transform([p[1]], lambda w: {value}))[1] * (list_transform([p[2]], lambda b: {factor}))[1])), lambda a, x: a + x), 0), -3), 3)"
 
 
+def _phrases_sql() -> str:
+    """Tokens by the same rule, then one row a token."""
+    terms = sorted({p for p in [*PHRASES, *STRONGER, *REVERSED] if " " in p}, key=lambda p: (-p.count(" "), p))
+    spaced = f"list_aggregate(list_transform({_WORDS.format(c="coalesce(text, '')")}, lambda w: ' ' || w || ' '), 'string_agg', '')"
+    marked = f"regexp_replace(coalesce({spaced}, ''), '( (?:{'|'.join(p.replace(' ', '  ') for p in terms)}) )', '<\\1>', 'g')"
+    tokens = f"list_transform(regexp_extract_all({marked}, '<[^>]*>| [a-z]+ '), lambda t: replace(trim(translate(t, '<>', '')), '  ', ' '))"
+    case = lambda c, of: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in of.items()) + " END"
+    return f"""WITH w AS (SELECT doc_id, {tokens} AS w FROM documents), x AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM w
+    ), y AS (SELECT doc_id, i, w[i + 1] AS p, CASE WHEN i > 0 THEN w[i] END AS b1, CASE WHEN i > 1 THEN w[i - 1] END AS b2 FROM x
+    ), h AS (SELECT doc_id, i, p, {case('p', PHRASES)} * coalesce({case('b1', STRONGER)}, {case('b2', STRONGER)}, 1) * CASE WHEN b1 IN ({', '.join(f"'{n}'" for n in REVERSED)}) THEN -0.8::DOUBLE ELSE 1 END AS s FROM y
+    ), a AS (SELECT doc_id, count(*) AS n, sum(i)::BIGINT AS places, first(p ORDER BY len(p) DESC, i) AS longest, sum(s ORDER BY i) AS s FROM h WHERE s IS NOT NULL GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_hits, coalesce(places, 0) AS places, coalesce(longest, '') AS longest, {quantised_sql('least(greatest(coalesce(s, 0), -3), 3)')} AS score FROM documents LEFT JOIN a USING (doc_id)"""
+
+
 def _hits(c: str, ws) -> str:
     return " + ".join(f"contains(lower(coalesce({c}, '')), '{w}')::INT" for w in ws)
 
@@ -187,6 +212,7 @@ _SLICES = {s: "[" + ", ".join(f"{w!r}::DOUBLE" for w in execution.slice_weights(
 _ANNOUNCED = "CASE quarter(o_orderdate) WHEN 1 THEN make_date(year(o_orderdate), 4, 30) WHEN 2 THEN make_date(year(o_orderdate), 8, 31) WHEN 3 THEN make_date(year(o_orderdate), 10, 31) ELSE make_date(year(o_orderdate) + 1, 4, 30) END"
 
 QUERIES = {
+    "phrase_sentiment": phrases,
     "text_scores": sentiment,
     "item_scores": items,
     "page_titles": titles,
@@ -209,6 +235,7 @@ QUERIES = {
     "limit_matching": matching,
 }
 ORACLE_SQL = {
+    "phrase_sentiment": _phrases_sql(),
     "text_scores": f"SELECT doc_id, {_lexicon_sql('text')} AS score, least(greatest(" + " + ".join(f"({_hits('text', ws)}) * {w}::DOUBLE" for w, ws in TIERS) + f", -10), 10) AS catalyst, {_CLASS} AS category, CASE WHEN {_hits('text', ('license', 'rights', 'apache', 'mit'))} >= 3 THEN 'hot' WHEN {_hits('text', ('license', 'rights', 'apache', 'mit'))} >= 1 THEN 'warm' ELSE 'cold' END AS heat FROM documents",
     "item_scores": "WITH d AS (SELECT source, string_split(text, chr(10))[1] AS title, left(text, 500) AS body FROM documents) SELECT source, " + q({"score": f"avg((2 * {_lexicon_sql('title')} + {_lexicon_sql('body')}) / 2)"}) + ", count(*) AS n FROM d GROUP BY source",
     "page_titles": r"""WITH p AS (SELECT page_id, html, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS t FROM pages)

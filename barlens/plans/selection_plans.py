@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barlens.functions.columns import quantised
-from barlens.operators import expression, orders, risk, selection, stats
+from barlens.operators import ensemble, expression, orders, risk, screening, selection, stats
 from barlens.plans.order_plans import _HELD, MONEY, _held
 from barlens.plans.risk_plans import _X
 from barlens.plans.stat_plans import _AVG_RANK, _BARS, _GUARD, _R, _S, _z, panel, q, quantise
-from barlens.sources import views
+from barlens.sources import scratch, views
 
 #: Candidates with their SQL.
 CANDIDATES = {
@@ -39,6 +39,29 @@ def gates(spark, sf_dir):
     return quantise(_gated(spark, sf_dir), "name", "expression", "nodes", "passed")
 
 
+#: One that says what another says, one that the styles explain in part, and the rest.
+POOL = CANDIDATES | {
+    "fade": ("div(sub(delay(close, 1), close), close)", f"CASE WHEN abs(close) > 1e-10 THEN (lag(close) {_S} - close) / close WHEN lag(close) {_S} IS NOT NULL THEN 0.0 END"),
+    "thin": ("neg(volume)", "-volume"),
+}
+N_TRIALS, LEAST_DSR, LEAST_ORTHOGONAL = 40, 0.9, 0.02
+
+
+def factor_selection(spark, sf_dir):
+    """The independent set of the candidates that pass all gates: deflated ICIR over forty trials and IC beyond momentum among them."""
+    bars = views.supplier_bars(spark, sf_dir)
+    rows = selection.stacked(expression.evaluate(bars, {k: e for k, (e, _) in POOL.items()}), stats.forward_returns(bars), POOL)
+    rows = scratch.written(rows, "candidates")
+    out = screening.select_factors(rows, {k: e for k, (e, _) in POOL.items()}, N_TRIALS, 3, exposures=risk.style_exposures(bars), styles=("momentum",), dsr=LEAST_DSR, orthogonal=LEAST_ORTHOGONAL)
+    return quantise(out, "name", "expression", "nodes", "passed", "place", "blocked_by")
+
+
+def value_correlations(spark, sf_dir):
+    bars = views.supplier_bars(spark, sf_dir)
+    rows = selection.stacked(expression.evaluate(bars, {k: e for k, (e, _) in POOL.items()}), stats.forward_returns(bars), POOL)
+    return quantise(screening.value_correlations(scratch.written(rows, "candidates")), "a", "b")
+
+
 def pool(spark, sf_dir):
     """Weights of the best three candidates; those of a negative mean IC have a veto."""
     return quantise(selection.pool_weights(_gated(spark, sf_dir), F.col("ic") < 0, 3), "name", "place")
@@ -66,6 +89,28 @@ def ensemble_ic(spark, sf_dir):
     return quantise(stats.rank_ic(scored.withColumn("score", quantised("score", 1e8))).join(fitted, "t"), "t", "fitted")
 
 
+LEARNED = {"reversal": "zscore(sub(close, delay(close, 3)))", "gap": "zscore(sub(vwap, close))", "span": "zscore(sub(high, low))"}
+FOLD_START, FOLD_EVERY, EDGE = 30, 15, 0.01
+
+
+def _ensemble(spark, sf_dir):
+    bars = views.supplier_bars(spark, sf_dir)
+    rows = expression.evaluate(bars, LEARNED).join(stats.forward_returns(bars), ["asset", "t"])
+    return ensemble.ensemble(rows, tuple(LEARNED), FOLD_START, FOLD_EVERY, EDGE)
+
+
+def ensemble_folds(spark, sf_dir):
+    """Boosted trees against the equal-weight baseline, fold by fold, and which of them scores each."""
+    folds = _ensemble(spark, sf_dir)[1]
+    shares = [quantised(F.coalesce(F.col("importance")[c], F.lit(0.0))).alias(f"share_{c}") for c in LEARNED]
+    return quantise(folds.select("*", *shares).drop("importance"), "fold", "first", "last", "n_dates", "n_train", "used", "verdict")
+
+
+def ensemble_chosen(spark, sf_dir):
+    """Scores of both and the chosen one of every row after the first thirty dates."""
+    return quantise(_ensemble(spark, sf_dir)[0], "asset", "t", "fold")
+
+
 def grid(spark, sf_dir):
     out = selection.grid_results(_candidates(spark, sf_dir), HOLDS)
     return quantise(out, "name", "n_hold", "place")
@@ -119,21 +164,72 @@ def baseline(spark, sf_dir):
     return quantise(selection.momentum_baseline(views.supplier_bars(spark, sf_dir)), "asset", "t")
 
 
-_STACK = _BARS + f", z AS (SELECT *, lead(close) {_S} / close - 1 AS fwd, {', '.join(f'{s} AS s_{k}' for k, (_, s) in CANDIDATES.items())} FROM bars), c AS (" + " UNION ALL ".join(f"SELECT '{k}' AS name, asset, t, s_{k} AS score, fwd FROM z WHERE s_{k} IS NOT NULL AND fwd IS NOT NULL" for k in CANDIDATES) + ")"
+def _stacked_sql(pool: dict[str, tuple[str, str]]) -> str:
+    each = " UNION ALL ".join(f"SELECT '{k}' AS name, asset, t, s_{k} AS score, fwd FROM z WHERE s_{k} IS NOT NULL AND fwd IS NOT NULL" for k in pool)
+    return f"z AS (SELECT *, lead(close) {_S} / close - 1 AS fwd, {', '.join(f'{s} AS s_{k}' for k, (_, s) in pool.items())} FROM bars), c AS ({each})"
+
+
+_STACK = _BARS + ", " + _stacked_sql(CANDIDATES)
 _BY_NAME = _AVG_RANK.replace("PARTITION BY t", "PARTITION BY name, t")
-_GATED = (
-    _STACK
-    + f""", p AS (SELECT name, t, fwd, {_BY_NAME.format(c='score')} AS x, {_BY_NAME.format(c='fwd')} AS y, count(*) OVER (PARTITION BY name, t) AS n,
+
+
+def _gates_sql(pool: dict[str, tuple[str, str]]) -> str:
+    """Statistics and gates of the candidates in ``c``, as ``d``."""
+    return f"""p AS (SELECT name, t, fwd, {_BY_NAME.format(c='score')} AS x, {_BY_NAME.format(c='fwd')} AS y, count(*) OVER (PARTITION BY name, t) AS n,
       least(floor((row_number() OVER (PARTITION BY name, t ORDER BY score, asset) - 1)::DOUBLE / greatest(count(*) OVER (PARTITION BY name, t) - 1, 1) * 5), 4) AS g FROM c
     ), i AS (SELECT name, t, coalesce({_GUARD.format(x='x', y='y')}, 0) AS ic FROM p WHERE n >= 10 GROUP BY name, t
     ), m AS (SELECT name, avg(ic) AS ic, CASE WHEN stddev_samp(ic) > 1e-10 THEN avg(ic) / stddev_samp(ic) ELSE 0 END AS icir FROM i GROUP BY name
     ), g AS (SELECT name, g, avg(r) * 252 AS ret FROM (SELECT name, t, g, avg(fwd) AS r FROM p WHERE n >= 5 GROUP BY ALL) GROUP BY name, g
     ), l AS (SELECT *, ret > lag(ret) OVER (PARTITION BY name ORDER BY g) AS up FROM g
     ), s AS (SELECT name, coalesce(avg(up::INT::DOUBLE), 0) AS monotonicity, arg_max(ret, g) - arg_min(ret, g) AS long_short FROM l GROUP BY name
-    ), e(name, expression) AS (VALUES {', '.join(f"('{k}', '{e}')" for k, (e, _) in CANDIDATES.items())}
+    ), e(name, expression) AS (VALUES {', '.join(f"('{k}', '{e}')" for k, (e, _) in pool.items())}
     ), o AS (SELECT *, len(expression) - len(replace(expression, ',', '')) + 1 AS nodes FROM m JOIN s USING (name) JOIN e USING (name)
     ), k AS (SELECT *, ic > 0.02 AND icir > 0.15 AND monotonicity > 0.4 AND (long_short > 0.1 OR abs(long_short) > 0.2) AND nodes <= 25 AS passed FROM o
     ), d AS (SELECT *, CASE WHEN passed THEN 0.4::DOUBLE * icir + 0.3::DOUBLE * monotonicity + 0.3::DOUBLE * abs(long_short) ELSE 0 END AS score FROM k)"""
+
+
+_GATED = _STACK + ", " + _gates_sql(CANDIDATES)
+_CDF = "CASE WHEN {x} >= 0 THEN 1 - {tail} ELSE {tail} END"
+_T = "(1 / (1 + 0.2316419::DOUBLE * abs({x})))"
+_TAIL = "exp(-{x} * {x} / 2) / 2.5066282746310002::DOUBLE * {t} * (0.319381530::DOUBLE + {t} * (-0.356563782::DOUBLE + {t} * (1.781477937::DOUBLE + {t} * (-1.821255978::DOUBLE + {t} * 1.330274429::DOUBLE))))"
+
+
+def cdf_sql(x: str) -> str:
+    """The normal distribution function, as in :func:`barlens.functions.columns.normal_cdf`; ``x`` is a column."""
+    return _CDF.format(x=x, tail="(" + _TAIL.format(x=x, t=_T.format(x=x)) + ")")
+
+
+_VALUES = f"""v AS (SELECT name, t, asset, ({_BY_NAME.format(c='score')} - 0.5) / count(*) OVER (PARTITION BY name, t) - 0.5 AS x FROM c
+    ), cc AS (SELECT l.name AS a, r.name AS b, {_GUARD.format(x='l.x', y='r.x')} AS corr FROM v l JOIN v r ON l.asset = r.asset AND l.t = r.t AND l.name < r.name GROUP BY l.name, r.name)"""
+_SELECTED = (
+    _X.replace("WITH ", "WITH RECURSIVE ", 1).replace("e AS (SELECT asset", "st AS (SELECT asset")
+    + ", "
+    + _stacked_sql(POOL)
+    + ", "
+    + _gates_sql(POOL)
+    + f""", dm AS (SELECT name, count(*) AS n, avg(ic) AS mean, stddev_samp(ic) AS sd FROM i GROUP BY name
+    ), dz AS (SELECT name, n, mean / sd AS ratio, avg(((ic - mean) / sd) ** 3) AS skew, avg(((ic - mean) / sd) ** 4) - 3 AS excess FROM i JOIN dm USING (name) WHERE n >= 10 AND sd > 1e-12 GROUP BY ALL
+    ), dp AS (SELECT *, greatest(1 - skew * ratio + excess / 4 * ratio * ratio, 1e-12) AS spread FROM dz
+    ), dq AS (SELECT name, (ratio - greatest(sqrt(spread / (n - 1)) * {screening.expected_best(N_TRIALS)!r}, 0)) * sqrt(n - 1) / sqrt(spread) AS q FROM dp
+    ), ds AS (SELECT name, {cdf_sql('q')} AS dsr FROM dq
+    ), xj AS (SELECT name, asset, t, fwd, CASE WHEN stddev_pop(score) OVER k > 1e-10 THEN (score - avg(score) OVER k) / stddev_pop(score) OVER k ELSE 0 END AS z FROM c WINDOW k AS (PARTITION BY name, t)
+    ), xe AS (SELECT xj.*, momentum AS x FROM xj JOIN st USING (asset)
+    ), xb AS (SELECT name, t, count(*)::DOUBLE AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(z) AS sy, sum(x * z) AS sxy FROM xe GROUP BY name, t
+    ), xh AS (SELECT name, t, CASE WHEN sxx * n - sx * sx > 1e-9 * n * n THEN (sxy * n - sx * sy) / (sxx * n - sx * sx) END AS k, sx / n AS mx, sy / n AS my FROM xb
+    ), xo AS (SELECT xe.*, z - (my - k * mx) - k * x AS own FROM xe JOIN xh USING (name, t)
+    ), xc AS (SELECT name, t, fwd, floor(CASE WHEN stddev_pop(own) OVER k > 1e-12 THEN least(greatest(own / stddev_pop(own) OVER k, -3), 3) ELSE 0 END * 1e6 + 0.5) / 1e6 AS score FROM xo WINDOW k AS (PARTITION BY name, t)
+    ), xr AS (SELECT name, t, {_BY_NAME.format(c='score')} AS x, {_BY_NAME.format(c='fwd')} AS y, count(*) OVER (PARTITION BY name, t) AS n FROM xc
+    ), xi AS (SELECT name, avg(ic) AS orthogonal_ic FROM (SELECT name, t, coalesce({_GUARD.format(x='x', y='y')}, 0) AS ic FROM xr WHERE n >= 10 GROUP BY name, t) GROUP BY name
+    ), f AS (SELECT name, expression, nodes, ic, icir, monotonicity, long_short, coalesce(dsr, 0) AS dsr, orthogonal_ic,
+        passed AND coalesce(dsr, 0) >= {LEAST_DSR} AND abs(coalesce(orthogonal_ic, 0)) >= {LEAST_ORTHOGONAL} AS ok, score FROM d LEFT JOIN ds USING (name) LEFT JOIN xi USING (name)
+    ), {_VALUES}, tk AS (SELECT name, list_distinct(regexp_extract_all(expression, '[A-Za-z_]\\w*')) AS names FROM e
+    ), near AS (SELECT a, b FROM cc WHERE abs(corr) >= 0.7 UNION SELECT l.name, r.name FROM tk l JOIN tk r ON l.name < r.name WHERE len(list_intersect(l.names, r.names)) > 0.7::DOUBLE * len(list_distinct(list_concat(l.names, r.names)))
+    ), around AS (SELECT name, list(other) AS others FROM (SELECT a AS name, b AS other FROM near UNION ALL SELECT b, a FROM near) GROUP BY name
+    ), ordered AS (SELECT f.name, coalesce(others, []) AS others, row_number() OVER (ORDER BY round(score, 8) DESC, f.name) AS k FROM f LEFT JOIN around USING (name) WHERE ok
+    ), chosen(k, names) AS (SELECT 0::BIGINT, CAST([] AS VARCHAR[]) UNION ALL SELECT o.k, CASE WHEN len(names) < 3 AND NOT list_has_any(names, others) THEN list_append(names, name) ELSE names END FROM chosen JOIN ordered o ON o.k = chosen.k + 1
+    ), places AS (SELECT name, CASE WHEN list_has_any(b.names, others) THEN 0 ELSE coalesce(list_position(a.names, name), 0) END AS place,
+        coalesce(list_filter(b.names, lambda x: list_contains(others, x))[1], '') AS blocked_by FROM ordered o JOIN chosen a ON a.k = o.k JOIN chosen b ON b.k = o.k - 1)
+    """
 )
 _SUM = "sum({c}) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)"
 _WEIGHTS = (
@@ -151,10 +247,14 @@ _WEIGHTS = (
 
 QUERIES = {
     "factor_gates": gates,
+    "factor_selection": factor_selection,
+    "value_correlations": value_correlations,
     "pool_weights": pool,
     "pool_gain": gain,
     "residual_ic": residual_ic,
     "ensemble_ic": ensemble_ic,
+    "ensemble_folds": ensemble_folds,
+    "ensemble_chosen": ensemble_chosen,
     "grid_results": grid,
     "analytic_weights": analytic,
     "weight_checks": checks,
@@ -165,6 +265,11 @@ QUERIES = {
     "momentum_baseline": baseline,
 }
 ORACLE_SQL = {
+    "factor_selection": _SELECTED
+    + "SELECT f.name, expression, nodes, ok AS passed, coalesce(place, 0)::INT AS place, coalesce(blocked_by, '') AS blocked_by, "
+    + q({c: f"f.{c}" for c in ("ic", "icir", "monotonicity", "long_short", "dsr", "orthogonal_ic")} | {"score": "CASE WHEN ok THEN f.score ELSE 0 END"})
+    + " FROM f LEFT JOIN places USING (name)",
+    "value_correlations": _BARS + ", " + _stacked_sql(POOL) + ", " + _VALUES + " SELECT a, b, " + q({"corr": "corr"}) + " FROM cc",
     "factor_gates": _GATED + " SELECT name, expression, nodes, passed, " + q({c: c for c in ("ic", "icir", "monotonicity", "long_short", "score")}) + " FROM d",
     "pool_weights": _GATED
     + ", r AS (SELECT *, row_number() OVER (ORDER BY ic < 0, score DESC, name) AS place FROM d), w AS (SELECT *, CASE WHEN ic >= 0 AND place <= 3 THEN abs(icir) ELSE 0 END AS w FROM r) SELECT name, place, "
