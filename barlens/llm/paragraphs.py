@@ -1,25 +1,26 @@
-"""Substring dedup by paragraphs: MinHash bands find candidates, exact Jaccard verifies them, components decide removals.
+"""Substring dedup by paragraphs: bands find candidates, exact edit distance verifies them, components decide removals.
 
-Passages are copied with other text before and after them and with other line breaks, so a paragraph is not a line: it is
+Passages are copied with other text before and after them, with other line breaks, and with words changed, so a paragraph is not a line: it is
 a run of WIDTH words that begins where the text itself says. Of any WINDOW successive places in a text, the one whose
-five words have the least hash begins a paragraph (winnowing; Schleimer et al., 2003). Any passage of WIDTH + WINDOW - 1 = 51 words
+five words have the least hash begins a paragraph (winnowing; Schleimer et al., 2003). Any passage of WIDTH + WINDOW - 1 = 43 words
 or more therefore has, wherever it stands, at least one paragraph in common with its exact copies; shorter passages of 20 words and
 more are found with a chance that grows with their length. The whole text is cut so; lines and their lengths play no part.
 
-One pass over whole texts gives each paragraph's place, a 128-bit digest of its words (A-Z as a-z), hashes of its five-word
-shingles, and band keys. Band keys are aggregated to the least and greatest paragraph, so that a key that only copies share
-is dropped at once; from then on equal paragraphs are one, and links go by 64 bits of the digest. A paragraph has 16 shingles, so
-at 0.8 or more two have at least 15 in common (15/17); with 3 bands of 2 values they collide with probability
-1 - (1 - 0.88^2)^3 = 0.989. Of each shingle 16 bits are kept for the comparison: equal shingles stay equal, so no link is lost, and a
-pair with 14 in common, just below the threshold, is linked with odds of 6e-5.
-Only shingles of colliding paragraphs are moved: groups of buckets go to tasks, which verify every pair that is not linked
-yet and return a spanning forest, not all links. A bucket larger than a group is dealt out as pairs of tiles; where sets differ
-in size, tiles by number of shingles whose ratio rules out the threshold are not paired.
+That least hash is a MinHash of the window, and a changed word seldom moves it, so it is the band: paragraphs that begin with equal
+five words collide. They are linked if at most a fifth of the words have to be changed, left out or put in (edit similarity 0.8 or more, on
+64-bit hashes of all words). Jaccard similarity of five-word shingles would not do: one changed word in the middle of 20 takes away 5 of 16.
+
+A first pass over whole texts gives each paragraph's place, a 128-bit digest of its words (A-Z as a-z) and its band. Bands are
+aggregated to the least and greatest paragraph, so that a band that only copies share is dropped at once. A second pass gives the words of
+paragraphs whose bands are left, found by a bitmap of fixed size and then by a join; from then on equal paragraphs are one. Groups of
+bands go to tasks, which verify every pair that is not linked yet and return a spanning forest, not all links. A band with more than
+BUCKET_ROWS paragraphs is parted first: two of them within four edits have three successive words in common behind the first five, so each goes
+to the buckets of its own three-word runs; only what is still large there is dealt out as pairs of tiles.
 
 What is reported are the paragraphs whose component stands in two rows or more. The first paragraph of each component (least
 doc_id, then place) stays, the others are removed. Where a removed paragraph and the next one in the text go on like the
 first ones that stay, its end is moved to the start of the next, so that a passage is removed in one piece, but for up to
-31 words at either end.
+23 words at either end.
 
 Defined cases: null and empty texts and texts of fewer words than WIDTH have no paragraphs; what is repeated within one row alone
 is not reported; rows that repeat a doc_id are rows of their own; a null doc_id is ordered last; very long texts are cut whole;
@@ -40,13 +41,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import batches_of, materialize, read_table
-from ._shingles import SHINGLE, band_keys, shingles_of, words_of
+from ._shingles import SHINGLE, shingles_of, words_of
 from .components import connected_components
 
 #: Words of a paragraph, and places of which one begins one.
-WIDTH, WINDOW = 20, 32
-BANDS, ROWS = 3, 2
+WIDTH, WINDOW = 20, 24
 THRESHOLD = 0.8
+#: Words of the runs that part a large band, and bits of the bitmap of bands.
+RUN = 3
+BITMAP_BITS = 24
 #: Rows of a group of buckets on average, and those from which a bucket is dealt out in tiles.
 GROUP_ROWS, BUCKET_ROWS = 1024, 128
 #: Characters of the texts that a task cuts together.
@@ -68,10 +71,10 @@ def places(keys: np.ndarray, window: int) -> np.ndarray:
 
 
 def cut(texts: Iterable[str | None], width: int, window: int) -> tuple[list, np.ndarray]:
-    """(text, number, start, end, step, digest) of each paragraph as arrays, and its shingles (paragraph, shingle).
+    """(text, number, start, end, step, band) of each paragraph as arrays, and the hashes of its words (paragraph, word).
 
-    step: a hash of the words from this paragraph's start to the next one's, 0 for a text's last one; digest: 16 bytes each."""
-    text_no, number, start, end, step, digest, sets = [], [], [], [], [], [], []
+    step: a hash of the words from this paragraph's start to the next one's, 0 for a text's last one."""
+    text_no, number, start, end, step, band, runs = [], [], [], [], [], [], []
     for i, text in enumerate(texts):
         starts, ends, words = words_of(text)
         if len(words) < width:
@@ -84,11 +87,11 @@ def cut(texts: Iterable[str | None], width: int, window: int) -> tuple[list, np.
         end.append(ends[at + width - 1])
         sums = np.cumsum(shingles)[at]
         step.append(np.append((sums[1:] - sums[:-1]) >> np.uint64(32), np.uint64(0)).astype(np.uint32))
-        digest += [xxhash.xxh3_128_digest(words[a : a + width]) for a in at.tolist()]
-        sets.append(shingles[at[:, None] + np.arange(max(1, width - SHINGLE + 1))])
+        band.append(shingles[at])
+        runs.append(words[at[:, None] + np.arange(width)])
     if not text_no:
-        return [np.empty(0, dtype=np.int64)] * 4 + [np.empty(0, dtype=np.uint32), []], np.empty((0, 1), dtype=np.uint64)
-    return [*map(np.concatenate, (text_no, number, start, end, step)), digest], np.concatenate(sets)
+        return [np.empty(0, dtype=np.int64)] * 4 + [np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.uint64)], np.empty((0, width), dtype=np.uint64)
+    return [*map(np.concatenate, (text_no, number, start, end, step, band))], np.concatenate(runs)
 
 
 def binaries(values: np.ndarray) -> pa.Array:
@@ -97,45 +100,137 @@ def binaries(values: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * size), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def extract(docs: DataFrame, width: int = WIDTH, window: int = WINDOW) -> DataFrame:
-    """(rid, doc_id, number, start, end, step, digest, shingles, bands) from ``docs`` (rid, doc_id, text)."""
+def blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``BLOCK_CHARS`` characters."""
+    first, chars = 0, 0
+    for i, t in enumerate(texts):
+        if chars and chars + len(t or "") > BLOCK_CHARS:
+            yield first, i
+            first, chars = i, 0
+        chars += len(t or "")
+    yield first, len(texts)
+
 
-    def blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-        first, chars = 0, 0
-        for i, t in enumerate(texts):
-            if chars and chars + len(t or "") > BLOCK_CHARS:
-                yield first, i
-                first, chars = i, 0
-            chars += len(t or "")
-        yield first, len(texts)
+def digests(runs: np.ndarray) -> list[bytes]:
+    return [xxhash.xxh3_128_digest(r) for r in np.ascontiguousarray(runs)]
+
+
+def extract(docs: DataFrame, width: int = WIDTH, window: int = WINDOW) -> DataFrame:
+    """(rid, doc_id, number, start, end, step, digest, band) from ``docs`` (rid, doc_id, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for first, stop in blocks(texts):
-                (text_no, number, start, end, step, digest), sets = cut(texts[first:stop], width, window)
-                m = len(number)
-                if not m:
+                (text_no, number, start, end, step, band), runs = cut(texts[first:stop], width, window)
+                if not len(number):
                     continue
-                keys = band_keys(sets.reshape(-1), np.arange(m) * sets.shape[1], BANDS, ROWS)
                 row = pa.array(text_no + first)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("rid").take(row),
-                        batch.column("doc_id").take(row),
-                        pa.array(number, pa.int32()),
-                        pa.array(start, pa.int64()),
-                        pa.array(end, pa.int64()),
-                        pa.array(step.view(np.int32)),
-                        pa.array(digest, pa.binary()),
-                        binaries((sets >> np.uint64(48)).astype("<u2")),
-                        pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1))),
-                    ],
-                    names=["rid", "doc_id", "number", "start", "end", "step", "digest", "shingles", "bands"],
-                )
+                columns = [batch.column("rid").take(row), batch.column("doc_id").take(row), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(step.view(np.int32)), pa.array(digests(runs), pa.binary()), pa.array(band.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "number", "start", "end", "step", "digest", "band"])
 
     rows = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "rid long, doc_id long, number int, start long, end long, step int, digest binary, shingles binary, bands array<long>")
+    return rows.mapInArrow(run, "rid long, doc_id long, number int, start long, end long, step int, digest binary, band long")
+
+
+def bitmap_of(bands: DataFrame) -> np.ndarray:
+    """One bit for each value of the bands' last bits: 2 MB at any number of bands, so what it lets through is joined exactly afterwards."""
+    bit = F.col("band").bitwiseAND((1 << BITMAP_BITS) - 1)
+    by = bands.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((band & {(1 << BITMAP_BITS) - 1}) & 63 AS INT))")).alias("bits"))
+    out = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.int64)
+    found = by.toArrow()
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def colliding_words(docs: DataFrame, bands: DataFrame, width: int = WIDTH, window: int = WINDOW) -> DataFrame:
+    """(id, band, words): each distinct paragraph of ``docs`` (text) whose band is among ``bands``, with the 64-bit hashes of its words."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(bands))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for first, stop in blocks(texts):
+                (*_, band), runs = cut(texts[first:stop], width, window)
+                low = band & np.uint64((1 << BITMAP_BITS) - 1)
+                own = np.flatnonzero(bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1))
+                if len(own):
+                    columns = [pa.array(digests(runs[own]), pa.binary()), pa.array(band[own].view(np.int64)), binaries(runs[own])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["digest", "band", "words"])
+
+    found = docs.select("text").mapInArrow(run, "digest binary, band long, words binary").join(bands, "band", "left_semi")
+    return found.groupBy(F.xxhash64("digest").alias("id")).agg(F.first("band").alias("band"), F.first("words").alias("words"))
+
+
+def within_edits(one: np.ndarray, others: np.ndarray, most: int) -> np.ndarray:
+    """Which rows of ``others`` become ``one`` by at most that many words changed, left out or put in."""
+    out = (others != one).sum(axis=1) <= most
+    # Words in common bound the edits from below; the others need the whole table.
+    rest = np.flatnonzero(~out & (np.isin(others, one).sum(axis=1) >= others.shape[1] - most))
+    if len(rest):
+        n, b = len(one), others[rest]
+        row = np.repeat(np.arange(n + 1)[None], len(rest), axis=0)
+        for i in range(n):
+            after = np.minimum(row[:, 1:] + 1, row[:, :-1] + (b != one[i]))
+            after = np.concatenate([np.full((len(rest), 1), i + 1), after], axis=1)
+            for k in range(1, n + 1):
+                after[:, k] = np.minimum(after[:, k], after[:, k - 1] + 1)
+            row = after
+        out[rest] = row[:, -1] <= most
+    return out
+
+
+def edit_forest(ids: np.ndarray, words: np.ndarray, bucket: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest over all pairs within a bucket that are within that many edits."""
+    labels = np.arange(len(ids))
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], bucket[order], side="right")
+    for x, i in enumerate(order.tolist()):
+        rest = order[x + 1 : ends[x]]
+        rest = rest[labels[rest] != labels[i]]
+        if len(rest):
+            for j in rest[within_edits(words[i], words[rest], most)].tolist():
+                if labels[j] != labels[i]:
+                    labels[labels == max(labels[i], labels[j])] = min(labels[i], labels[j])
+    moved = labels != np.arange(len(ids))
+    return ids[moved], ids[labels[moved]]
+
+
+def edit_links(found: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, group_rows: int = GROUP_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(u, v) ids: a forest with the components of all links between the paragraphs of ``found`` (id, band, words), a written table with a row for each id."""
+    most = int((1 - threshold) * width + 1e-9)
+    large = materialize(found.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows).select("band"), "large-bands")
+
+    def runs_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each paragraph once for each of its three-word runs behind the band's five words, none in which it would stand alone left out yet."""
+        for batch in batches:
+            raw = batch.column("words").to_pylist()
+            if raw:
+                words = np.frombuffer(b"".join(raw), "<u8").reshape(len(raw), width)
+                shift = [shingles_of(w[SHINGLE:], RUN) for w in words]
+                row = pa.array(np.repeat(np.arange(len(raw)), [len(x) for x in shift]))
+                key = np.concatenate(shift) ^ np.repeat(batch.column("band").to_numpy().view(np.uint64), [len(x) for x in shift])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(row), pa.array(key.view(np.int64))], names=["id", "bucket"])
+
+    parted = found.join(large, "band", "left_semi").select("id", "band", "words").mapInArrow(runs_of, "id long, bucket long").distinct()
+    parted = materialize(parted, "parted-bands")
+    shared = parted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    small = found.join(large, "band", "left_anti").select("id", F.col("band").alias("bucket"), F.lit(1).cast("long").alias("n"))
+    keyed = materialize(small.unionByName(parted.join(shared, "bucket").select("id", "bucket", "n")), "buckets")
+    groups = max(1, -(-keyed.count() // group_rows))
+    parts = F.ceil(F.col("n") / bucket_rows).cast("int")
+    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.concat_ws("/", "bucket", F.least(p, mine), F.greatest(p, mine)))
+    together = F.array(F.pmod(F.xxhash64("bucket"), F.lit(groups)).cast("string"))
+    dealt = keyed.join(found.select("id", "words"), "id").select("id", "words", "bucket", F.explode(F.when(F.col("n") > bucket_rows, tiles).otherwise(together)).alias("g"))
+
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        words = np.frombuffer(b"".join(rows["words"]), "<u8").reshape(len(rows), width)
+        u, v = edit_forest(rows["id"].to_numpy(), words, rows["bucket"].to_numpy(), most)
+        return pd.DataFrame({"u": u, "v": v})
+
+    return dealt.groupBy("g").applyInPandas(verify, "u long, v long")
 
 
 def verified_forest(ids: np.ndarray, sets: list[frozenset[int]], bucket: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +251,7 @@ def verified_forest(ids: np.ndarray, sets: list[frozenset[int]], bucket: np.ndar
     return ids[moved], ids[labels[moved]]
 
 
-def near_links(found: DataFrame, threshold: float = THRESHOLD, shingle_bytes: int = 2, sizes_differ: bool = False, group_rows: int = GROUP_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def near_links(found: DataFrame, threshold: float = THRESHOLD, shingle_bytes: int = 4, sizes_differ: bool = False, group_rows: int = GROUP_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(u, v) ids: a forest with the components of all verified links between the distinct sets of ``found`` (id long, bands, shingles).
 
     shingle_bytes: of each shingle in ``shingles``; sizes_differ: whether large buckets are parted by size of the set, too."""
@@ -200,7 +295,10 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH,
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "number", "step")
     distinct = materialize(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high")), "distinct-paragraphs")
     own = F.xxhash64("digest")
-    linked = connected_components(near_links(found.select(own.alias("id"), "bands", "shingles"), threshold)).withColumnRenamed("node", "id")
+    shared = materialize(found.groupBy("band").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").select("band"), "shared-bands")
+    with batches_of(docs.sparkSession, 1000):
+        words = materialize(colliding_words(docs, shared, width, window), "colliding")
+    linked = connected_components(edit_links(words, threshold, width)).withColumnRenamed("node", "id")
     # Only paragraphs that have a copy or a link can be in a component of two rows.
     named = distinct.withColumn("id", own).join(linked, "id", "left").where(F.col("component").isNotNull() | (F.col("low") < F.col("high")))
     named = materialize(named.withColumn("component", F.coalesce("component", "id")), "paragraph-components")
