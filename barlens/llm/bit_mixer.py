@@ -1,6 +1,6 @@
 """Logistic mixing of hashed-context bit predictors over the bytes of words, in numpy.
 
-A word is read bit by bit, with a space after it. Each predictor hashes a context (the last 1 to 5 bytes of the word so far, or all of
+A word is read bit by bit, with a space after it. Each predictor hashes a context (the last 1, 2, 3 or 5 bytes of the word so far, or all of
 them) together with the bits of the byte so far to a cell of a table; the cell knows how often the next bit was 0 and 1. The cells'
 log-odds are mixed with weights chosen by two gates, each by how sure two of the longer contexts are. A last
 table corrects the mixed chance by how often such chances came true. Every bit's two chances add up to 1, so the words' do as well.
@@ -14,9 +14,9 @@ from dataclasses import dataclass, field
 import numpy as np
 
 #: Bytes of context; 0: all of the word so far.
-ORDERS = (1, 2, 3, 4, 5, 0)
-#: Cells of each predictor's table, as a power of two: 27 million cells of 2 bytes whatever the size of the corpus.
-BITS = (16, 21, 22, 22, 23, 23)
+ORDERS = (1, 2, 3, 5, 0)
+#: Cells of each predictor's table, as a power of two: 10.6 million cells of 2 bytes whatever the size of the corpus.
+BITS = (16, 20, 20, 22, 22)
 GATES_A, GATES_B = 64, 64
 #: Cells of the correction: nodes of a byte, times steps of the log-odds.
 STEPS = 33
@@ -35,13 +35,20 @@ _SURE = np.array([0, 1, 2, 3, 4, 4, 5, 5, 6, 6, 6, 7, 7, 7, 7, 7], np.int64)
 
 @dataclass
 class Bytes:
-    """Words as one array of bytes, each with a hash for each context."""
+    """Words as bytes: each beginning of a word, up to some byte, is held once, with its last byte and a hash of each context before that.
+
+    ``of`` gives for each byte of the words the place of the beginning that ends with it."""
 
     data: np.ndarray
+    of: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
     contexts: list[np.ndarray] = field(default_factory=list)
 
+    def weights(self, by_word: np.ndarray) -> np.ndarray:
+        """Each beginning's sum over the words that begin with it."""
+        return np.bincount(self.of, np.repeat(by_word, self.lengths).astype(float), len(self.data))
+
 
 def chunks(lengths: np.ndarray, most: int = CHUNK) -> Iterator[slice]:
     """Runs of words of about ``most`` bytes."""
@@ -59,17 +66,19 @@ def read_words(words: list[bytes]) -> Bytes:
     lengths = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
     starts = np.cumsum(lengths) - lengths
     n = len(data)
-    at, begin = np.arange(n), np.repeat(starts, lengths)
+    begin = np.repeat(starts, lengths)
     with np.errstate(over="ignore"):
         power, inverse = np.cumprod(np.full(n, _M)), np.cumprod(np.full(n, _INVERSE))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power)])
-        out = Bytes(data, starts, lengths)
-        for k in ORDERS:
-            since = np.maximum(begin, at - k) if k else begin
+
+        def hashed(at: np.ndarray, since: np.ndarray) -> np.ndarray:
             h = (sums[at] - sums[since]) * inverse[since] + (at - since).astype(np.uint64) * _K2
             h = (h ^ (h >> np.uint64(29))) * _K1
-            out.contexts.append(h ^ (h >> np.uint64(32)))
-    return out
+            return h ^ (h >> np.uint64(32))
+
+        _, first, of = np.unique(hashed(np.arange(1, n + 1), begin), return_index=True, return_inverse=True)
+        begin = begin[first]
+        return Bytes(data[first], of, starts, lengths, [hashed(first, np.maximum(begin, first - k) if k else begin) for k in ORDERS])
 
 
 def cells(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
@@ -91,7 +100,7 @@ def count_cells(words: list[bytes], weights: np.ndarray, k: int) -> np.ndarray:
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     for part in chunks(lengths):
         read = read_words(words[part])
-        weight = np.repeat(weights[part], read.lengths)
+        weight = read.weights(weights[part]).astype(np.int64)
         for node, bit in bits_of(read.data):
             np.add.at(counts, 2 * cells(read.contexts[k], node, BITS[k]) + bit, weight)
     return counts
@@ -121,7 +130,7 @@ class Mixer:
         found = [self.tables[k][cells(read.contexts[k], node, BITS[k])] for k in range(len(ORDERS))]
         odds = np.stack([f[:, 0] for f in found]).astype(np.float32) * np.float32(STEP)
         sure = [_SURE[f[:, 1]] for f in found]
-        return odds, sure[5] * 8 + sure[4], sure[3] * 8 + sure[2]
+        return odds, sure[-1] * 8 + sure[-2], sure[-3] * 8 + sure[-4]
 
     def mixed(self, odds: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         total = np.zeros(odds.shape[1])
@@ -144,7 +153,7 @@ class Mixer:
             for node, bit in bits_of(read.data):
                 p = self.chance(self.mixed(*self.inputs(read, node)), node)
                 bits += np.log10(np.where(bit == 1, p, 1 - p))
-            out[part] = np.add.reduceat(bits, read.starts)
+            out[part] = np.add.reduceat(bits[read.of], read.starts)
         return out
 
     def learn(self, words: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +162,7 @@ class Mixer:
         mass = [np.zeros(GATES_A), np.zeros(GATES_B)]
         for part in chunks(np.fromiter(map(len, words), np.int64, len(words)), CHUNK // 32):
             read = read_words(words[part])
-            weight = np.repeat(weights[part].astype(float), read.lengths)
+            weight = read.weights(weights[part])
             for node, bit in bits_of(read.data):
                 odds, a, b = self.inputs(read, node)
                 off = (bit - 1 / (1 + np.exp(-self.mixed(odds, a, b)))) * weight
@@ -171,7 +180,7 @@ class Mixer:
         counts = np.zeros((2, 256 * STEPS), np.int64)
         for part in chunks(np.fromiter(map(len, words), np.int64, len(words))):
             read = read_words(words[part])
-            weight = np.repeat(weights[part], read.lengths)
+            weight = read.weights(weights[part]).astype(np.int64)
             for node, bit in bits_of(read.data):
                 at = node * STEPS + step_of(self.mixed(*self.inputs(read, node)))
                 np.add.at(counts, (bit, at), weight)

@@ -8,10 +8,10 @@
    word under a class is its own chance times the class's share among the word's occurrences, divided by the sum of that over all words,
    so that it is a distribution again. The classes' weights are refined by each word of the text; what comes of this after all words is
    the log of the sum over classes of prior times product, so only sums by class are needed.
-4. Words with at least one 2^17th of all occurrences, of which there are 2^17 at most, are broadcast; rows of (document, word) are
-   joined for the others alone, none of which can be hot.
+4. The most frequent words, 2^17 at most, are broadcast; rows of (document, word) are joined for the others alone, none of which has more
+   than a 2^17th of all occurrences, so that none is hot.
 
-The word list and the joins grow with the corpus; the tables have 27 million cells (54 MB) at any size, the number of classes is at
+The word list and the joins grow with the corpus; the tables have 10.6 million cells (21 MB) at any size, the number of classes is at
 most ``MAX_CLASSES`` (the documents of all rarer values form one class together).
 
 Defined cases: a null text is empty and has the end alone; a null id counts as the empty text in the choice of the fold and stays null; repeated rows
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import bit_mixer
-from ._common import bounded_batches, id_text, materialize, read_table
+from ._common import batches_of, bounded_batches, id_text, materialize, read_table
 from ._words import WORDS, words_in
 
 FOLDS, HELD, TUNE = 7, 2, 3
@@ -49,6 +49,8 @@ FREQUENT = 1 << 17
 #: Words whose cells one task sums, and whose bits one task learns from.
 TABLE_WORDS = 2_000_000
 LEARN_WORDS = 250_000
+#: Words of an Arrow batch.
+SCORED_WORDS = 20_000
 PAGE = 1 << 16
 #: A task sends on what it has counted when it holds so many words.
 HELD_WORDS = 400_000
@@ -115,8 +117,10 @@ def merge_page(rows: pd.DataFrame) -> pd.DataFrame:
 
 def read_tables(pages: DataFrame, column: str) -> list[np.ndarray]:
     tables = [np.zeros((1 << b, 2), np.int8) for b in bit_mixer.BITS]
-    for k, page, raw in pages.select("k", "page", column).toLocalIterator():
-        tables[k][page * PAGE : (page + 1) * PAGE] = np.frombuffer(raw, np.int8).reshape(PAGE, 2)
+    found = pages.select("k", "page", column).toArrow()
+    for k, page, raw in zip(*found.columns, strict=True):
+        at = page.as_py() * PAGE
+        tables[k.as_py()][at : at + PAGE] = np.frombuffer(raw.as_buffer(), np.int8).reshape(PAGE, 2)
     return tables
 
 
@@ -166,6 +170,20 @@ def score_words(vocabulary: DataFrame, tables: Broadcast, weights: tuple[np.ndar
     return vocabulary.mapInArrow(run, StructType([*vocabulary.schema.fields, StructField("score", DoubleType())]))
 
 
+def learned_scores(vocabulary: DataFrame, pages: DataFrame, tune: DataFrame) -> DataFrame:
+    """The scores of all words, written: weights and correction are learned on the tables without the fold of ``tune``, scores come from all."""
+    context = vocabulary.sparkSession.sparkContext
+    fit = context.broadcast(read_tables(pages, "fit"))
+    weights = learn_weights(tune, fit)
+    correction = learn_correction(tune, fit, weights)
+    fit.destroy()
+    del fit  # the driver's own copy
+    every = context.broadcast(read_tables(pages, "every"))
+    scored = materialize(score_words(vocabulary, every, weights, correction), "scores")
+    every.destroy()
+    return scored
+
+
 def class_numbers(docs: DataFrame) -> tuple[list[str], list[int]]:
     """The most frequent class values of training documents, and the number of such documents by class; the last class has all other values."""
     counts = docs.where(F.col("fold") != HELD).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
@@ -174,6 +192,18 @@ def class_numbers(docs: DataFrame) -> tuple[list[str], list[int]]:
     return [r["value"] for r in top], [*(r["n"] for r in top), every - sum(r["n"] for r in top)]
 
 
+def least_frequent(counts: DataFrame) -> int:
+    """The least number of occurrences that at most ``FREQUENT`` words have, by counts ``n`` of words on a logarithmic scale of some hundred steps."""
+    steps = counts.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
+    words, least = 0, 1 << 62
+    for r in steps:
+        words += r["words"]
+        if words > FREQUENT:
+            break
+        least = r["least"]
+    return least
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_col: str = "lang") -> DataFrame:
     """For each row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
@@ -188,7 +218,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
     counted = rows.select("fold", cls.cast("int").alias("cls"), "text").mapInArrow(count_words, "word binary, cls int, fit long, tune long, held long")
     by_class = [F.sum(F.when(F.col("cls") == k, F.col("fit") + F.col("tune")).otherwise(0)).alias(f"c{k}") for k in range(n_classes)]
-    vocabulary = materialize(counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("fit", "tune", "held")), *by_class), "words")
+    # In order, as words that begin alike share their first bits.
+    summed = counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("fit", "tune", "held")), *by_class)
+    vocabulary = materialize(summed.repartitionByRange("word").sortWithinPartitions("word"), "words")
     trained = F.col("fit") + F.col("tune")
     total = vocabulary.agg(
         F.coalesce(F.sum(trained), F.lit(0)).alias("n"), F.count_if(trained > 0).alias("v"), F.count_if(F.col("tune") > 0).alias("tune"), F.coalesce(F.sum(trained + F.col("held")), F.lit(0)).alias("all"),
@@ -199,12 +231,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     pages = materialize(words.mapInArrow(gather_cells, "k int, page int, part int, cells binary").groupBy("k", "page").applyInPandas(merge_page, "k int, page int, fit binary, every binary"), "pages")
     # The order is the words' own hash, so that a rerun learns the same.
     tune = vocabulary.where("tune > 0").select("word", "tune").repartition(math.ceil((total["tune"] + 1) / LEARN_WORDS), "word").sortWithinPartitions(F.xxhash64("word"), "word")
-    fit = spark.sparkContext.broadcast(read_tables(pages, "fit"))
-    weights = learn_weights(tune, fit)
-    correction = learn_correction(tune, fit, weights)
-    fit.destroy()
-    every = spark.sparkContext.broadcast(read_tables(pages, "every"))
-    scored = materialize(score_words(vocabulary, every, weights, correction), "scores")
+    with batches_of(spark, SCORED_WORDS):
+        scored = learned_scores(vocabulary, pages, tune)
 
     # The chance of a word under a class: its own, times what the class has of it, by that product's sum over all words.
     share = [(total[f"c{k}"] + 1 / n_classes) / (total["n"] + 1) for k in range(n_classes)]
@@ -213,55 +241,59 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     gate = [F.log10(own[k] / F.lit(max(share[k] + beyond[k], 1e-12))).alias(f"g{k}") for k in range(n_classes)]
     base = F.log10((trained + 1) / F.lit(float(total["n"] + total["v"] + 1))).alias("base")
     sums = ["known", "base", "score", *(f"g{k}" for k in range(n_classes))]
-    least = math.ceil(total["all"] / FREQUENT)
+    least = least_frequent(scored.select((trained + F.col("held")).alias("n")))
     frequent = trained + F.col("held") >= least
     valued = scored.select("word", frequent.alias("frequent"), (trained > 0).cast("double").alias("known"), base, "score", *gate)
-    listed = valued.where("frequent").select("word", *sums).collect()
-    table = spark.sparkContext.broadcast(({bytes(r["word"]): i for i, r in enumerate(listed)}, np.array([r[1:] for r in listed], float).reshape(len(listed), len(sums))))
+    listed = valued.where("frequent").select("word", *sums).toArrow()
+    places = {w: i for i, w in enumerate(listed.column("word").to_pylist())}
+    table = spark.sparkContext.broadcast((places, np.stack([listed.column(c).to_numpy() for c in sums], axis=1)))
+    del listed, places
 
-    head = pa.struct([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
+    head = pa.struct([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), *((c, pa.float64()) for c in sums)])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document, with the sums of its frequent words, under a word that no text can hold; then a row for each other word."""
         places, values = table.value
+        columns = ["key", "word", "times", "head"]
         for batch in batches:
+            numbers, tokens, sizes, parts = batch.column("key").to_pylist(), [], [], []
             keys: list[int] = []
             rest: list[bytes] = []
             times: list[int] = []
-            heads: list[dict | None] = []
-            parts: list[np.ndarray] = []
-            for key, i, fold, text in zip(*(batch.column(c) for c in ("key", "id", "fold", "text")), strict=True):
+            for key, text in zip(numbers, batch.column("text"), strict=True):
                 own = Counter((END,))
                 for found in words_in(text.as_py(), WORDS):
                     own.update(found)
-                at = [places.get(w, -1) for w in own]
+                at = np.fromiter((places.get(w, -1) for w in own), np.int64, len(own))
                 n = np.fromiter(own.values(), np.int64, len(own))
-                seen = np.array(at) >= 0
-                # This row stands for the document: a word that no text can hold, so it meets no other row.
-                keys.append(key.as_py())
-                rest.append(b" %d" % key.as_py())
-                times.append(0)
-                heads.append({"id": i.as_py(), "held_out": fold.as_py() == HELD, "n_tokens": int(n.sum()), "n_bytes": sum((len(w) + 1) * k for w, k in own.items()) - 1})
-                parts.append(n[seen] @ values[np.array(at)[seen]])
-                others = [(w, k) for (w, k), a in zip(own.items(), at, strict=True) if a < 0]
-                keys += [keys[-1]] * len(others)
-                rest += [w for w, _ in others]
-                times += [k for _, k in others]
-                heads += [None] * len(others)
-                parts += [np.zeros(len(sums))] * len(others)
-            made = [pa.array(keys, pa.int64()), pa.array(rest, pa.binary()), pa.array(times, pa.int64()), pa.array(heads, head), *map(pa.array, np.array(parts).reshape(len(keys), len(sums)).T.copy())]
-            yield pa.RecordBatch.from_arrays(made, names=["key", "word", "times", "head", *(f"p_{c}" for c in sums)])
-
-    schema = "key long, word binary, times long, head struct<id: long, held_out: boolean, n_tokens: long, n_bytes: long>, " + ", ".join(f"p_{c} double" for c in sums)
+                tokens.append(int(n.sum()))
+                sizes.append(sum((len(w) + 1) * k for w, k in own.items()) - 1)
+                parts.append(n[at >= 0] @ values[at[at >= 0]])
+                others = [w for w, a in zip(own, at.tolist(), strict=True) if a < 0]
+                keys += [key] * len(others)
+                rest += others
+                times += n[at < 0].tolist()
+            summed = np.array(parts).reshape(len(numbers), len(sums))
+            about = [batch.column("id"), pa.array([f == HELD for f in batch.column("fold").to_pylist()], pa.bool_()), pa.array(tokens, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, summed.T.copy())]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([b" %d" % k for k in numbers], pa.binary()), pa.array([0] * len(numbers), pa.int64()), pa.StructArray.from_arrays(about, fields=list(head))], names=columns)
+            for a in range(0, len(keys), 100_000):
+                some = slice(a, a + 100_000)
+                made = [pa.array(keys[some], pa.int64()), pa.array(rest[some], pa.binary()), pa.array(times[some], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*made, pa.nulls(len(made[0]), head)], names=columns)
+
+    schema = "key long, word binary, times long, head struct<id: long, held_out: boolean, n_tokens: long, n_bytes: long, " + ", ".join(f"{c}: double" for c in sums) + ">"
     dealt = rows.select(F.monotonically_increasing_id().alias("key"), F.col("id").cast("long").alias("id"), "fold", "text").mapInArrow(split, schema)
     joined = dealt.join(valued.where("NOT frequent").drop("frequent"), "word", "left")
-    added = [F.sum(F.col(f"p_{c}") + F.coalesce(F.col(c) * F.col("times"), F.lit(0.0))).alias(c) for c in sums]
-    by_doc = joined.groupBy("key").agg(F.max("head").alias("head"), *added)
+    # Numbers alone, so that they are summed by hash.
+    about = [F.max("head.id").alias("id"), F.max("head.held_out").alias("held_out"), F.max("head.n_tokens").alias("n_tokens"), F.max("head.n_bytes").alias("n_bytes")]
+    added = [F.sum(F.coalesce(F.col(f"head.{c}"), F.col(c) * F.col("times"), F.lit(0.0))).alias(c) for c in sums]
+    by_doc = joined.groupBy("key").agg(*about, *added)
     weighed = [F.lit(math.log10(n + 1 / n_classes) - math.log10(sum(n_docs) + 1)) + F.col(f"g{k}") for k, n in enumerate(n_docs)]
     best = F.greatest(*weighed) if n_classes > 1 else weighed[0]
     score = F.col("score") + best + F.log10(reduce(lambda a, b: a + b, [F.pow(F.lit(10.0), w - best) for w in weighed]))
     return by_doc.select(
-        F.col("head.id").alias(id_col), "head.held_out", "head.n_tokens", F.round("known").cast("long").alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"),
-        F.round("base", 9).alias("base_score"), F.round(score, 9).alias("score"), F.round(-score / math.log10(2) / F.col("head.n_bytes"), 9).alias("bits_per_byte"),
+        F.col("id").alias(id_col), "held_out", "n_tokens", F.round("known").cast("long").alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"),
+        F.round("base", 9).alias("base_score"), F.round(score, 9).alias("score"), F.round(-score / math.log10(2) / F.col("n_bytes"), 9).alias("bits_per_byte"),
     )
 
 
