@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.functions.columns import guarded_corr, quantised, quantised_sql
-from barlens.operators import evolution, expression, factors, risk, stats
+from barlens.operators import chains, evolution, expression, factors, risk, stats
 from barlens.plans.stat_plans import _AVG_RANK, _BARS, _GUARD, _R, _S, q, quantise, returns
-from barlens.sources import views
+from barlens.sources import scratch, views
 
 NAMES = ("mom20", "mom5", "vol20", "vol_ratio", "range")
 
@@ -63,6 +63,28 @@ def markov(spark, sf_dir):
     return risk.markov_regimes(r, "sector")
 
 
+REGIME_FEATURES = ("r", "turnover", "span")
+
+
+def feature_rows(spark, sf_dir) -> DataFrame:
+    """Log return, log change of volume and log span of the suppliers' bars, where all are there."""
+    w = expression.series()
+    b = views.supplier_bars(spark, sf_dir).select("asset", "t", F.log(F.col("close") / F.lag("close").over(w)).alias("r"), F.log(F.col("volume") / F.lag("volume").over(w)).alias("turnover"), F.log1p((F.col("high") - F.col("low")) / F.col("close")).alias("span"))
+    return scratch.written(b.where("r IS NOT NULL AND turnover IS NOT NULL AND span IS NOT NULL"), "features")
+
+
+def feature_regimes(spark, sf_dir):
+    """States of one chain over three features that all suppliers share, at each of their bars."""
+    rows = feature_rows(spark, sf_dir)
+    return quantise(chains.decoded(rows, "asset", REGIME_FEATURES, chains.fit_chain(rows, "asset", REGIME_FEATURES, 3, 12)), "asset", "t", "state")
+
+
+def current_regimes(spark, sf_dir):
+    """Each supplier's regime of late: the state most of its last five bars were in."""
+    rows = feature_rows(spark, sf_dir)
+    return quantise(chains.current_regimes(chains.decoded(rows, "asset", REGIME_FEATURES, chains.fit_chain(rows, "asset", REGIME_FEATURES, 3, 12)), "asset"), "asset", "state", "n")
+
+
 def _rows(spark, sf_dir) -> DataFrame:
     bars = views.supplier_bars(spark, sf_dir)
     return risk.training_rows(factors.model_features(bars), stats.forward_returns(bars), NAMES, 2, 0.7)
@@ -146,6 +168,8 @@ QUERIES = {
     "risk_overlay": overlays,
     "rule_regimes": regimes,
     "markov_regimes": markov,
+    "feature_regimes": feature_regimes,
+    "current_regimes": current_regimes,
     "training_rows": dataset,
     "ridge_ic": ridge_ic,
     "forest_ic": forest_ic,

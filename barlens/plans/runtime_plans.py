@@ -1,12 +1,17 @@
-"""Queries of the stateful runtime: the pre-trade gateway over all orders, with its DuckDB twin."""
+"""Queries of the stateful runtime and of versioned tables: gateway, replay, index rebuild and tail append, with their DuckDB twins."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlens.sources import views
-from barlens.streaming import gateway
+from barlens.functions.columns import quantised, quantised_sql
+from barlens.plans.stat_plans import _BARS
+from barlens.sources import versions, views
+from barlens.streaming import gateway, replay
+from barlens.streaming.runtime import checkpoint_root
 
 LIMITS = gateway.Limits(max_order_value=60_000.0, max_weight=0.2, window=10, min_fill_ratio=0.6)
 EQUITY = 250_000.0
@@ -64,6 +69,57 @@ def gateway_reasons(spark, sf_dir):
     return out.groupBy("account", "reason").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
 
 
+STRATEGY, SHARE, LOUD = replay.Reversion(4, 0.05, 20.0, 60.0), 0.1, 49
+
+
+def replay_events(spark, sf_dir) -> DataFrame:
+    """Two sources of each supplier: its bars, and an alert at every day on which a large line came back."""
+    at = replay.micros(F.col("t"))
+    zero = F.lit(0.0)
+    bars = views.supplier_bars(spark, sf_dir).select(F.col("asset").alias("key"), at.alias("ts"), (at + 5000).alias("local_ts"), F.lit(0).cast("long").alias("seq"), F.lit("bar").alias("kind"), F.col("close").alias("price"), F.col("volume").alias("qty"))
+    back = views.table(spark, sf_dir, "lineitem").where(f"l_returnflag = 'R' AND l_quantity >= {LOUD}").select(F.col("l_suppkey").alias("key"), F.to_date("l_shipdate").alias("t")).distinct()
+    alerts = back.select("key", at.alias("ts"), at.alias("local_ts"), F.lit(0).cast("long").alias("seq"), F.lit("alert").alias("kind"), zero.alias("price"), zero.alias("qty"))
+    return replay.merged(bars=bars, alerts=alerts)
+
+
+def replay_intents(spark, sf_dir):
+    """Intents and fills of a band strategy on every supplier, with position and cash after each."""
+    out = replay.replayed(replay_events(spark, sf_dir), STRATEGY, SHARE)
+    return out.select("key", "step", "ts", "action", "qty", quantised("price").alias("price"), "position", quantised("cash").alias("cash"))
+
+
+def _table(spark, name: str) -> versions.VersionedTable:
+    return versions.VersionedTable(spark, f"{checkpoint_root(spark)}/barlens-{name}-{uuid.uuid4().hex}")
+
+
+def index_rebuild(spark, sf_dir):
+    """A market index of plain means, rebuilt from 1996 on by weighted means: both as versions of one table."""
+    bars = views.supplier_bars(spark, sf_dir)
+    table = _table(spark, "index")
+    old = bars.where("t < DATE '1997-07-01'").groupBy("t").agg(F.avg("close").alias("level"), F.lit("mean").alias("made_by"))
+    now = table.replace(old, lambda d: d.where("level <= 0").isEmpty(), "first")
+    new = bars.where("t >= DATE '1996-01-01'").groupBy("t").agg((F.sum(F.col("close") * F.col("volume")) / F.sum("volume")).alias("level"), F.lit("weighted").alias("made_by"))
+    table.replace(versions.rebuilt(table.read(now), new, ["t"]), lambda d: d.count() == d.select("t").distinct().count(), "rebuild", now)
+    calendar = versions.extended_calendar(table.read(now).select("t"), bars)
+    return table.read().join(calendar, "t").select("t", quantised("level").alias("level"), "made_by")
+
+
+def tail_versions(spark, sf_dir):
+    """Bars kept up to differing dates, then appended to: what each version of the table has of each supplier."""
+    bars = views.supplier_bars(spark, sf_dir).select("asset", "t", "close")
+    table = _table(spark, "bars")
+    known = bars.where(F.year("t") < 1994 + F.col("asset") % 5).where("asset % 7 <> 0")
+    table.replace(known, why="known")
+    versions.tail_append(table, bars)
+    table.append(bars.limit(0))
+    table.rollback(2)
+    each = [table.read(v).groupBy("asset").agg(F.lit(v).alias("version"), F.count(F.lit(1)).alias("n"), F.max("t").alias("last")) for v in table.versions()]
+    out = each[0]
+    for e in each[1:]:
+        out = out.unionByName(e)
+    return out
+
+
 _LINE = "concat_ws('-', year(o_orderdate), quarter(o_orderdate), l_partkey % 40) AS order_id, l_partkey % 8 AS asset, CASE WHEN (l_linenumber + o_orderkey) % 3 = 0 THEN 'sell' ELSE 'buy' END AS side, l_quantity AS qty, l_extendedprice / l_quantity AS price"
 _NONE = "NULL::VARCHAR AS order_id, NULL::BIGINT AS asset, NULL::VARCHAR AS side, 0.0::DOUBLE AS qty, {price}::DOUBLE AS price"
 _JUDGED = f"""WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity) AS place FROM lineitem
@@ -99,8 +155,34 @@ _JUDGED = f"""WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY l_o
     FROM s JOIN e ON e.account = s.account AND e.seq = s.seq + 1)
 ), judged AS (SELECT account, seq, order_id, reason = '' AS allowed, reason FROM s WHERE kind = 'order')"""
 
-QUERIES = {"pretrade_gateway": pretrade_gateway, "gateway_reasons": gateway_reasons}
+_WANTED = f"""CASE WHEN len(closes) < {STRATEGY.bars} THEN 0 WHEN price < mean * {1 - STRATEGY.band!r}::DOUBLE AND NOT alert AND pos + {STRATEGY.lot} <= {STRATEGY.most} THEN {STRATEGY.lot}
+    WHEN price > mean * {1 + STRATEGY.band!r}::DOUBLE AND pos > 0 THEN -least({STRATEGY.lot}, pos) ELSE 0 END"""
+_REPLAY = (
+    _BARS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", ev AS (SELECT asset AS key, epoch_us(t::TIMESTAMP) AS ts, 'bars' AS source, close AS price, volume AS qty FROM bars
+  UNION ALL SELECT DISTINCT l_suppkey, epoch_us(l_shipdate::DATE::TIMESTAMP), 'alerts', 0.0::DOUBLE, 0.0::DOUBLE FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= {LOUD}
+), e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, source) AS n FROM ev
+), s(key, n, ts, price, filled, wanted, pos, cash, alert, closes) AS (
+  SELECT DISTINCT key, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, false, CAST([] AS DOUBLE[]) FROM e
+  UNION ALL
+  SELECT key, n, ts, price, filled, CASE WHEN source = 'bars' THEN {_WANTED} ELSE open END, pos, cash, source <> 'bars', CASE WHEN source = 'bars' THEN list_append(closes, price)[-{STRATEGY.bars}:] ELSE closes END
+  FROM (SELECT *, pos0 + filled AS pos, cash0 - filled * price AS cash, list_reduce(list_prepend(0.0::DOUBLE, closes), lambda a, x: a + x) / {STRATEGY.bars} AS mean FROM (
+    SELECT e.key, e.n, e.ts, e.source, e.price, s.wanted AS open, s.alert, s.closes, s.pos AS pos0, s.cash AS cash0,
+      CASE WHEN e.source <> 'bars' THEN 0 ELSE sign(s.wanted) * least(abs(s.wanted), floor({SHARE}::DOUBLE * e.qty)) END AS filled FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1))
+), a AS (SELECT s.key, s.n, 0 AS k, s.ts, 'fill' AS action, filled AS qty, s.price, pos, cash FROM s WHERE filled <> 0
+  UNION ALL SELECT s.key, s.n, 1, s.ts, 'intent', wanted, s.price, pos, cash FROM s JOIN e USING (key, n) WHERE wanted <> 0 AND source = 'bars')
+SELECT key, row_number() OVER (PARTITION BY key ORDER BY n, k) - 1 AS step, ts, action, qty, {quantised_sql('a.price')} AS price, pos AS position, {quantised_sql('a.cash')} AS cash FROM a"""
+)
+QUERIES = {"pretrade_gateway": pretrade_gateway, "gateway_reasons": gateway_reasons, "replay_intents": replay_intents, "index_rebuild": index_rebuild, "tail_versions": tail_versions}
 ORACLE_SQL = {
+    "replay_intents": _REPLAY,
+    "index_rebuild": _BARS
+    + ", o AS (SELECT t, avg(close) AS level, 'mean' AS made_by FROM bars WHERE t < DATE '1997-07-01' GROUP BY t), n AS (SELECT t, sum(close * volume) / sum(volume) AS level, 'weighted' AS made_by FROM bars WHERE t >= DATE '1996-01-01' GROUP BY t) SELECT t, "
+    + quantised_sql("coalesce(n.level, o.level)")
+    + " AS level, coalesce(n.made_by, o.made_by) AS made_by FROM o FULL JOIN n USING (t)",
+    "tail_versions": _BARS
+    + """, v(version, whole) AS (VALUES (1, false), (2, true), (3, true), (4, true)) SELECT asset, version, count(*) AS n, max(t) AS last FROM bars, v
+    WHERE whole OR (year(t) < 1994 + asset % 5 AND asset % 7 <> 0) GROUP BY asset, version""",
     "pretrade_gateway": _JUDGED + " SELECT * FROM judged",
     "gateway_reasons": _JUDGED + " SELECT account, reason, count(*) AS n, min(seq) AS first, max(seq) AS last FROM judged GROUP BY account, reason",
 }
