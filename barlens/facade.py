@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlens import registry
-from barlens.operators import backtest, execution, expression, factors, portfolio, risk, stats
+from barlens.operators import backtest, execution, expression, factors, portfolio, risk, stats, structured
 
 
 @dataclass
@@ -100,8 +100,16 @@ class Engine:
         row = out.agg(F.avg("oos_sharpe").alias("oos_sharpe"), F.avg((F.col("oos_sharpe") < 0).cast("double")).alias("overfit")).first()
         return Result("walk_forward", True, out, {k: v for k, v in row.asDict().items() if v is not None})
 
-    def optimise(self, method: str = "hrp", cap: float = 0.2) -> Result:
+    def optimise(self, method: str = "hrp", cap: float = 0.2, structure: structured.Structure | None = None) -> Result:
+        """Weights by a dense covariance; of more assets than a dense block holds, or with a ``structure``, under a factor structure (of momentum and volatility
+        by default). Hierarchical weights compare all pairs of assets and so keep to the dense block."""
         r = self.bars.select("asset", "t", factors.change(F.col("close")).alias("r"))
+        if structure is None and method != "hrp" and r.select("asset").distinct().count() > portfolio.DENSE_ASSETS:
+            structure = structured.structure_of(r, risk.style_exposures(self.bars), ("momentum", "volatility"))
+        if structure is not None:
+            w = {"risk_budget": lambda: structured.risk_budget(structure), "min_variance": lambda: structured.mean_variance(structure, cap=cap)}[method]()
+            data = w.withColumnRenamed("w", "weight")
+            return Result("optimise", True, data, {"effective_n": data.agg(1 / F.sum(F.col("weight") * F.col("weight"))).first()[0]})
         names, cov = portfolio.matrix_of(stats.ewma_covariance(r))
         cov = portfolio.nearest_psd(cov)
         w = {"hrp": lambda: portfolio.hierarchical_risk_parity(cov), "risk_budget": lambda: portfolio.risk_budget(cov), "min_variance": lambda: portfolio.mean_variance(cov[0] * 0, cov, cap=cap)}[method]()

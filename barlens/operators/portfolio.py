@@ -67,7 +67,11 @@ def turnover(weights: DataFrame) -> DataFrame:
 # Dense blocks.
 
 
-def matrix_of(covariance: DataFrame, most: int = 2000) -> tuple[list, np.ndarray]:
+#: Assets of a dense block at most; :mod:`barlens.operators.structured` has no such limit.
+DENSE_ASSETS = 2000
+
+
+def matrix_of(covariance: DataFrame, most: int = DENSE_ASSETS) -> tuple[list, np.ndarray]:
     """Assets and the dense matrix of (a, b, cov), a <= b; raises above ``most`` assets, as it is held by the driver."""
     n = covariance.select("a").union(covariance.select("b")).distinct().count()
     if n > most:

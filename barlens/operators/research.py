@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.functions.columns import guarded_corr
-from barlens.operators import factors, portfolio, risk, selection, stats
+from barlens.operators import factors, portfolio, risk, selection, stats, structured
 from barlens.operators.expression import cross, cross_zscore
 from barlens.sources import scratch
 
@@ -208,20 +208,23 @@ def sentiment_scores(items: DataFrame, half_life_hours: float = 24.0) -> DataFra
     return d.groupBy("asset").agg(F.coalesce(F.try_divide(F.sum(F.col("w") * F.col("score")), F.sum("w")), F.lit(0.0)).alias("score"), F.count(F.lit(1)).alias("n"))
 
 
-def covariance_weights(alpha: DataFrame, covariance: DataFrame, cap: float = 0.2) -> DataFrame:
+def covariance_weights(alpha: DataFrame, covariance: DataFrame | structured.Structure, cap: float = 0.2) -> DataFrame:
     """(asset, w) without shorts in proportion to the inverse covariance times alpha, none above ``cap``, the excess handed on.
 
-    ``alpha`` (asset, alpha), ``covariance`` (a, b, cov), a <= b. The dense block is held by the driver, which raises above 2,000 assets. Assets without
-    alpha have 0; where nothing is positive, equal weights."""
+    ``alpha`` (asset, alpha); ``covariance``: a factor structure, for any number of assets, or (a, b, cov), a <= b, whose dense block is held by the driver,
+    which raises above 2,000 assets. Assets without alpha have 0; where nothing is positive, equal weights."""
+    kind = alpha.schema["asset"].dataType.simpleString()
+    if isinstance(covariance, structured.Structure):
+        d = structured.inverse_weights(covariance.with_column("alpha", alpha)).withColumn("k", F.lit(0))
+        return selection.capped(d, "k", cap).select("asset", "w")
     names, m = portfolio.matrix_of(covariance)
     of = {r["asset"]: r["alpha"] or 0.0 for r in alpha.join(F.broadcast(covariance.select(F.col("a").alias("asset")).distinct()), "asset", "left_semi").collect()}
     w = np.linalg.solve(m + 1e-6 * np.eye(len(names)), np.array([of.get(a, 0.0) for a in names])) if names else []
-    kind = alpha.schema["asset"].dataType.simpleString()
     d = alpha.sparkSession.createDataFrame([(0, a, max(float(x), 0.0)) for a, x in zip(names, w, strict=True)], f"k int, asset {kind}, w double")
     return selection.capped(d, "k", cap).drop("k")
 
 
-def nested_targets(alpha: DataFrame, covariance: DataFrame, current: DataFrame, equity: float, cap: float = 0.2, bps: float = 45.0, to_bps: float = 1000.0) -> DataFrame:
+def nested_targets(alpha: DataFrame, covariance: DataFrame | structured.Structure, current: DataFrame, equity: float, cap: float = 0.2, bps: float = 45.0, to_bps: float = 1000.0) -> DataFrame:
     """(asset, raw, slippage, target, change): weights before and after each alpha pays the impact of getting there.
 
     ``current`` (asset, w, adv): weights and daily traded values. Slippage in bps is ``bps`` times the root of the traded share of the day; assets

@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlens.functions.columns import quantised
-from barlens.operators import backtest, expression, factors, portfolio, stats
+from barlens.functions.columns import quantised, quantised_sql
+from barlens.operators import backtest, expression, factors, portfolio, risk, stats, structured
+from barlens.plans.risk_plans import _X
 from barlens.plans.stat_plans import _BARS, _IC, _PAIRS, _R, _S, panel, q, quantise, returns
 from barlens.sources import views
 
@@ -108,6 +109,31 @@ def path_fold(spark, sf_dir):
     return backtest.path_backtest(p, grid)
 
 
+def _structure(spark, sf_dir, factors_: tuple[str, ...] = ("momentum",)) -> structured.Structure:
+    bars = views.supplier_bars(spark, sf_dir)
+    r = bars.select("asset", "t", factors.change(F.col("close")).alias("r"))
+    s = structured.structure_of(r, risk.style_exposures(bars), factors_)
+    return s.with_column("alpha", r.where("r is not null").groupBy("asset").agg(F.avg("r").alias("alpha")))
+
+
+def inverse_weights(spark, sf_dir):
+    """All suppliers by the inverse of their covariance under market and momentum, times their mean return."""
+    w = structured.inverse_weights(_structure(spark, sf_dir))
+    return w.crossJoin(F.broadcast(w.agg(F.sum("w").alias("s")))).select("asset", quantised(F.try_divide("w", "s"), 1e8).alias("weight"))
+
+
+def structured_weights(spark, sf_dir):
+    """Weights of all suppliers by four schemes under a structure of market, momentum and volatility."""
+    s = _structure(spark, sf_dir, ("momentum", "volatility"))
+    s = s.with_column("posterior", structured.black_litterman(s.with_column("prior", s.assets.select("asset", F.lit(0.0).alias("prior"))), "prior", "alpha").withColumnRenamed("mean", "posterior"))
+    schemes = {"mean_variance": structured.mean_variance(s, "alpha", cap=0.05), "black_litterman": structured.mean_variance(s, "posterior", cap=0.05), "min_variance": structured.mean_variance(s), "risk_budget": structured.risk_budget(s)}
+    out = None
+    for name, w in schemes.items():
+        one = w.select(F.lit(name).alias("scheme"), "asset", quantised("w", 1e6).alias("weight"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def optimised(spark, sf_dir):
     """Weights of the 25 brands by five schemes on their covariance: a block of 25 by 25 on the driver."""
     r = views.brand_bars(spark, sf_dir).select("asset", "t", factors.change(F.col("close")).alias("r"))
@@ -139,6 +165,19 @@ _SW = _PAIRS + ", u AS (SELECT t, asset, greatest(score - 0.5::DOUBLE, 0) AS s0
 _NUM = _PAIRS + ", cal AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS idx FROM (SELECT DISTINCT t FROM s)), p AS (SELECT s.*, idx FROM s JOIN cal USING (t))"
 _M = _R + ", m AS (SELECT t, avg(r) AS r FROM r GROUP BY t HAVING avg(r) IS NOT NULL)"
 
+_INVERSE = (
+    _X
+    + """, j AS (SELECT asset, t, r, momentum AS x FROM a JOIN e USING (asset) WHERE r IS NOT NULL
+), b AS (SELECT t, count(*)::DOUBLE AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(r) AS sy, sum(x * r) AS sxy FROM j GROUP BY t
+), f AS (SELECT t, (sxy * n - sx * sy) / (sxx * n - sx * sx) AS f1, (sy - (sxy * n - sx * sy) / (sxx * n - sx * sx) * sx) / n AS f0 FROM b
+), c AS (SELECT var_pop(f0) AS c00, covar_pop(f0, f1) AS c01, var_pop(f1) AS c11 FROM f
+), o AS (SELECT asset, any_value(x) AS x, greatest(var_pop(r - f0 - f1 * x), 1e-8) + 1e-6 AS d, avg(r) AS alpha FROM j JOIN f USING (t) GROUP BY asset
+), s AS (SELECT sum(1 / d) AS s00, sum(x / d) AS s01, sum(x * x / d) AS s11, sum(alpha / d) AS v0, sum(x * alpha / d) AS v1 FROM o
+), m AS (SELECT 1 + c00 * s00 + c01 * s01 AS m00, c00 * s01 + c01 * s11 AS m01, c01 * s00 + c11 * s01 AS m10, 1 + c01 * s01 + c11 * s11 AS m11, c00 * v0 + c01 * v1 AS u0, c01 * v0 + c11 * v1 AS u1 FROM c, s
+), z AS (SELECT (u0 * m11 - m01 * u1) / (m00 * m11 - m01 * m10) AS z0, (m00 * u1 - m10 * u0) / (m00 * m11 - m01 * m10) AS z1 FROM m
+), w AS (SELECT asset, greatest((alpha - z0 - z1 * x) / d, 0) AS w FROM o, z) SELECT asset, """
+    + f"{quantised_sql('w / sum(w) OVER ()', '1e8')} AS weight FROM w"
+)
 QUERIES = {
     "score_weights": score_weighted,
     "inverse_volatility": inverse_vol,
@@ -157,6 +196,8 @@ QUERIES = {
     "purged_ic": purged_ic,
     "path_backtest": path_fold,
     "optimised_weights": optimised,
+    "inverse_weights": inverse_weights,
+    "structured_weights": structured_weights,
     "synthetic_bars": synthetic,
 }
 
@@ -169,6 +210,7 @@ def _q6(columns: dict[str, str]) -> str:
 
 _SH = "CASE WHEN stddev_samp(r) > 1e-10 THEN avg(r) / stddev_samp(r) END"
 ORACLE_SQL = {
+    "inverse_weights": _INVERSE,
     "score_weights": _SW + " SELECT t, asset, " + q({"weight": "w"}) + " FROM w",
     "inverse_volatility": _R
     + ", v AS (SELECT asset, stddev_samp(r) AS vol FROM r GROUP BY asset), i AS (SELECT asset, 1 / greatest(coalesce(vol, (SELECT quantile_cont(vol, 0.5) FROM v)), 0.01) AS inv FROM v) SELECT asset, "
