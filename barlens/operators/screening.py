@@ -62,15 +62,18 @@ def orthogonal_ic(rows: DataFrame, exposures: DataFrame, styles: tuple[str, ...]
     return ic_by_date(left, least).groupBy("name").agg(F.avg("ic").alias("orthogonal_ic"))
 
 
-def value_correlations(rows: DataFrame) -> DataFrame:
-    """(a, b, corr), a < b: correlation of two candidates' ranks within dates over all rows that have both; null where one does not vary.
+SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
+
+
+def rank_products(rows: DataFrame) -> DataFrame:
+    """(t, a, b, sums): for each date and two candidates, a < b, sums of their ranks within the date and of their products over rows that have both.
 
-    A task multiplies the ranks of a bounded part of one date's assets as a matrix with a column for each candidate; sums are added over parts and dates."""
+    A task multiplies the ranks of a bounded part of one date's assets as a matrix with a column for each candidate; sums are added over parts."""
     spark = rows.sparkSession
     n = F.count(F.lit(1)).over(scored())
     ranks = rows.select("name", "t", "asset", ((average_rank("score") - 0.5) / n - 0.5).alias("x"))
-    most = ranks.groupBy("name", "t").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    names = [r["name"] for r in ranks.select("name").distinct().orderBy("name").collect()]
+    most = rows.groupBy("name", "t").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    names = [r["name"] for r in rows.select("name").distinct().orderBy("name").collect()]
     at = {c: i for i, c in enumerate(names)}
     parts = max(1, -(-most // BLOCK_ASSETS))
 
@@ -82,17 +85,33 @@ def value_correlations(rows: DataFrame) -> DataFrame:
         x = np.nan_to_num(x)
         n, sx, sxx, sxy = has.T @ has, x.T @ has, (x * x).T @ has, x.T @ x
         i, j = np.triu_indices(len(names), 1)
-        found = {"a": i, "b": j, "n": n[i, j], "sa": sx[i, j], "sb": sx[j, i], "saa": sxx[i, j], "sbb": sxx[j, i], "sab": sxy[i, j]}
+        found = {"t": part["t"].iloc[0], "a": i, "b": j, "n": n[i, j], "sa": sx[i, j], "sb": sx[j, i], "saa": sxx[i, j], "sbb": sxx[j, i], "sab": sxy[i, j]}
         return pd.DataFrame(found)[n[i, j] > 0]
 
-    schema = "a int, b int, n double, sa double, sb double, saa double, sbb double, sab double"
-    total = ranks.groupBy("t", F.pmod(F.xxhash64("asset"), F.lit(parts)).alias("part")).applyInPandas(sums, schema).groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")))
-    c = {k: F.col(k) for k in ("n", "sa", "sb", "saa", "sbb", "sab")}
-    va, vb = c["saa"] / c["n"] - (c["sa"] / c["n"]) ** 2, c["sbb"] / c["n"] - (c["sb"] / c["n"]) ** 2
-    corr = F.when((va > 1e-12) & (vb > 1e-12), (c["sab"] / c["n"] - c["sa"] / c["n"] * c["sb"] / c["n"]) / F.sqrt(va * vb))
+    kind = rows.schema["t"].dataType.simpleString()
+    schema = f"t {kind}, a int, b int, " + ", ".join(f"{c} double" for c in SUMS)
+    total = ranks.groupBy("t", F.pmod(F.xxhash64("asset"), F.lit(parts)).alias("part")).applyInPandas(sums, schema).groupBy("t", "a", "b").agg(*(F.sum(c).alias(c) for c in SUMS))
     label = spark.createDataFrame(list(enumerate(names)), "i int, name string")
     first, second = label.select(F.col("i").alias("a"), F.col("name").alias("first")), label.select(F.col("i").alias("b"), F.col("name").alias("second"))
-    return total.withColumn("corr", corr).join(F.broadcast(first), "a").join(F.broadcast(second), "b").select(F.col("first").alias("a"), F.col("second").alias("b"), "corr")
+    return total.join(F.broadcast(first), "a").join(F.broadcast(second), "b").select("t", F.col("first").alias("a"), F.col("second").alias("b"), *SUMS)
+
+
+def product_correlation() -> Column:
+    """The correlation that the sums of :func:`rank_products` give; null where a side does not vary."""
+    c = {k: F.col(k) for k in SUMS}
+    va, vb = c["saa"] / c["n"] - (c["sa"] / c["n"]) ** 2, c["sbb"] / c["n"] - (c["sb"] / c["n"]) ** 2
+    return F.when((va > 1e-12) & (vb > 1e-12), (c["sab"] / c["n"] - c["sa"] / c["n"] * c["sb"] / c["n"]) / F.sqrt(va * vb))
+
+
+def value_correlations(rows: DataFrame) -> DataFrame:
+    """(a, b, corr), a < b: correlation of two candidates' ranks within dates over all rows that have both; null where one does not vary."""
+    total = rank_products(rows).groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in SUMS))
+    return total.select("a", "b", product_correlation().alias("corr"))
+
+
+def mean_correlations(rows: DataFrame, least: int = 3) -> DataFrame:
+    """(a, b, corr), a < b: mean over dates with ``least`` common rows of the correlation of two candidates' ranks."""
+    return rank_products(rows).where(F.col("n") >= least).select("a", "b", product_correlation().alias("corr")).groupBy("a", "b").agg(F.avg("corr").alias("corr"))
 
 
 def screened(rows: DataFrame, expressions: dict[str, str], n_trials: int, exposures: DataFrame | None = None, styles: tuple[str, ...] = (), dsr: float = 0.5, orthogonal: float = 0.01, **gates: float) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barlens.functions.columns import quantised
-from barlens.operators import ensemble, expression, orders, risk, screening, selection, stats
+from barlens.operators import ensemble, expression, orders, refinery, research, risk, screening, selection, stats
 from barlens.plans.order_plans import _HELD, MONEY, _held
 from barlens.plans.risk_plans import _X
 from barlens.plans.stat_plans import _AVG_RANK, _BARS, _GUARD, _R, _S, _z, panel, q, quantise
-from barlens.sources import scratch, views
+from barlens.sources import scratch, versions, views
+from barlens.streaming.runtime import checkpoint_root
 
 #: Candidates with their SQL.
 CANDIDATES = {
@@ -89,6 +92,39 @@ def ensemble_ic(spark, sf_dir):
     return quantise(stats.rank_ic(scored.withColumn("score", quantised("score", 1e8))).join(fitted, "t"), "t", "fitted")
 
 
+#: First candidates of the refine loop, and what is accepted already.
+SEEDS = ("sub(close, delay(close, 4))", "sub(delay(close, 2), close)", "neg(amount)", "sub(high, delay(high, 2))", "ts_mean(volume, 5)")
+ACCEPTED = ("sub(vwap, close)",)
+STEP_DATES, MARGIN = 10, 0.01
+
+
+def refined_candidates(spark, sf_dir):
+    """Candidates judged against the accepted factor and one another, and the variants of those that fail, round by round."""
+    bars = views.supplier_bars(spark, sf_dir)
+    judged = refinery.refined(bars, stats.forward_returns(bars), SEEDS, ACCEPTED, generations=3)
+    return quantise(refinery.as_table(bars, judged), "expression", "generation", "n_dates", "alike", "passed", "reason")
+
+
+def orthogonal_factors(spark, sf_dir):
+    """Factors chosen one a generation by the IC of what momentum and those chosen before leave of them."""
+    bars = views.supplier_bars(spark, sf_dir)
+    found = refinery.orthogonal_search(bars, stats.forward_returns(bars), risk.style_exposures(bars), ("momentum",), generations=2, size=8, seeds=("sub(vwap, close)", "sub(delay(close, 1), close)", "div(vwap, close)"))
+    return quantise(spark.createDataFrame(found, "generation int, expression string, ic double"), "generation", "expression")
+
+
+def promotion_gate(spark, sf_dir):
+    """A registry of models: every ten dates the next candidate challenges what serves, on the same dates, and is promoted beyond a margin."""
+    bars = views.supplier_bars(spark, sf_dir)
+    rows = selection.stacked(expression.evaluate(bars, {k: e for k, (e, _) in POOL.items()}), stats.forward_returns(bars), POOL)
+    ic = screening.ic_by_date(rows).withColumn("ic", quantised("ic", 1e8))
+    dates = research.dated(bars.select("t").distinct()).withColumn("step", F.floor(F.col("i") / STEP_DATES))
+    ic = scratch.written(ic.join(F.broadcast(dates), "t"), "ics")
+    table = versions.VersionedTable(spark, f"{checkpoint_root(spark)}/barlens-registry-{uuid.uuid4().hex}")
+    for step, name in enumerate(sorted(POOL)):
+        refinery.challenged(table, ic.where(F.col("step") == step).select("name", "t", "ic"), name, MARGIN)
+    return quantise(table.read(), "step", "champion", "challenger", "n_dates", "promoted", "serving")
+
+
 LEARNED = {"reversal": "zscore(sub(close, delay(close, 3)))", "gap": "zscore(sub(vwap, close))", "span": "zscore(sub(high, low))"}
 FOLD_START, FOLD_EVERY, EDGE = 30, 15, 0.01
 
@@ -253,6 +289,9 @@ QUERIES = {
     "pool_gain": gain,
     "residual_ic": residual_ic,
     "ensemble_ic": ensemble_ic,
+    "refined_candidates": refined_candidates,
+    "orthogonal_factors": orthogonal_factors,
+    "promotion_gate": promotion_gate,
     "ensemble_folds": ensemble_folds,
     "ensemble_chosen": ensemble_chosen,
     "grid_results": grid,
@@ -264,7 +303,23 @@ QUERIES = {
     "worst_offender": offender,
     "momentum_baseline": baseline,
 }
+_NAMES = ", ".join(f"({k}, '{n}')" for k, n in enumerate(sorted(POOL)))
 ORACLE_SQL = {
+    "promotion_gate": _BARS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", "
+    + _stacked_sql(POOL)
+    + f""", r AS (SELECT name, t, {_BY_NAME.format(c='score')} AS x, {_BY_NAME.format(c='fwd')} AS y, count(*) OVER (PARTITION BY name, t) AS n FROM c
+    ), i AS (SELECT name, t, floor(coalesce({_GUARD.format(x='x', y='y')}, 0) * 1e8 + 0.5) / 1e8 AS ic FROM r WHERE n >= 10 GROUP BY name, t
+    ), dt AS (SELECT t, (row_number() OVER (ORDER BY t) - 1) // {STEP_DATES} AS step FROM (SELECT DISTINCT t FROM bars)
+    ), w AS MATERIALIZED (SELECT i.*, step FROM i JOIN dt USING (t)), names(step, name) AS (VALUES {_NAMES}
+    ), duel AS MATERIALIZED (SELECT a.step, a.name AS champion, b.name AS challenger, count(*) AS n_dates, avg(a.ic) AS old_ic, avg(b.ic) AS new_ic FROM w a JOIN w b ON a.t = b.t GROUP BY ALL
+    ), g(step, champion, challenger, n_dates, champion_ic, challenger_ic, promoted, serving) AS (
+      SELECT -1, NULL::VARCHAR, NULL::VARCHAR, 0::BIGINT, NULL::DOUBLE, NULL::DOUBLE, false, NULL::VARCHAR
+      UNION ALL
+      SELECT step, champion, challenger, coalesce(n_dates, 0), old_ic, new_ic, ok, CASE WHEN ok THEN challenger ELSE champion END FROM (
+        SELECT n.step, g.serving AS champion, n.name AS challenger, d.n_dates, CASE WHEN g.serving IS NOT NULL THEN d.old_ic END AS old_ic, d.new_ic, coalesce(CASE WHEN g.serving IS NULL THEN d.new_ic > 0 ELSE d.new_ic > d.old_ic + {MARGIN}::DOUBLE END, false) AS ok
+        FROM g JOIN names n ON n.step = g.step + 1 LEFT JOIN duel d ON d.step = n.step AND d.challenger = n.name AND d.champion = coalesce(g.serving, n.name))
+    ) SELECT step, champion, challenger, n_dates, {q({'champion_ic': 'g.champion_ic', 'challenger_ic': 'g.challenger_ic'})}, promoted, serving FROM g WHERE step >= 0""",
     "factor_selection": _SELECTED
     + "SELECT f.name, expression, nodes, ok AS passed, coalesce(place, 0)::INT AS place, coalesce(blocked_by, '') AS blocked_by, "
     + q({c: f"f.{c}" for c in ("ic", "icir", "monotonicity", "long_short", "dsr", "orthogonal_ic")} | {"score": "CASE WHEN ok THEN f.score ELSE 0 END"})
