@@ -13,9 +13,11 @@ five words collide. They are linked if at most a fifth of the words have to be c
 A first pass over whole texts gives each paragraph's place, a 128-bit digest of its words (A-Z as a-z) and its band. Bands are
 aggregated to the least and greatest paragraph, so that a band that only copies share is dropped at once. A second pass gives the words of
 paragraphs whose bands are left, found by a bitmap of fixed size and then by a join; from then on equal paragraphs are one. Groups of
-bands go to tasks, which verify every pair that is not linked yet and return a spanning forest, not all links. A band with more than
-BUCKET_ROWS paragraphs is parted first: two of them within four edits have three successive words in common behind the first five, so each goes
-to the buckets of its own three-word runs; only what is still large there is dealt out as pairs of tiles.
+bands go to tasks. Two paragraphs within four edits have three successive words in common behind the first five, so a band is parted by such runs;
+in each part all are compared with a centre, and by the triangle inequality only those between four and eight edits from it need be
+compared with the ones it takes. A task returns fewer links than it has paragraphs. A band with more than BAND_ROWS distinct
+paragraphs does not go to one task: each of them goes to the buckets of its own three-word runs, and only what is still large there is dealt
+out as pairs of tiles.
 
 What is reported are the paragraphs whose component stands in two rows or more. The first paragraph of each component (least
 doc_id, then place) stays, the others are removed. Where a removed paragraph and the next one in the text go on like the
@@ -50,8 +52,8 @@ THRESHOLD = 0.8
 #: Words of the runs that part a large band, and bits of the bitmap of bands.
 RUN = 3
 BITMAP_BITS = 24
-#: Rows of a group of buckets on average, and those from which a bucket is dealt out in tiles.
-GROUP_ROWS, BUCKET_ROWS = 1024, 128
+#: Rows of a group of buckets on average, and those from which a bucket is dealt out in tiles: of whole texts' shingles, and of words.
+GROUP_ROWS, BUCKET_ROWS, BAND_ROWS = 1024, 128, 20_000
 #: Characters of the texts that a task cuts together.
 BLOCK_CHARS = 1_000_000
 
@@ -144,7 +146,7 @@ def bitmap_of(bands: DataFrame) -> np.ndarray:
 
 
 def colliding_words(docs: DataFrame, bands: DataFrame, width: int = WIDTH, window: int = WINDOW) -> DataFrame:
-    """(id, band, words): each distinct paragraph of ``docs`` (text) whose band is among ``bands``, with the 64-bit hashes of its words."""
+    """(digest, id, band, words): each distinct paragraph of ``docs`` (text) whose band is among ``bands``, with the 64-bit hashes of its words."""
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(bands))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,60 +162,125 @@ def colliding_words(docs: DataFrame, bands: DataFrame, width: int = WIDTH, windo
                     yield pa.RecordBatch.from_arrays(columns, names=["digest", "band", "words"])
 
     found = docs.select("text").mapInArrow(run, "digest binary, band long, words binary").join(bands, "band", "left_semi")
-    return found.groupBy(F.xxhash64("digest").alias("id")).agg(F.first("band").alias("band"), F.first("words").alias("words"))
-
-
-def within_edits(one: np.ndarray, others: np.ndarray, most: int) -> np.ndarray:
-    """Which rows of ``others`` become ``one`` by at most that many words changed, left out or put in."""
-    out = (others != one).sum(axis=1) <= most
-    # Words in common bound the edits from below; the others need the whole table.
-    rest = np.flatnonzero(~out & (np.isin(others, one).sum(axis=1) >= others.shape[1] - most))
-    if len(rest):
-        n, b = len(one), others[rest]
-        row = np.repeat(np.arange(n + 1)[None], len(rest), axis=0)
-        for i in range(n):
-            after = np.minimum(row[:, 1:] + 1, row[:, :-1] + (b != one[i]))
-            after = np.concatenate([np.full((len(rest), 1), i + 1), after], axis=1)
+    return found.groupBy("digest").agg(F.first("band").alias("band"), F.first("words").alias("words")).withColumn("id", F.xxhash64("digest"))
+
+
+def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Words changed, left out or put in to make each row of ``b`` of the same row of ``a``: at most that many where it is ``most`` or less, exact up to
+    twice ``most``, and more than that beyond."""
+    n = a.shape[1]
+    out = (a != b).sum(axis=1)
+    for at in range(0, len(a), 20_000):
+        part = at + np.flatnonzero(out[at : at + 20_000] > most)
+        x, y = a[part], b[part]
+        # Words without a like bound the edits from below; what is left needs the whole table.
+        low = n - (y[:, :, None] == x[:, None, :]).any(axis=2).sum(axis=1)
+        out[part] = 2 * most + 1
+        part, x, y = part[low <= 2 * most], x[low <= 2 * most], y[low <= 2 * most]
+        row = np.repeat(np.arange(n + 1, dtype=np.int16)[:, None], len(part), axis=1)
+        for i in range(n if len(part) else 0):
+            after = np.empty_like(row)
+            after[0] = i + 1
+            changed = row[:-1] + (y != x[:, i : i + 1]).T
             for k in range(1, n + 1):
-                after[:, k] = np.minimum(after[:, k], after[:, k - 1] + 1)
+                np.minimum(np.minimum(row[k] + 1, after[k - 1] + 1), changed[k - 1], out=after[k])
             row = after
-        out[rest] = row[:, -1] <= most
+        if len(part):
+            out[part] = np.minimum(row[-1], 2 * most + 1)
     return out
 
 
-def edit_forest(ids: np.ndarray, words: np.ndarray, bucket: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest over all pairs within a bucket that are within that many edits."""
-    labels = np.arange(len(ids))
-    order = np.argsort(bucket, kind="stable")
-    ends = np.searchsorted(bucket[order], bucket[order], side="right")
-    for x, i in enumerate(order.tolist()):
-        rest = order[x + 1 : ends[x]]
-        rest = rest[labels[rest] != labels[i]]
-        if len(rest):
-            for j in rest[within_edits(words[i], words[rest], most)].tolist():
-                if labels[j] != labels[i]:
-                    labels[labels == max(labels[i], labels[j])] = min(labels[i], labels[j])
-    moved = labels != np.arange(len(ids))
-    return ids[moved], ids[labels[moved]]
+def runs_of(words: np.ndarray) -> np.ndarray:
+    """A hash of each run of ``RUN`` words behind the band's five, row by row."""
+    rest = words[:, SHINGLE:]
+    n = rest.shape[1] - RUN + 1
+    out = np.zeros((len(words), n), dtype=np.uint64)
+    for k in range(RUN):
+        out = (out ^ rest[:, k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
 
 
-def edit_links(found: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, group_rows: int = GROUP_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def sharing(words: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Buckets parted so that rows which share no run of ``RUN`` words behind the first five, directly or through others, are apart."""
+    runs = runs_of(words) ^ (bucket.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None]
+    _, key = np.unique(runs, return_inverse=True)
+    key = key.reshape(runs.shape)
+    label = np.arange(len(words))
+    while True:
+        least = np.full(key.max() + 1, len(words))
+        np.minimum.at(least, key.ravel(), np.repeat(label, key.shape[1]))
+        after = least[key].min(axis=1)
+        after = np.minimum(after, after[after])
+        if (after == label).all():
+            return label
+        label = after
+
+
+def edit_forest(ids: np.ndarray, words: np.ndarray, bucket: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the components of all pairs within a bucket that are within ``most`` edits, fewer than there are rows.
+
+    In rounds, all buckets at once: a bucket's centre is compared with its rows. Those within ``most`` are linked to it and done, as what is more than twice ``most``
+    from the centre cannot be within ``most`` of them; rows in between are linked to one of those that are done, if any is near. The rest go on."""
+    links: list[tuple[np.ndarray, np.ndarray]] = []
+    _, bucket = np.unique(bucket, return_inverse=True)
+    bucket = sharing(words, bucket)
+    rows = np.argsort(bucket, kind="stable")
+    while len(rows):
+        first = np.flatnonzero(np.append(True, np.diff(bucket[rows]) != 0))
+        size = np.diff(np.append(first, len(rows)))
+        rows, first, size = rows[np.repeat(size > 1, size)], None, size[size > 1]
+        if not len(rows):
+            break
+        first = np.cumsum(size) - size
+        centre = rows[first].copy()
+        for g in np.flatnonzero(size > 8):
+            own = words[rows[first[g] : first[g] + size[g]]]
+            common = np.array([v[c.argmax()] for v, c in (np.unique(col, return_counts=True) for col in own.T)])
+            centre[g] = rows[first[g] + (own != common).sum(axis=1).argmin()]
+        d = edit_distances(words[np.repeat(centre, size)], words[rows], most)
+        near = d <= most
+        linked = near & (rows != np.repeat(centre, size))
+        links.append((rows[linked], np.repeat(centre, size)[linked]))
+        between = (d > most) & (d <= 2 * most)
+        for g in np.unique(np.repeat(np.arange(len(size)), size)[between]):
+            part = slice(first[g], first[g] + size[g])
+            done, away = rows[part][linked[part]], d[part][linked[part]]
+            left, far = rows[part][between[part]], d[part][between[part]]
+            for at in range(0, len(done), 256):
+                # By the triangle inequality, too, only some of those done can be near one that is so far from the centre.
+                x, y = np.nonzero(away[at : at + 256][None] >= far[:, None] - most)
+                met = edit_distances(words[left[x]], words[done[at + y]], most) <= most
+                who, which = np.unique(x[met], return_index=True)
+                links.append((left[who], done[at + y[met][which]]))
+                keep = np.ones(len(left), dtype=bool)
+                keep[who] = False
+                left, far = left[keep], far[keep]
+                if not len(left):
+                    break
+        rows = rows[~near]
+    if not links:
+        return ids[:0], ids[:0]
+    u, v = (np.concatenate(x) for x in zip(*links, strict=True))
+    return ids[u], ids[v]
+
+
+def edit_links(found: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, group_rows: int = GROUP_ROWS, bucket_rows: int = BAND_ROWS) -> DataFrame:
     """(u, v) ids: a forest with the components of all links between the paragraphs of ``found`` (id, band, words), a written table with a row for each id."""
     most = int((1 - threshold) * width + 1e-9)
     large = materialize(found.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows).select("band"), "large-bands")
 
-    def runs_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each paragraph once for each of its three-word runs behind the band's five words, none in which it would stand alone left out yet."""
+    def by_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each paragraph once for each of its runs."""
         for batch in batches:
             raw = batch.column("words").to_pylist()
             if raw:
-                words = np.frombuffer(b"".join(raw), "<u8").reshape(len(raw), width)
-                shift = [shingles_of(w[SHINGLE:], RUN) for w in words]
-                row = pa.array(np.repeat(np.arange(len(raw)), [len(x) for x in shift]))
-                key = np.concatenate(shift) ^ np.repeat(batch.column("band").to_numpy().view(np.uint64), [len(x) for x in shift])
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(row), pa.array(key.view(np.int64))], names=["id", "bucket"])
+                keys = runs_of(np.frombuffer(b"".join(raw), "<u8").reshape(len(raw), width))
+                row = pa.array(np.repeat(np.arange(len(raw)), keys.shape[1]))
+                keys = keys ^ batch.column("band").to_numpy().view(np.uint64)[:, None]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(row), pa.array(keys.reshape(-1).view(np.int64))], names=["id", "bucket"])
 
-    parted = found.join(large, "band", "left_semi").select("id", "band", "words").mapInArrow(runs_of, "id long, bucket long").distinct()
+    parted = found.join(large, "band", "left_semi").select("id", "band", "words").mapInArrow(by_runs, "id long, bucket long").distinct()
     parted = materialize(parted, "parted-bands")
     shared = parted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     small = found.join(large, "band", "left_anti").select("id", F.col("band").alias("bucket"), F.lit(1).cast("long").alias("n"))
@@ -293,14 +360,15 @@ def repeated(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH,
     with batches_of(docs.sparkSession, 1000):
         found = materialize(extract(docs, width, window), "paragraphs")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "number", "step")
-    distinct = materialize(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high")), "distinct-paragraphs")
+    distinct = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.min("rid").alias("low"), F.max("rid").alias("high"))
     own = F.xxhash64("digest")
     shared = materialize(found.groupBy("band").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").select("band"), "shared-bands")
     with batches_of(docs.sparkSession, 1000):
         words = materialize(colliding_words(docs, shared, width, window), "colliding")
     linked = connected_components(edit_links(words, threshold, width)).withColumnRenamed("node", "id")
-    # Only paragraphs that have a copy or a link can be in a component of two rows.
-    named = distinct.withColumn("id", own).join(linked, "id", "left").where(F.col("component").isNotNull() | (F.col("low") < F.col("high")))
+    # Only paragraphs that have a copy or a link can be in a component of two rows. Joined by digest, by which they are dealt already.
+    linked = materialize(words.select("id", "digest").join(linked, "id").select("digest", "component"), "linked-paragraphs")
+    named = distinct.join(linked, "digest", "left").withColumn("id", own).where(F.col("component").isNotNull() | (F.col("low") < F.col("high")))
     named = materialize(named.withColumn("component", F.coalesce("component", "id")), "paragraph-components")
     groups = named.groupBy("component").agg(F.sum("n").alias("copies"), F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"))
     groups = groups.where(F.col("low") < F.col("high")).select("component", "copies", "first")
