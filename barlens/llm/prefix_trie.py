@@ -137,7 +137,9 @@ def nodes(prefixes: DataFrame) -> DataFrame:
     top, rest = prefixes.where("depth = 0"), prefixes.where("depth > 0")
     root = count(top.groupBy()).first()
     own = top.withColumns({c: F.lit(root[c]).cast("long") for c in ("rep", "n", "ends")})
-    known = rest.join(count(rest.groupBy("depth", "digest")), ["depth", "digest"]).select(own.columns).unionByName(own)
+    # Written first: a join of two tables is one that Spark splits where many conversations share a node.
+    counted = materialize(count(rest.groupBy("depth", "digest")), "nodes")
+    known = rest.join(counted, ["depth", "digest"]).select(own.columns).unionByName(own)
 
     path = Window.partitionBy("conv").orderBy("depth")
     whole = Window.partitionBy("conv")

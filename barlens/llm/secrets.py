@@ -4,12 +4,13 @@ Pass 1 counts, over the whole texts of all documents, which character follows wh
 ordinary text (66 x 66 counts come to the driver). Pass 2 finds the pattern spans and tests each further run of 20 or more key
 characters. The run's encoding is the smallest alphabet that holds it. The battery asks how well "each character drawn at random"
 explains the run: chi-squared uniformity over that alphabet, a runs test about its middle, and lag-1 serial correlation, joined to
-one p-value; a run that it rejects is no key. The same three traits give the evidence against ordinary text, as a likelihood ratio of the
-uniform draw to the text model: how far its frequencies are from uniform, how seldom it changes between letters, capitals and digits,
-and what its characters tell of the next. Under the text model the ratio exceeds x with a chance of 1/x at most, whatever the length, so
+one p-value; a run that it rejects is no key. So the battery is a gate: it can only take runs away. What is tested for discovery is another
+statistic, the evidence against ordinary text, as a likelihood ratio of the uniform draw to the text model, in which each pair of neighbouring
+characters counts. Under the text model the ratio exceeds x with a chance of 1/x at most, whatever the length, so
 8/ratio (for the alphabets that may be chosen) is a p-value that takes account of length: each character of a random key adds evidence.
 The p-values are counted in bins for each stratum (encoding, length class) over all documents, each stratum's Benjamini-Hochberg
-threshold comes from the few hundred counts, and the runs that pass it and that the battery does not reject are added.
+threshold comes from the few hundred counts, and the runs that pass it and that the battery does not reject are added. The rate is
+held in each stratum; over all of them only the expected number of false runs is, as a share of the expected number of runs found.
 
 Defined cases: a null text is empty and has no spans; equal starts are ordered as assign, access, hex, random; tokens that
 overlap a pattern span are not tested; repeated rows get equal results; other columns of the input are not returned by
