@@ -28,9 +28,11 @@ def bridge(spark, sf_dir):
 
 
 def retraining(spark, sf_dir):
+    """When a model that is fitted anew each January and July is due before that: its age is the days since."""
     ic = stats.rank_ic(stats.paired(*panel(spark, sf_dir))).withColumn("ic", quantised("ic"))
     w = Window.orderBy("t")
-    d = ic.select("t", F.avg("ic").over(w.rowsBetween(-5, 0)).alias("recent"), F.avg("ic").over(w.rowsBetween(-23, -6)).alias("before"), (F.row_number().over(w) % 8 * 15).alias("days"))
+    fitted = F.max(F.when(F.month("t").isin(1, 7), F.col("t"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    d = ic.select("t", F.avg("ic").over(w.rowsBetween(-5, 0)).alias("recent"), F.avg("ic").over(w.rowsBetween(-23, -6)).alias("before"), F.datediff("t", fitted).alias("days"))
     d = d.where("before IS NOT NULL").select("t", quantised("recent").alias("recent"), quantised("before").alias("before"), "days")
     return d.select("t", "recent", "days", F.coalesce(finance.retrain_due(F.col("recent"), F.col("before"), F.col("days")), F.lit("no")).alias("due"))
 
@@ -51,7 +53,7 @@ ORACLE_SQL = {
     + q({"value": "CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) * (quantile_cont(m, 0.5) FILTER (m BETWEEN 1 AND 30)) * 0.75::DOUBLE * 1.1::DOUBLE"})
     + " FROM p GROUP BY p_brand",
     "retrain_triggers": _IC
-    + """, i AS (SELECT t, floor(ic * 1e4 + 0.5) / 1e4 AS ic FROM ic), d AS (SELECT t, avg(ic) OVER (ORDER BY t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS recent, avg(ic) OVER (ORDER BY t ROWS BETWEEN 23 PRECEDING AND 6 PRECEDING) AS before, row_number() OVER (ORDER BY t) % 8 * 15 AS days FROM i
+    + """, i AS (SELECT t, floor(ic * 1e4 + 0.5) / 1e4 AS ic FROM ic), d AS (SELECT t, avg(ic) OVER (ORDER BY t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS recent, avg(ic) OVER (ORDER BY t ROWS BETWEEN 23 PRECEDING AND 6 PRECEDING) AS before, date_diff('day', max(CASE WHEN month(t) IN (1, 7) THEN t END) OVER (ORDER BY t), t) AS days FROM i
     ), e AS (SELECT t, days, """
     + q({"recent": "recent", "before": "before"})
     + " FROM d WHERE before IS NOT NULL) SELECT t, recent, days, CASE WHEN recent < 0 THEN 'sign' WHEN recent < 0.5::DOUBLE * before THEN 'decay' WHEN days > 90 THEN 'age' ELSE 'no' END AS due FROM e",
