@@ -277,11 +277,11 @@ def pool_greedy(wide: DataFrame, forward: DataFrame, names: tuple[str, ...], k:
     """(name, IC of the pool with it, gain) of at most ``k`` candidates: each step adds the one whose rank, summed with those of the pool, has the largest mean
     rank-IC, ties to the name, while the gain exceeds ``least_gain`` (the first one is always taken).
 
-    One job a step for all candidates left; rows need all scores and a return, dates ``least`` such rows."""
+    One job a step for all candidates left, over ranks that are written once; rows need all scores and a return, dates ``least`` such rows."""
     ok = F.col("fwd").isNotNull()
     for c in names:
         ok = ok & F.col(c).isNotNull()
-    ranked = wide.join(forward, ["asset", "t"]).where(ok).select("t", *[stats.average_rank(c).alias(c) for c in names], stats.average_rank("fwd").alias("y"))
+    ranked = scratch.written(wide.join(forward, ["asset", "t"]).where(ok).select("t", *[stats.average_rank(c).alias(c) for c in names], stats.average_rank("fwd").alias("y")), "ranked")
     by = Window.partitionBy("name", "t")
     tied = F.rank().over(by.orderBy("s")) + (F.count(F.lit(1)).over(Window.partitionBy("name", "t", "s")) - 1) / 2
     chosen: list[tuple[str, float, float]] = []
