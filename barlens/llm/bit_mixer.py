@@ -1,6 +1,6 @@
 """Logistic mixing of hashed-context bit predictors over the bytes of words, in numpy.
 
-A word is read bit by bit, with a space after it. Each predictor hashes a context (the last 1, 2, 3 or 5 bytes of the word so far, or all of
+A word is read bit by bit, with a space after it. Each predictor hashes a context (the last 2, 3 or 5 bytes of the word so far, or all of
 them) together with the bits of the byte so far to a cell of a table; the cell knows how often the next bit was 0 and 1. The cells'
 log-odds are mixed with weights chosen by two gates, each by how sure two of the longer contexts are. A last
 table corrects the mixed chance by how often such chances came true. Every bit's two chances add up to 1, so the words' do as well.
@@ -14,9 +14,9 @@ from dataclasses import dataclass, field
 import numpy as np
 
 #: Bytes of context; 0: all of the word so far.
-ORDERS = (1, 2, 3, 5, 0)
-#: Cells of each predictor's table, as a power of two: 10.6 million cells of 2 bytes whatever the size of the corpus.
-BITS = (16, 20, 20, 22, 22)
+ORDERS = (2, 3, 5, 0)
+#: Cells of each predictor's table, as a power of two: 10.5 million cells of 2 bytes whatever the size of the corpus.
+BITS = (20, 20, 22, 22)
 GATES_A, GATES_B = 64, 64
 #: Cells of the correction: nodes of a byte, times steps of the log-odds.
 STEPS = 33

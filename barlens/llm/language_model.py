@@ -11,7 +11,7 @@
 4. The most frequent words, 2^17 at most, are broadcast; rows of (document, word) are joined for the others alone, none of which has more
    than a 2^17th of all occurrences, so that none is hot.
 
-The word list and the joins grow with the corpus; the tables have 10.6 million cells (21 MB) at any size, the number of classes is at
+The word list and the joins grow with the corpus; the tables have 10.5 million cells (21 MB) at any size, the number of classes is at
 most ``MAX_CLASSES`` (the documents of all rarer values form one class together).
 
 Defined cases: a null text is empty and has the end alone; a null id counts as the empty text in the choice of the fold and stays null; repeated rows
@@ -26,6 +26,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -261,17 +262,18 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
             rest: list[bytes] = []
             times: list[int] = []
             for key, text in zip(numbers, batch.column("text"), strict=True):
-                own = Counter((END,))
+                own, letters = Counter((END,)), 0
                 for found in words_in(text.as_py(), WORDS):
                     own.update(found)
-                at = np.fromiter((places.get(w, -1) for w in own), np.int64, len(own))
+                    letters += sum(map(len, found))
+                at = np.fromiter(map(places.get, own, repeat(-1)), np.int64, len(own))
                 n = np.fromiter(own.values(), np.int64, len(own))
                 tokens.append(int(n.sum()))
-                sizes.append(sum((len(w) + 1) * k for w, k in own.items()) - 1)
+                sizes.append(letters + tokens[-1])  # a space or the end after each
                 parts.append(n[at >= 0] @ values[at[at >= 0]])
-                others = [w for w, a in zip(own, at.tolist(), strict=True) if a < 0]
-                keys += [key] * len(others)
-                rest += others
+                before = len(rest)
+                rest.extend(compress(own, at < 0))
+                keys += [key] * (len(rest) - before)
                 times += n[at < 0].tolist()
             summed = np.array(parts).reshape(len(numbers), len(sums))
             about = [batch.column("id"), pa.array([f == HELD for f in batch.column("fold").to_pylist()], pa.bool_()), pa.array(tokens, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, summed.T.copy())]
