@@ -32,7 +32,6 @@ other columns as they are.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -52,8 +51,8 @@ THRESHOLD = 0.8
 #: Words of the runs that part a large band, and bits of the bitmap of bands.
 RUN = 3
 BITMAP_BITS = 24
-#: Rows of a group of buckets on average, and those from which a bucket is dealt out in tiles: of whole texts' shingles, and of words.
-GROUP_ROWS, BUCKET_ROWS, BAND_ROWS = 1024, 128, 20_000
+#: Rows of a group of bands on average, and those from which a band is parted.
+GROUP_ROWS, BAND_ROWS = 1024, 20_000
 #: Characters of the texts that a task cuts together.
 BLOCK_CHARS = 1_000_000
 
@@ -300,59 +299,6 @@ def edit_links(found: DataFrame, threshold: float = THRESHOLD, width: int = WIDT
     return dealt.groupBy("g").applyInPandas(verify, "u long, v long")
 
 
-def verified_forest(ids: np.ndarray, sets: list[frozenset[int]], bucket: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest over all pairs within a bucket with at least that Jaccard similarity."""
-    labels = np.arange(len(ids))
-    size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-    order = np.lexsort((size, bucket))
-    ends = np.searchsorted(bucket[order], bucket[order], side="right")
-    for x, i in enumerate(order.tolist()):
-        rest = order[x + 1 : ends[x]]
-        rest = rest[(labels[rest] != labels[i]) & (size[rest] * threshold <= size[i])]
-        for j in rest.tolist():
-            if labels[j] != labels[i]:
-                common = len(sets[i] & sets[j])
-                if common >= threshold * (len(sets[i]) + len(sets[j]) - common):
-                    labels[labels == max(labels[i], labels[j])] = min(labels[i], labels[j])
-    moved = labels != np.arange(len(ids))
-    return ids[moved], ids[labels[moved]]
-
-
-def near_links(found: DataFrame, threshold: float = THRESHOLD, shingle_bytes: int = 4, sizes_differ: bool = False, group_rows: int = GROUP_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(u, v) ids: a forest with the components of all verified links between the distinct sets of ``found`` (id long, bands, shingles).
-
-    shingle_bytes: of each shingle in ``shingles``; sizes_differ: whether large buckets are parted by size of the set, too."""
-    keys = found.select("id", F.explode("bands").alias("bucket"))
-    own = F.hash("id")
-    shared = materialize(keys.groupBy("bucket").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").select("bucket"), "shared-buckets")
-    colliding = materialize(keys.join(shared, "bucket").distinct(), "colliding")
-    n = colliding.count()
-    # Written first, so that the joins with them are planned by their true sizes.
-    hot = materialize(colliding.groupBy("bucket").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > bucket_rows), "hot-buckets")
-    wanted = materialize(colliding.select("id").distinct(), "colliding-ids")
-    sets = materialize(found.select("id", "shingles").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
-    # Classes of size: sets that reach the threshold are at most one class apart.
-    kind = F.floor(F.log(F.length("shingles") / shingle_bytes) / math.log(1 / threshold)).cast("int") if sizes_differ else F.lit(1)
-    kinds = F.array(kind - 1, kind, kind + 1) if sizes_differ else F.array(kind)
-    parts = F.ceil(F.col("count") / bucket_rows).cast("int")
-    part = F.pmod(F.xxhash64("id"), parts).cast("int")
-    tile = lambda c, p: c * F.lit(1 << 20) + p
-    mine = tile(kind, part)
-    others = F.flatten(F.transform(kinds, lambda c: F.transform(F.sequence(F.lit(0), parts - 1), lambda p: tile(c, p))))
-    pairs = F.transform(others, lambda o: F.concat_ws("-", F.least(o, mine), F.greatest(o, mine)))
-    groups = max(1, -(-n // group_rows))
-    together = F.array(F.pmod(F.xxhash64("bucket"), F.lit(groups)).cast("string"))
-    spread = F.transform(pairs, lambda p: F.concat_ws("/", "bucket", p))
-    dealt = colliding.join(hot, "bucket", "left").join(sets, "id").select("id", "shingles", "bucket", F.explode(F.when(F.col("count").isNull(), together).otherwise(spread)).alias("g"))
-
-    def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = [frozenset(np.frombuffer(s, dtype=f"<u{shingle_bytes}").tolist()) for s in rows["shingles"]]
-        u, v = verified_forest(rows["id"].to_numpy(), sets, rows["bucket"].to_numpy(), threshold)
-        return pd.DataFrame({"u": u, "v": v})
-
-    return dealt.groupBy("g").applyInPandas(verify, "u long, v long")
-
-
 def repeated(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, window: int = WINDOW) -> DataFrame:
     """The paragraphs of ``docs`` (rid, doc_id, text) that have a copy or near copy in another row: (rid, doc_id, number, start, end,
     component_id, copies, removed). number: place among the text's paragraphs; start, end: code points; component_id: doc_id of the

@@ -28,10 +28,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import paragraphs
 from ._common import bounded_batches, materialize, read_table
 from ._shingles import band_keys, kept_shingles, shingles_of, words_of
 from .components import connected_components
+from .jaccard import THRESHOLD
+from .jaccard import near_links as jaccard_links
 
 SHINGLE = 3
 SEED = 42
@@ -224,7 +225,7 @@ def _whole_shingles(texts: pd.Series) -> pd.Series:
     return pd.Series([kept_shingles(shingles_of(_words(t))) for t in texts], dtype="object")
 
 
-def drop_near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each component of texts with that Jaccard similarity of five-word shingles, the one with the least doc_id; columns unchanged."""
     bounded_batches(docs.sparkSession)
     row = F.struct(*docs.columns).alias("row")
@@ -232,7 +233,7 @@ def drop_near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     # Shingles are not stored: only those of colliding texts are made, after the semi-join.
     own = F.xxhash64("digest")
     found = rows.select(own.alias("id"), "bands", _whole_shingles("row.text").alias("shingles"))
-    linked = connected_components(paragraphs.near_links(found, threshold, shingle_bytes=4, sizes_differ=True, bucket_rows=paragraphs.GROUP_ROWS)).withColumnRenamed("node", "id")
+    linked = connected_components(jaccard_links(found, threshold)).withColumnRenamed("node", "id")
     best = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), F.col("rid").alias("rid"))
     least = rows.groupBy("digest").agg(F.min(best).alias("best")).withColumn("id", own).join(linked, "id", "left")
     kept = least.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))
