@@ -185,10 +185,15 @@ def windows_report(returns: DataFrame, windows: list[tuple[str, str, str]]) -> D
 
 
 def synthetic_bars(spark: SparkSession, n_assets: int, n_days: int, seed: int = 1) -> DataFrame:
-    """Bars of a random walk from hashes of (asset, day), the same on every run and cluster."""
+    """Bars of random walks on numbered assets and days."""
+    days = spark.range(n_assets).select(F.col("id").alias("asset")).withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(n_days - 1))))
+    return synthetic_walks(days.withColumn("t", F.date_add(F.lit("2020-01-01").cast("date"), F.col("day"))), seed)
+
+
+def synthetic_walks(days: DataFrame, seed: int = 1) -> DataFrame:
+    """Bars of a random walk from hashes of (asset, day) of ``days`` (asset, day, t), the same on every run and cluster."""
     u = lambda k: (F.pmod(F.xxhash64("asset", "day", F.lit(seed), F.lit(k)), F.lit(1_000_003)) + 1) / 1_000_005.0
     z = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * np.pi * u(2))
-    days = spark.range(n_assets).select(F.col("id").alias("asset")).withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(n_days - 1))))
-    d = days.select("asset", F.date_add(F.lit("2020-01-01").cast("date"), F.col("day")).alias("t"), (0.0004 + 0.02 * z).alias("r"), u(3).alias("v"))
+    d = days.select("asset", "t", (0.0004 + 0.02 * z).alias("r"), u(3).alias("v"))
     walk = d.withColumn("close", 10 * F.exp(F.sum("r").over(Window.partitionBy("asset").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))))
     return walk.select("asset", "t", (F.col("close") / (1 + F.col("r") / 2)).alias("open"), (F.col("close") * 1.01).alias("high"), (F.col("close") * 0.99).alias("low"), "close", (1e6 * F.col("v")).alias("volume"), F.col("close").alias("vwap"), (F.col("close") * 1e6 * F.col("v")).alias("amount"))

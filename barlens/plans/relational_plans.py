@@ -125,7 +125,11 @@ def incremental(spark, sf_dir):
 
 def grid(spark, sf_dir):
     g = relational.parameter_grid(spark, {"n_hold": [5.0, 10.0, 20.0], "cost_bps": [10.0, 17.0], "method": ["equal", "score"]})
-    return g.withColumn("key", F.concat_ws("|", F.col("n_hold").cast("int"), F.col("cost_bps").cast("int"), "method"))
+    g = g.withColumn("key", F.concat_ws("|", F.col("n_hold").cast("int"), F.col("cost_bps").cast("int"), "method"))
+    # Every supplier's balance under each of the twelve settings.
+    s = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asset"), "s_acctbal")
+    each = F.col("s_acctbal") / F.when(F.col("method") == "equal", F.col("n_hold")).otherwise(F.col("n_hold") / 2)
+    return s.crossJoin(F.broadcast(g)).select("asset", "n_hold", "cost_bps", "method", "key", quantised(each * (1 - F.col("cost_bps") / 1e4)).alias("position"))
 
 
 def transitions(spark, sf_dir):
@@ -336,7 +340,7 @@ ORACLE_SQL = {
     "industry_lookup": _BARS + ", " + views.SQL["industry"] + " SELECT coalesce(industry, 'Unknown') AS industry, count(DISTINCT asset) AS assets, count(*) AS bars, " + q({"close": "avg(close)"}) + " FROM bars LEFT JOIN industry USING (asset) GROUP BY 1",
     "dedupe_first": "SELECT user_id, event_type, CAST(ts AS DATE) AS day, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts, event_id) = 1",
     "incremental_sync": "WITH c AS (SELECT quantile_cont(event_id, 0.5) AS c FROM events), e AS (SELECT event_id, user_id, CAST(floor(value / 5) AS BIGINT) AS band FROM events) SELECT DISTINCT user_id, band FROM e, c WHERE event_id > c AND (user_id, band) NOT IN (SELECT (user_id, band) FROM e, c WHERE event_id <= c)",
-    "parameter_grid": "SELECT n_hold, cost_bps, method, n_hold::INT || '|' || cost_bps::INT || '|' || method AS key FROM (SELECT unnest([5.0, 10.0, 20.0])::DOUBLE AS n_hold), (SELECT unnest([10.0, 17.0])::DOUBLE AS cost_bps), (SELECT unnest(['equal', 'score']) AS method)",
+    "parameter_grid": "SELECT s_suppkey AS asset, n_hold, cost_bps, method, n_hold::INT || '|' || cost_bps::INT || '|' || method AS key, floor(s_acctbal / CASE method WHEN 'equal' THEN n_hold ELSE n_hold / 2 END * (1 - cost_bps / 1e4) * 1e4 + 0.5) / 1e4 AS position FROM supplier, (SELECT unnest([5.0, 10.0, 20.0])::DOUBLE AS n_hold), (SELECT unnest([10.0, 17.0])::DOUBLE AS cost_bps), (SELECT unnest(['equal', 'score']) AS method)",
     "state_transitions": "WITH s AS (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state, event_type AS to_state FROM events) SELECT from_state, to_state, count(*) AS n FROM s WHERE from_state < to_state GROUP BY ALL",
     "top_weights": _PAIRS
     + ", k AS (SELECT t, asset FROM s WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY t ORDER BY score DESC, asset) <= 15), w AS (SELECT t, asset, least(1.0::DOUBLE / count(*) OVER (PARTITION BY t), 0.05::DOUBLE) AS raw FROM k) SELECT t, asset, "
