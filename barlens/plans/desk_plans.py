@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlens.functions.columns import quantised_sql
+from barlens.functions import gates
+from barlens.functions.columns import quantised, quantised_sql
 from barlens.operators import desk
-from barlens.plans.stat_plans import q, quantise
+from barlens.plans import risk_plans
+from barlens.plans.stat_plans import _BARS, q, quantise
 from barlens.sources import views
 
 URGENCY = {"1-URGENT": "high", "2-HIGH": "high", "5-LOW": "low"}
@@ -113,6 +115,30 @@ def valuation_inputs(spark, sf_dir):
     return quantise(desk.valuation_inputs(latest, prices, {"shares": 0.001}), "asset", "n")
 
 
+CAP, FRESH_DAYS = 0.2, 45
+REGIMES = ("bull", "bear", "range", "stress")
+
+
+def output_gates(spark, sf_dir):
+    """One gate a row: the cost of every plan, every customer's weights, every supplier's last bar, and the regime of every date."""
+    cost = plan_costs(spark, sf_dir)
+    impact = F.col("cost_bps") - desk.by_urgency(F.col("urgency"), "penalty") - desk.BASE_BPS
+    weights = _held(spark, sf_dir).groupBy("account").agg(F.max("weight").alias("most"), F.min("weight").alias("least"), F.sum("weight").alias("total"))
+    bars = views.supplier_bars(spark, sf_dir)
+    age = bars.groupBy("asset").agg(F.max("t").alias("last")).crossJoin(F.broadcast(bars.agg(F.max("t").alias("now"))))
+    parts = {
+        "cost": cost.select(F.col("plan").cast("string").alias("subject"), gates.reasonable_cost(F.col("cost_bps"), impact).alias("g")),
+        "constraints": weights.select(F.col("account").cast("string").alias("subject"), gates.constraints(F.col("most"), F.col("least"), F.col("total"), CAP).alias("g")),
+        "freshness": age.select(F.col("asset").cast("string").alias("subject"), gates.fresh(F.datediff("now", "last"), FRESH_DAYS).alias("g")),
+        "regime": risk_plans.regimes(spark, sf_dir).select(F.col("t").cast("string").alias("subject"), gates.confident([F.col(c) for c in REGIMES]).alias("g")),
+    }
+    out = None
+    for name, part in parts.items():
+        one = part.select(F.lit(name).alias("gate"), "subject", "g.passed", quantised("g.score").alias("score"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _case(c: str, what: str) -> str:
     text = lambda v: f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE"
     return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {text(v[what])}" for k, v in desk.URGENCIES.items()) + " END"
@@ -132,6 +158,7 @@ QUERIES = {
     "recent_events": recent_events,
     "todays_events": todays_events,
     "valuation_inputs": valuation_inputs,
+    "output_gates": output_gates,
 }
 ORACLE_SQL = {
     "plan_costs": f"""WITH d AS (SELECT l_partkey, CAST(sum(CAST(v AS DECIMAL(20,2))) AS DOUBLE) / count(*) AS daily FROM (SELECT l_partkey, l_shipdate, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS v FROM lineitem GROUP BY ALL) GROUP BY l_partkey
@@ -185,3 +212,27 @@ ORACLE_SQL = {
     + q({c: f"p.{c}" for c in ("price", "eps", "roe", "bvps", "revenue_per_share", "debt_to_equity", "cash_ratio", "pe", "pb")})
     + " FROM p",
 }
+_ENTROPY = " + ".join(f'CASE WHEN "{c}" > 0 THEN -"{c}" * ln("{c}") ELSE 0 END' for c in REGIMES)
+_MOST = "greatest(" + ", ".join(f'"{c}"' for c in REGIMES) + ")"
+_SCORED = "SELECT '{gate}' AS gate, subject, passed, {score} AS score FROM (SELECT {subject}::VARCHAR AS subject, {passed} AS passed, {value} AS v FROM {source})"
+
+
+def _gate_sql(gate: str, subject: str, passed: str, value: str, source: str) -> str:
+    return _SCORED.format(gate=gate, subject=subject, passed=passed, value=f"least(greatest({value}, 0), 1)", source=source, score=quantised_sql("v"))
+
+
+ORACLE_SQL["output_gates"] = " UNION ALL ".join(
+    [
+        _gate_sql(
+            "cost", "plan", f"cost_bps < {gates.COST_BPS} AND impact < {gates.IMPACT_BPS} AND CASE WHEN cost_bps > 1e-9 THEN impact / cost_bps ELSE 0 END < {gates.IMPACT_SHARE}::DOUBLE", f"({gates.COST_BPS}::DOUBLE - cost_bps) / {gates.COST_BPS}::DOUBLE",
+            f"(SELECT *, cost_bps - {_case('urgency', 'penalty')} - {desk.BASE_BPS}::DOUBLE AS impact FROM ({ORACLE_SQL['plan_costs']}))",
+        ),
+        _gate_sql(
+            "constraints", "account", f"most <= {CAP}::DOUBLE + 1e-6 AND least >= -1e-9 AND abs(total - 1) <= 1e-6", f"CASE WHEN most <= {CAP}::DOUBLE + 1e-6 AND least >= -1e-9 AND abs(total - 1) <= 1e-6 THEN 1.0::DOUBLE ELSE 0 END",
+            """(SELECT account, max(weight) AS most, min(weight) AS least, sum(weight) AS total FROM (SELECT account, v / CAST(sum(CAST(v AS DECIMAL(18,2))) OVER (PARTITION BY account) AS DOUBLE) AS weight FROM (
+              SELECT o_custkey AS account, l_partkey AS asset, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) SEMI JOIN part ON asset = p_partkey) GROUP BY account)""",
+        ),
+        _gate_sql("freshness", "asset", f"age BETWEEN 0 AND {FRESH_DAYS}", f"1 - age / {2.0 * FRESH_DAYS}::DOUBLE", f"({_BARS} SELECT asset, date_diff('day', max(t), (SELECT max(t) FROM bars)) AS age FROM bars GROUP BY asset)"),
+        _gate_sql("regime", "t", f"{_MOST} > {gates.CHANCE} AND {_ENTROPY} < {gates.ENTROPY}", _MOST, f"({risk_plans.ORACLE_SQL['rule_regimes']})"),
+    ]
+)
