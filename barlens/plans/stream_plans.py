@@ -52,7 +52,7 @@ def ratio_stream(spark, sf_dir):
     folder, name = posixpath.split(path)
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
     orders = stream.select("user_id", "event_id", (F.col("event_type") == "purchase").alias("filled"))
-    out = runtime.run_once(runtime.ratio_guard(orders, "user_id", 20, 0.9), "append", "ratio", runtime.checkpoint_root(spark))
+    out = runtime.drained(runtime.ratio_guard(orders, "user_id", 20, 0.9), "ratio")
     return out.select("user_id", "event_id", quantised("share").alias("share"), "tripped")
 
 

@@ -113,6 +113,13 @@ def run_once(stream: DataFrame, mode: str, name: str, checkpoint: str) -> DataFr
     return stream.sparkSession.table(table)
 
 
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """The rows of a stream in append mode, drained into shared storage and read from there; no row passes the driver."""
+    path = f"{checkpoint_root(stream.sparkSession)}/barlens-{name}-{uuid.uuid4().hex}"
+    run_to_parquet(stream, f"{path}/rows", f"{path}/state")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Append a stream's rows to a Parquet table until the source is drained."""
     stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
