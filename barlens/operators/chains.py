@@ -2,18 +2,24 @@
 
 Each round, tasks run the forward-backward pass over their series and return its sufficient statistics, Spark adds them up, and the driver
 turns the sums, whose number depends on states and features alone, into the next parameters. A series is as long as there are dates.
+Series are packed into one row each, written once for all rounds, and a task takes a block of them through each step together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlens.sources import scratch
+
+#: Steps of the series that are taken together.
+BLOCK_STEPS = 200_000
+
 
 @dataclass
 class Chain:
@@ -50,10 +56,31 @@ class Chain:
         pairs = self.move * (alpha[:-1].T @ (like[1:] * beta[1:] / scale[1:, None]))
         return alpha * beta, pairs, float(np.log(scale).sum() + top.sum())
 
-    def statistics(self, x: np.ndarray) -> np.ndarray:
-        g, pairs, log = self.passes(x)
-        outer = np.einsum("tk,ti,tj->kij", g, x, x)
-        return np.concatenate([[log], g[0], pairs.ravel(), g.sum(axis=0), (g.T @ x).ravel(), outer.ravel()])
+    def passes_together(self, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """:meth:`passes` over series that follow one another in ``x``, the longest first: all of them at one step after another. The transitions and likelihoods are summed."""
+        k = len(self.start)
+        log = self.log_density(x)
+        top = log.max(axis=1)
+        like = np.exp(log - top[:, None])
+        first = np.cumsum(lengths) - lengths
+        # Series that have a step t are a prefix, as the longest come first.
+        alive = [first[: np.searchsorted(-lengths, -t, side="left")] + t for t in range(int(lengths[0]))]
+        alpha, beta, scale = np.empty((len(x), k)), np.ones((len(x), k)), np.empty(len(x))
+        for t, at in enumerate(alive):
+            a = (self.start if t == 0 else alpha[at - 1] @ self.move) * like[at]
+            scale[at] = a.sum(axis=1)
+            alpha[at] = a / scale[at, None]
+        pairs = np.zeros((k, k))
+        for at in alive[:0:-1]:
+            ahead = like[at] * beta[at] / scale[at, None]
+            beta[at - 1] = ahead @ self.move.T
+            pairs += alpha[at - 1].T @ ahead
+        return alpha * beta, self.move * pairs, float(np.log(scale).sum() + top.sum())
+
+    def statistics(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        g, pairs, log = self.passes_together(x, lengths)
+        outer = np.stack([(x * g[:, k, None]).T @ x for k in range(g.shape[1])])
+        return np.concatenate([[log], g[np.cumsum(lengths) - lengths].sum(axis=0), pairs.ravel(), g.sum(axis=0), (g.T @ x).ravel(), outer.ravel()])
 
     def penalty(self) -> float:
         """What the ridge takes off: it keeps a state from closing in on a few points, and a round never lowers the likelihood less this."""
@@ -86,10 +113,28 @@ def first_guess(rows: DataFrame, names: tuple[str, ...], states: int, ridge: flo
     return Chain(np.full(states, 1 / states), stay, means, np.repeat(full[None], states, axis=0), ridge)
 
 
-def _sums(chain: Chain, names: tuple[str, ...]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(one: pd.DataFrame) -> pd.DataFrame:
-        found = chain.statistics(one.sort_values("t")[list(names)].to_numpy(float))
-        return pd.DataFrame({"i": np.arange(len(found)), "v": found})
+def packed(rows: DataFrame, key: str, names: tuple[str, ...]) -> DataFrame:
+    """(key, t, features): one row for each series, its steps as arrays in the order of t."""
+    steps = F.sort_array(F.collect_list(F.struct("t", *names)))
+    return rows.groupBy(key).agg(steps.alias("s")).select(key, *[F.col(f"s.{c}").alias(c) for c in ("t", *names)])
+
+
+def _blocks(batch: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of a batch of packed series, the longest first, of about ``BLOCK_STEPS`` steps, with their lengths and all their steps' features."""
+    lengths = np.diff(batch.column("t").offsets.to_numpy())
+    order = np.argsort(-lengths, kind="stable")
+    cuts = np.cumsum(lengths[order]) // BLOCK_STEPS
+    for own in np.split(order, np.flatnonzero(np.diff(cuts)) + 1):
+        if len(own):
+            part = batch.take(pa.array(own))
+            yield part, lengths[own], np.stack([part.column(c).flatten().to_numpy(zero_copy_only=False) for c in names], axis=1)
+
+
+def _sums(chain: Chain, names: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sum(chain.statistics(x, lengths) for batch in batches for _, lengths, x in _blocks(batch, names))
+        if isinstance(found, np.ndarray):
+            yield pa.RecordBatch.from_pydict({"i": np.arange(len(found), dtype=np.int32), "v": found})
 
     return run
 
@@ -97,10 +142,11 @@ def _sums(chain: Chain, names: tuple[str, ...]) -> Callable[[pd.DataFrame], pd.D
 def fit_chain(rows: DataFrame, key: str, names: tuple[str, ...], states: int = 3, rounds: int = 20, tolerance: float = 1e-6, ridge: float = 1e-3) -> Chain:
     """Baum-Welch over the series (key, t, features) without nulls; states are numbered by the rising mean of the first feature.
 
-    Stops where a round gains less than ``tolerance`` of the likelihood's size. ``rows`` are read once a round: pass a written table."""
+    Stops where a round gains less than ``tolerance`` of the likelihood's size. ``rows`` are read for the first guess and packed once: pass a written table."""
     chain = first_guess(rows, names, states, ridge)
+    series = scratch.written(packed(rows, key, names), "series")
     for _ in range(rounds):
-        total = rows.select(key, "t", *names).groupBy(key).applyInPandas(_sums(chain, names), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        total = series.mapInArrow(_sums(chain, names), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
         if not total:
             break
         chain = chain.after(np.array([r["v"] for r in sorted(total, key=lambda r: r["i"])]))
@@ -113,13 +159,15 @@ def fit_chain(rows: DataFrame, key: str, names: tuple[str, ...], states: int = 3
 def decoded(rows: DataFrame, key: str, names: tuple[str, ...], chain: Chain) -> DataFrame:
     """(key, t, state, p): the likeliest state at each step, and its chance."""
 
-    def run(one: pd.DataFrame) -> pd.DataFrame:
-        one = one.sort_values("t")
-        g = chain.passes(one[list(names)].to_numpy(float))[0]
-        return pd.DataFrame({key: one[key].to_numpy(), "t": one["t"].to_numpy(), "state": g.argmax(axis=1), "p": g.max(axis=1)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, lengths, x in _blocks(batch, names):
+                g = chain.passes_together(x, lengths)[0]
+                keys = part.column(key).take(pa.array(np.repeat(np.arange(len(lengths)), lengths)))
+                yield pa.RecordBatch.from_pydict({key: keys, "t": part.column("t").flatten(), "state": g.argmax(axis=1), "p": g.max(axis=1)})
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select(key, "t", *names).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, t {kinds['t']}, state long, p double")
+    return packed(rows, key, names).mapInArrow(run, f"{key} {kinds[key]}, t {kinds['t']}, state long, p double")
 
 
 def current_regimes(states: DataFrame, key: str, last: int = 5) -> DataFrame:
