@@ -151,6 +151,12 @@ def cross() -> WindowSpec:
     return Window.partitionBy("t")
 
 
+def tied_rank(within: WindowSpec, *order: Column | str) -> Column:
+    """Rank from 1, ties by average. Peers are counted in the same window, so that they need no shuffle of their own."""
+    w = within.orderBy(*order)
+    return F.rank().over(w) + (F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
+
+
 def cross_rank(a: Column) -> Column:
     """Ordinal rank of what is not null, from 0 to 1, ties by asset; null where the cross-section has one value."""
     n = F.count(a).over(cross())

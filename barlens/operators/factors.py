@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.functions.columns import guarded_corr, quantised
-from barlens.operators.expression import cross, cross_zscore, series, trailing, when_full
+from barlens.operators.expression import cross, cross_zscore, series, tied_rank, trailing, when_full
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -34,8 +34,7 @@ def total(c: Column, w: int) -> Column:
 
 def percent_rank(c: Column) -> Column:
     """Cross-sectional rank over count, ties by average; null stays null."""
-    tied = F.count(c).over(Window.partitionBy("t", c))
-    return F.when(c.isNotNull(), (F.rank().over(cross().orderBy(c.asc_nulls_last())) + (tied - 1) / 2) / F.count(c).over(cross()))
+    return F.when(c.isNotNull(), tied_rank(cross(), c.asc_nulls_last()) / F.count(c).over(cross()))
 
 
 def last_rank(c: Column, w: int) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barlens.functions.columns import guarded_corr
 from barlens.operators import factors, portfolio, risk, selection, stats, structured
-from barlens.operators.expression import cross, cross_zscore
+from barlens.operators.expression import cross, cross_zscore, tied_rank
 from barlens.sources import scratch
 
 # Expression templates and the lags that stand for {L}; an empty tuple for a template without one.
@@ -282,8 +282,7 @@ def pool_greedy(wide: DataFrame, forward: DataFrame, names: tuple[str, ...], k:
     for c in names:
         ok = ok & F.col(c).isNotNull()
     ranked = scratch.written(wide.join(forward, ["asset", "t"]).where(ok).select("t", *[stats.average_rank(c).alias(c) for c in names], stats.average_rank("fwd").alias("y")), "ranked")
-    by = Window.partitionBy("name", "t")
-    tied = F.rank().over(by.orderBy("s")) + (F.count(F.lit(1)).over(Window.partitionBy("name", "t", "s")) - 1) / 2
+    tied = tied_rank(selection.scored(), "s")
     chosen: list[tuple[str, float, float]] = []
     before = 0.0
     while len(chosen) < min(k, len(names)):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from barlens.functions.columns import guarded_corr, normal_cdf
 from barlens.operators import selection
-from barlens.operators.expression import token_similarity
+from barlens.operators.expression import tied_rank, token_similarity
 from barlens.operators.selection import scored
 
 #: Assets of a date that one task multiplies at most, on average.
@@ -26,7 +26,7 @@ SEPARATOR = "\t"
 
 def average_rank(c: str) -> Column:
     """Rank from 1 within a candidate and date, ties by average."""
-    return F.rank().over(scored().orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("name", "t", c)) - 1) / 2
+    return tied_rank(scored(), c)
 
 
 def ic_by_date(rows: DataFrame, least: int = 10) -> DataFrame:

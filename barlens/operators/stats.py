@@ -13,17 +13,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.functions.columns import TINY, guarded_corr
-from barlens.operators.expression import cross, series
+from barlens.operators.expression import cross, series, tied_rank
 
 YEAR = 252
 
 
+def forward_return(horizon: int = 1) -> Column:
+    """Return to the bar ``horizon`` later."""
+    return F.try_divide(F.lead("close", horizon).over(series()), F.when(F.col("close") > 0, F.col("close"))) - 1
+
+
 def forward_returns(bars: DataFrame, horizon: int = 1, max_gap_days: int | None = None) -> DataFrame:
     """(asset, t, fwd): return to the bar ``horizon`` later; null across a gap of more than ``max_gap_days`` days."""
-    later, when = F.lead("close", horizon).over(series()), F.lead("t", horizon).over(series())
-    fwd = F.try_divide(later, F.when(F.col("close") > 0, F.col("close"))) - 1
+    fwd = forward_return(horizon)
     if max_gap_days is not None:
-        fwd = F.when(F.datediff(when, F.col("t")) <= max_gap_days, fwd)
+        fwd = F.when(F.datediff(F.lead("t", horizon).over(series()), F.col("t")) <= max_gap_days, fwd)
     return bars.select("asset", "t", fwd.alias("fwd"))
 
 
@@ -33,7 +37,7 @@ def paired(signal: DataFrame, forward: DataFrame) -> DataFrame:
 
 
 def average_rank(c: str) -> Column:
-    return F.rank().over(cross().orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("t", c)) - 1) / 2
+    return tied_rank(cross(), c)
 
 
 def rank_ic(pairs: DataFrame, ties: str = "average", least: int = 10) -> DataFrame:

@@ -24,8 +24,10 @@ def single_factor(spark, sf_dir):
 
 
 def factor_covariance(spark, sf_dir):
-    f = risk.factor_returns(returns(spark, sf_dir), risk.style_exposures(views.supplier_bars(spark, sf_dir)), risk.STYLES)
-    return risk.newey_west(f)
+    bars = scratch.written(views.supplier_bars(spark, sf_dir), "bars")
+    r = bars.select("asset", "t", factors.change(F.col("close")).alias("r"))
+    # A few numbers a date, which are read several times.
+    return risk.newey_west(scratch.written(risk.factor_returns(r, risk.style_exposures(bars), risk.STYLES), "factor-returns"))
 
 
 def market_panel(spark, sf_dir) -> DataFrame:
@@ -90,18 +92,23 @@ def _rows(spark, sf_dir) -> DataFrame:
     return risk.training_rows(factors.model_features(bars), stats.forward_returns(bars), NAMES, 2, 0.7)
 
 
+def _written_rows(spark, sf_dir) -> DataFrame:
+    """The same for models, which read them more than once."""
+    return scratch.written(_rows(spark, sf_dir), "training")
+
+
 def dataset(spark, sf_dir):
     return _rows(spark, sf_dir).groupBy("train", "test").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last"), quantised(F.avg("fwd")).alias("fwd"))
 
 
 def ridge_ic(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
+    rows = _written_rows(spark, sf_dir)
     scored = risk.linear_score(rows.where("test"), risk.ridge(rows.where("train"), NAMES))
     return stats.rank_ic(scored)
 
 
 def forest_ic(spark, sf_dir):
-    return stats.rank_ic(risk.tree_scores(_rows(spark, sf_dir), NAMES))
+    return stats.rank_ic(risk.tree_scores(_written_rows(spark, sf_dir), NAMES))
 
 
 def ics_of(spark, sf_dir) -> DataFrame:
@@ -128,7 +135,7 @@ def pool(spark, sf_dir):
     exprs = {"a": "sub(close, delay(close, 1))", "b": "sub(close, delay(close, 2))", "c": "sub(vwap, close)", "d": "volume", "e": "ts_std(close, 6)"}
     wide = expression.evaluate(bars, {k: f"rank({e})" for k, e in exprs.items()})
     stacked = wide.join(fwd, ["asset", "t"]).select("t", "fwd", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("score")) for k in exprs])).alias("x")).select("t", "fwd", "x.*")
-    of = lambda c: F.rank().over(Window.partitionBy("name", "t").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("name", "t", c)) - 1) / 2
+    of = lambda c: expression.tied_rank(Window.partitionBy("name", "t"), c)
     ranked = stacked.where("score is not null and fwd is not null").select("name", "t", of("score").alias("x"), of("fwd").alias("y"))
     ic = ranked.groupBy("name", "t").agg(F.coalesce(guarded_corr(F.col("x"), F.col("y")), F.lit(0.0)).alias("ic"), F.count(F.lit(1)).alias("n")).where("n >= 10")
     ics = dict(ic.groupBy("name").agg(F.avg("ic")).collect())

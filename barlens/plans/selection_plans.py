@@ -30,7 +30,7 @@ CAP, HORIZON, IMPACT = 0.2, 5, 0.3
 
 def _candidates(spark, sf_dir):
     bars = views.supplier_bars(spark, sf_dir)
-    return selection.stacked(expression.evaluate(bars, {k: e for k, (e, _) in CANDIDATES.items()}), stats.forward_returns(bars), CANDIDATES)
+    return selection.candidates(bars, {k: e for k, (e, _) in CANDIDATES.items()})
 
 
 def _gated(spark, sf_dir):
@@ -52,8 +52,8 @@ N_TRIALS, LEAST_DSR, LEAST_ORTHOGONAL = 40, 0.9, 0.02
 
 def factor_selection(spark, sf_dir):
     """The independent set of the candidates that pass all gates: deflated ICIR over forty trials and IC beyond momentum among them."""
-    bars = views.supplier_bars(spark, sf_dir)
-    rows = selection.stacked(expression.evaluate(bars, {k: e for k, (e, _) in POOL.items()}), stats.forward_returns(bars), POOL)
+    bars = scratch.written(views.supplier_bars(spark, sf_dir), "bars")
+    rows = selection.candidates(bars, {k: e for k, (e, _) in POOL.items()})
     rows = scratch.written(rows, "candidates")
     out = screening.select_factors(rows, {k: e for k, (e, _) in POOL.items()}, N_TRIALS, 3, exposures=risk.style_exposures(bars), styles=("momentum",), dsr=LEAST_DSR, orthogonal=LEAST_ORTHOGONAL)
     return quantise(out, "name", "expression", "nodes", "passed", "place", "blocked_by")
@@ -61,7 +61,7 @@ def factor_selection(spark, sf_dir):
 
 def value_correlations(spark, sf_dir):
     bars = views.supplier_bars(spark, sf_dir)
-    rows = selection.stacked(expression.evaluate(bars, {k: e for k, (e, _) in POOL.items()}), stats.forward_returns(bars), POOL)
+    rows = selection.candidates(bars, {k: e for k, (e, _) in POOL.items()})
     return quantise(screening.value_correlations(scratch.written(rows, "candidates")), "a", "b")
 
 
@@ -100,22 +100,22 @@ STEP_DATES, MARGIN = 10, 0.01
 
 def refined_candidates(spark, sf_dir):
     """Candidates judged against the accepted factor and one another, and the variants of those that fail, round by round."""
-    bars = views.supplier_bars(spark, sf_dir)
-    judged = refinery.refined(bars, stats.forward_returns(bars), SEEDS, ACCEPTED, generations=3)
+    bars = scratch.written(views.supplier_bars(spark, sf_dir), "bars")
+    judged = refinery.refined(bars, None, SEEDS, ACCEPTED, generations=3)
     return quantise(refinery.as_table(bars, judged), "expression", "generation", "n_dates", "alike", "passed", "reason")
 
 
 def orthogonal_factors(spark, sf_dir):
     """Factors chosen one a generation by the IC of what momentum and those chosen before leave of them."""
-    bars = views.supplier_bars(spark, sf_dir)
-    found = refinery.orthogonal_search(bars, stats.forward_returns(bars), risk.style_exposures(bars), ("momentum",), generations=2, size=8, seeds=("sub(vwap, close)", "sub(delay(close, 1), close)", "div(vwap, close)"))
+    bars = scratch.written(views.supplier_bars(spark, sf_dir), "bars")
+    found = refinery.orthogonal_search(bars, None, risk.style_exposures(bars), ("momentum",), generations=2, size=8, seeds=("sub(vwap, close)", "sub(delay(close, 1), close)", "div(vwap, close)"))
     return quantise(spark.createDataFrame(found, "generation int, expression string, ic double"), "generation", "expression")
 
 
 def promotion_gate(spark, sf_dir):
     """A registry of models: every ten dates the next candidate challenges what serves, on the same dates, and is promoted beyond a margin."""
-    bars = views.supplier_bars(spark, sf_dir)
-    rows = selection.stacked(expression.evaluate(bars, {k: e for k, (e, _) in POOL.items()}), stats.forward_returns(bars), POOL)
+    bars = scratch.written(views.supplier_bars(spark, sf_dir), "bars")
+    rows = selection.candidates(bars, {k: e for k, (e, _) in POOL.items()})
     ic = screening.ic_by_date(rows).withColumn("ic", quantised("ic", 1e8))
     dates = research.dated(bars.select("t").distinct()).withColumn("step", F.floor(F.col("i") / STEP_DATES))
     ic = scratch.written(ic.join(F.broadcast(dates), "t"), "ics")
@@ -131,7 +131,7 @@ FOLD_START, FOLD_EVERY, EDGE = 30, 15, 0.01
 
 def _ensemble(spark, sf_dir):
     bars = views.supplier_bars(spark, sf_dir)
-    rows = expression.evaluate(bars, LEARNED).join(stats.forward_returns(bars), ["asset", "t"])
+    rows = scratch.written(selection.with_forward(bars, LEARNED), "learned")
     return ensemble.ensemble(rows, tuple(LEARNED), FOLD_START, FOLD_EVERY, EDGE)
 
 
