@@ -78,9 +78,12 @@ def thinned(colliding: DataFrame, sets: DataFrame, threshold: float, large: int,
     return links, colliding
 
 
-def near_links(found: DataFrame, threshold: float = THRESHOLD, group_rows: int = GROUP_ROWS, bucket_rows: int = GROUP_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """(u, v) ids: links with the components of all pairs of the distinct sets of ``found`` (id long, bands, shingles of 4 bytes) that are that similar and collide."""
+def near_links(found: DataFrame, threshold: float = THRESHOLD, group_rows: int = GROUP_ROWS, bucket_rows: int = GROUP_ROWS, rounds: int = ROUNDS, more: DataFrame | None = None) -> DataFrame:
+    """(u, v) ids: links with the components of all pairs of the distinct sets of ``found`` (id long, bands, shingles of 4 bytes) that are that similar and collide
+    in a band or in a bucket of ``more`` (id, bucket)."""
     keys = found.select("id", F.explode("bands").alias("bucket"))
+    if more is not None:
+        keys = keys.unionByName(more)
     own = F.hash("id")
     shared = materialize(keys.groupBy("bucket").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").select("bucket"), "shared-buckets")
     colliding = materialize(keys.join(shared, "bucket").distinct().select("id", "bucket"), "colliding")

@@ -7,9 +7,10 @@ whose population counts differ beyond r. A bucket larger than a group is dealt o
 and a hash, with the same skip. A group returns a spanning forest of its links, not the links. Components of the forests are
 those of all links.
 
-The pipeline's stage goes by another rule: texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Their
-fingerprints differ in about 10 of 64 bits and often in 15, and buckets for such a radius are 4 bits wide, which is all pairs;
-so its candidates come from MinHash bands (0.997 of pairs at 0.8, more above), and each is verified on the whole texts.
+The pipeline's stage drops texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Its candidates are the texts whose fingerprints,
+of these shingles, are linked by the same tiled comparison at 3 bits, which are the closest copies. At 0.8 fingerprints differ in about 10 of 64 bits and often in 15, and buckets
+for such a radius are 4 bits wide, which is all pairs; so MinHash bands add what is further apart (0.997 of pairs at 0.8, more above). Every
+candidate is verified on the whole texts.
 
 Defined cases: a null or empty text has fingerprint zero and is linked as any other; fewer than three words are one
 shingle; repeated rows share a component; a null doc_id is never a component's id while there is another (in
@@ -46,10 +47,14 @@ def fingerprint(text: str | None) -> int:
         return 0
     n = max(1, len(words) - SHINGLE + 1)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False)) if n > 1 or len(words) == SHINGLE else iter([b" ".join(words)])
-    hashes = np.fromiter(map(_xxh64, shingles), dtype="<u8", count=n)
-    ones = np.zeros(64, dtype=np.int64)
+    return majority(np.fromiter(map(_xxh64, shingles), dtype="<u8", count=n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes."""
+    ones, n = np.zeros(64, dtype=np.int64), len(hashes)
     for at in range(0, n, 1 << 14):
-        part = hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8)
+        part = hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
@@ -199,6 +204,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: Bits by which fingerprints of five-word shingles may differ for their texts to be compared, whatever their bands.
+STAGE_RADIUS = 3
 #: MinHash bands of whole texts: a pair at 0.8 collides with probability 1 - (1 - 0.8^3)^8 = 0.997.
 BANDS, ROWS = 8, 3
 _NO_WORDS = np.zeros(1, dtype=np.uint64)
@@ -209,15 +216,16 @@ def _words(text: str | None) -> np.ndarray:
     return words if len(words) else _NO_WORDS
 
 
-@F.pandas_udf(T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+@F.pandas_udf(T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
 def _whole_texts(texts: pd.Series) -> pd.DataFrame:
-    digests, bands = [], []
+    digests, prints, bands = [], [], []
     for at in range(0, len(texts), 200):
         words = list(map(_words, texts.iloc[at : at + 200]))
         shingles = list(map(shingles_of, words))
         digests += map(xxhash.xxh3_128_digest, words)
+        prints += map(majority, shingles)
         bands += list(band_keys(np.concatenate(shingles), np.cumsum([0, *map(len, shingles[:-1])]), BANDS, ROWS))
-    return pd.DataFrame({"digest": digests, "bands": bands})
+    return pd.DataFrame({"digest": digests, "fp": np.array(prints, dtype=np.uint64).view(np.int64), "bands": bands})
 
 
 @F.pandas_udf(T.BinaryType())
@@ -225,15 +233,23 @@ def _whole_shingles(texts: pd.Series) -> pd.Series:
     return pd.Series([kept_shingles(shingles_of(_words(t))) for t in texts], dtype="object")
 
 
+def fingerprint_buckets(rows: DataFrame, radius: int = STAGE_RADIUS) -> DataFrame:
+    """(id, bucket) for ``rows`` (id, fp): one bucket for all whose fingerprints can be reached in steps of ``radius`` bits."""
+    fps = materialize(rows.select("fp").distinct(), "fingerprints")
+    linked = connected_components(near_links(fps, radius)).select(F.col("node").alias("fp"), "component")
+    return rows.join(linked, "fp", "left").select("id", F.xxhash64(F.lit("fingerprint"), F.coalesce("component", "fp")).alias("bucket"))
+
+
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each component of texts with that Jaccard similarity of five-word shingles, the one with the least doc_id; columns unchanged."""
     bounded_batches(docs.sparkSession)
     row = F.struct(*docs.columns).alias("row")
-    rows = materialize(docs.select(row, _whole_texts("text").alias("whole"), F.monotonically_increasing_id().alias("rid")), "near-copies").select("row", "rid", "whole.digest", "whole.bands")
+    rows = materialize(docs.select(row, _whole_texts("text").alias("whole"), F.monotonically_increasing_id().alias("rid")), "near-copies").select("row", "rid", "whole.digest", "whole.fp", "whole.bands")
     # Shingles are not stored: only those of colliding texts are made, after the semi-join.
     own = F.xxhash64("digest")
     found = rows.select(own.alias("id"), "bands", _whole_shingles("row.text").alias("shingles"))
-    linked = connected_components(jaccard_links(found, threshold)).withColumnRenamed("node", "id")
+    near = fingerprint_buckets(rows.select(own.alias("id"), "fp").distinct())
+    linked = connected_components(jaccard_links(found, threshold, more=near)).withColumnRenamed("node", "id")
     best = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), F.col("rid").alias("rid"))
     least = rows.groupBy("digest").agg(F.min(best).alias("best")).withColumn("id", own).join(linked, "id", "left")
     kept = least.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))
