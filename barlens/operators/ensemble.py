@@ -14,9 +14,6 @@ from barlens.operators import research, risk, stats
 from barlens.operators.expression import series
 from barlens.sources import scratch
 
-SCORES = "asset {asset}, t {t}, fold int, fitted double"
-
-
 def baseline_scores(rows: DataFrame, names: tuple[str, ...], warm: int = 20) -> DataFrame:
     """``rows`` with ``baseline``: the mean over features of their z-scores against the asset's own past and present, 0 where there are fewer than ``warm`` values or no spread."""
     so_far = series().rowsBetween(Window.unboundedPreceding, 0)
@@ -51,45 +48,51 @@ def fold_summary(scored: DataFrame, edge: float, least: int = 10) -> DataFrame:
     return d.withColumn("used", F.coalesce(quantised("past_fitted", 1e10) >= quantised(F.col("past_baseline") + edge, 1e10), F.lit(False)))
 
 
-def fitted_folds(rows: DataFrame, names: tuple[str, ...], start: int, every: int, horizon: int = 1, least: int = 100, trees: int = 10, depth: int = 3, seed: int = 42) -> tuple[DataFrame, list[dict]]:
-    """(asset, t, fold, fitted) from date number ``start`` on, and for each fold its number, its training rows and the features' shares in the trees.
+def fitted_folds(data: DataFrame, names: tuple[str, ...], start: int, every: int, horizon: int = 1, least: int = 100, trees: int = 10, depth: int = 3, seed: int = 42) -> tuple[DataFrame, list[dict]]:
+    """``data``, rows with their date's number ``i``, from number ``start`` on with ``fold`` and ``fitted``, and for each fold its number, its training rows and the
+    features' shares in the trees.
 
-    Rows are written once; the driver loops over folds, a number that grows with neither assets nor rows, and each fit is a Spark job over rows in an order
-    of their own, so that shuffled partitions give equal scores. Rows with a null feature have no score; folds of fewer than ``least`` training rows none at all."""
+    The driver loops over folds, a number that grows with neither assets nor rows, and each fit is a Spark job over rows in an order of their own, so that
+    shuffled partitions give equal scores. Rows with a null feature have no score; folds of fewer than ``least`` training rows none at all."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     complete = F.lit(True)
     for c in names:
         complete = complete & F.col(c).isNotNull()
-    data = scratch.written(research.dated(rows).where(complete), "folds")
     # One row a date.
-    by_date = {r["i"]: r["n"] for r in data.groupBy("i").agg(F.count("fwd").alias("n")).collect()}
+    by_date = {r["i"]: r["n"] for r in data.where(complete).groupBy("i").agg(F.count("fwd").alias("n")).collect()}
     v = VectorAssembler(inputCols=list(names), outputCol="__x")
-    out, folds = None, []
+    placed = data.where(F.col("i") >= start).withColumn("fold", F.floor((F.col("i") - start) / every).cast("int"))
+    blocks, folds, scored = [], [], F.lit(False)
     for fold, at in enumerate(range(start, max(by_date, default=-1) + 1, every)):
         known = at - horizon + 1
         n = sum(k for i, k in by_date.items() if i < known)
         folds.append({"fold": fold, "n_train": n, "importance": {}})
         if n < least:
             continue
-        train = data.where((F.col("i") < known) & F.col("fwd").isNotNull())
-        model = GBTRegressor(featuresCol="__x", labelCol="fwd", predictionCol="fitted", maxIter=trees, maxDepth=depth, seed=seed).fit(v.transform(risk.in_order(train, names, n)))
+        train = data.where(complete & (F.col("i") < known) & F.col("fwd").isNotNull()).select("asset", "t", *names, "fwd")
+        # A fit reads its rows more than once, and would shuffle them each time.
+        train = risk.in_order(train, names, n).persist()
+        model = GBTRegressor(featuresCol="__x", labelCol="fwd", predictionCol="fitted", maxIter=trees, maxDepth=depth, seed=seed).fit(v.transform(train))
+        train.unpersist()
         folds[-1]["importance"] = dict(zip(names, map(float, model.featureImportances.toArray()), strict=True))
-        block = data.where(F.col("i").between(at, at + every - 1)).withColumns({c: F.round(c, 10) for c in names})
-        one = model.transform(v.transform(block)).select("asset", "t", F.lit(fold).alias("fold"), "fitted")
-        out = one if out is None else out.unionByName(one)
-    kinds = dict(rows.dtypes)
-    return out if out is not None else rows.sparkSession.createDataFrame([], SCORES.format(**kinds)), folds
+        own = complete & (F.col("fold") == fold)
+        block = placed.where(own).withColumns({c: F.round(c, 10) for c in names})
+        blocks.append(model.transform(v.transform(block)).drop("__x"))
+        scored = scored | own
+    out = placed.where(~scored).withColumn("fitted", F.lit(None).cast("double"))
+    for block in blocks:
+        out = out.unionByName(block)
+    return out, folds
 
 
 def ensemble(rows: DataFrame, names: tuple[str, ...], start: int, every: int = 20, edge: float = 0.01, warm: int = 20, **fit) -> tuple[DataFrame, DataFrame]:
     """(scores, folds): (asset, t, fold, fitted, baseline, chosen, fwd) of every row from date number ``start`` on, and :func:`fold_summary` with each fold's
     training rows, the features' shares, the mean IC of what was chosen, and ``verdict``, whether the trees beat the baseline by ``edge`` over all dates."""
     spark = rows.sparkSession
-    fitted, info = fitted_folds(rows, names, start, every, **fit)
-    dated = research.dated(baseline_scores(rows, names, warm)).where(F.col("i") >= start).withColumn("fold", F.floor((F.col("i") - start) / every).cast("int"))
-    scored = scratch.written(dated.select("asset", "t", "fold", "baseline", "fwd").join(fitted, ["asset", "t", "fold"], "left"), "scored")
+    fitted, info = fitted_folds(research.dated(scratch.written(baseline_scores(rows, names, warm), "folds")), names, start, every, **fit)
+    scored = scratch.written(fitted.select("asset", "t", "fold", "baseline", "fwd", "fitted"), "scored")
     summary = fold_summary(scored, edge)
     used = summary.select("fold", "used")
     chosen = F.when(F.col("used"), F.coalesce("fitted", "baseline")).otherwise(F.col("baseline"))

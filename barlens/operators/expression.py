@@ -236,6 +236,10 @@ def evaluate(bars: DataFrame, expressions: dict[str, str | Node], libraries: dic
     # By depth, rolling nodes before cross-sectional ones, so that equal partitionings follow one another.
     for level in sorted({(depth(n), n.op in ("rank", "zscore")) for n in nodes.values()}):
         own = [n for n in nodes.values() if (depth(n), n.op in ("rank", "zscore")) == level]
+        if level[1]:  # what a date ranks is shuffled as one column, not as all the columns that it is made of
+            inner = {str(c): f"__a{len(stages) + i}" for i, c in enumerate(n.children[0] for n in own) if c.op in SCALARS and str(c) not in stages}
+            df = df.withColumns({inner[str(c)]: column(c) for c in (n.children[0] for n in own) if str(c) in inner})
+            stages.update(inner)
         made = {str(n): column(n) for n in own}
         names = {key: f"__n{len(stages) + i}" for i, key in enumerate(made)}
         df = df.withColumns({names[key]: c for key, c in made.items()})

@@ -76,7 +76,7 @@ def proposals(n: int | None = None) -> dict[str, str]:
 
 def dated(rows: DataFrame) -> DataFrame:
     """Adds ``i``, the number of the date from 0; the window is over one row a date."""
-    return rows.join(rows.select("t").distinct().withColumn("i", F.row_number().over(Window.orderBy("t")) - 1), "t")
+    return rows.join(F.broadcast(rows.select("t").distinct().withColumn("i", F.row_number().over(Window.orderBy("t")) - 1)), "t")
 
 
 def meta_dataset(rows: DataFrame, names: tuple[str, ...], train_end: int, embargo: int = 5, warm: int = 40, cost_bps: float = 0.0) -> DataFrame:

@@ -131,8 +131,7 @@ FOLD_START, FOLD_EVERY, EDGE = 30, 15, 0.01
 
 def _ensemble(spark, sf_dir):
     bars = views.supplier_bars(spark, sf_dir)
-    rows = scratch.written(selection.with_forward(bars, LEARNED), "learned")
-    return ensemble.ensemble(rows, tuple(LEARNED), FOLD_START, FOLD_EVERY, EDGE)
+    return ensemble.ensemble(selection.with_forward(bars, LEARNED), tuple(LEARNED), FOLD_START, FOLD_EVERY, EDGE)
 
 
 def ensemble_folds(spark, sf_dir):
