@@ -25,47 +25,43 @@ def gateway_events(spark, sf_dir) -> DataFrame:
     An order of status P is judged in panic. Lines of one part bear one number in a customer's quarter, so some numbers come again; returned lines were rejects."""
     orders, lines = views.table(spark, sf_dir, "orders"), views.table(spark, sf_dir, "lineitem")
     control = F.create_map(*[F.lit(x) for kv in CONTROL.items() for x in kv])
-    none = F.lit(None)
-    flat = lambda kind, at, side=none, **c: [
-        c.get("account", F.col("o_custkey")).alias("account"), c.get("day", F.col("o_orderdate")).alias("day"), F.col("o_orderkey").alias("order"), F.lit(at).alias("stage"), c.get("line", F.lit(0)).cast("int").alias("line"),
-        kind.alias("kind"), c.get("order_id", none).cast("string").alias("order_id"), c.get("asset", none).cast("long").alias("asset"), side.cast("string").alias("side"),
-        c.get("qty", F.lit(0.0)).alias("qty"), c.get("price", F.lit(0.0)).alias("price"),
-    ]
-    first = orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("o_orderdate")).withColumn("o_orderkey", F.lit(-1).cast("long"))
     # Line numbers repeat within some orders; a place of its own makes the order total.
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"))
-    j = lines.withColumn("place", place).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    line = {
-        "line": F.col("place"),
-        "order_id": F.concat_ws("-", F.year("o_orderdate"), F.quarter("o_orderdate"), F.col("l_partkey") % 40),
-        "asset": F.col("l_partkey") % 8,
-        "qty": F.col("l_quantity"),
-        "price": F.col("l_extendedprice") / F.col("l_quantity"),
-    }
+    j = lines.withColumn("place", place).join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "right")
     side = F.when((F.col("l_linenumber") + F.col("o_orderkey")) % 3 == 0, "sell").otherwise("buy")
-    events = first.select(flat(F.lit("equity"), 0, price=F.lit(EQUITY)))
-    for part in (
-        orders.where(F.col("o_orderpriority").isin(*CONTROL)).select(flat(control[F.col("o_orderpriority")], 1)),
-        orders.where("o_orderstatus = 'P'").select(flat(F.lit("panic"), 2)),
-        j.select(flat(F.lit("order"), 3, side, **line)),
-        orders.where("o_orderstatus = 'P'").select(flat(F.lit("calm"), 4)),
-        j.select(flat(F.when(F.col("l_returnflag") == "R", "reject").otherwise("fill"), 5, side, **line)),
-    ):
-        events = events.unionByName(part)
-    own = Window.partitionBy("account").orderBy("day", "order", "stage", "line")
-    batch = Window.partitionBy("account", "order").orderBy("day", "stage", "line")
-    ends = (F.col("kind") != "order") | (F.coalesce(F.lead("stage").over(batch), F.lit(-1)) != 3)
-    return events.withColumns({"seq": F.row_number().over(own).cast("long"), "ends": ends}).select("account", *gateway.COLUMNS)
+    # One row a line (or an order without any) to its account; only there is it made into events.
+    j = j.select(
+        F.col("o_custkey").alias("account"), F.col("o_orderdate").alias("day"), F.col("o_orderkey").alias("order"), "place", control[F.col("o_orderpriority")].alias("control"), (F.col("o_orderstatus") == "P").alias("panics"),
+        F.concat_ws("-", F.year("o_orderdate"), F.quarter("o_orderdate"), F.col("l_partkey") % 40).alias("order_id"), (F.col("l_partkey") % 8).cast("long").alias("asset"), side.alias("side"),
+        F.col("l_quantity").cast("double").alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("price"), (F.col("l_returnflag") == "R").alias("returned"),
+    )
+    whole = Window.partitionBy("account")
+    j = j.withColumns({"k": F.row_number().over(whole.orderBy("day", "order", "place")), "begins": F.min("day").over(whole)})
+    line, head = F.col("place").isNotNull(), F.coalesce(F.col("place") == 1, F.lit(True))
+    plain = {"line": F.lit(0), "order_id": F.lit(None).cast("string"), "asset": F.lit(None).cast("long"), "side": F.lit(None).cast("string"), "qty": F.lit(0.0), "price": F.lit(0.0)}
+    own = {"line": F.col("place"), **{c: F.col(c) for c in ("order_id", "asset", "side", "qty", "price")}}
+    event = lambda stage, when, kind, of=plain: F.when(when, F.struct(F.lit(stage).alias("stage"), kind.alias("kind"), *[c.alias(n) for n, c in of.items()]))
+    made = F.array(
+        event(0, F.col("k") == 1, F.lit("equity"), plain | {"price": F.lit(EQUITY)}), event(1, head & F.col("control").isNotNull(), F.col("control")), event(2, head & F.col("panics"), F.lit("panic")),
+        event(3, line, F.lit("order"), own), event(4, head & F.col("panics"), F.lit("calm")), event(5, line, F.when(F.col("returned"), "reject").otherwise("fill"), own),
+    )
+    events = j.select("account", "day", "order", "begins", F.explode(F.array_compact(made)).alias("e")).select("account", "day", "order", "begins", "e.*")
+    first = F.col("stage") == 0
+    events = events.withColumns({"day": F.when(first, F.col("begins")).otherwise(F.col("day")), "order": F.when(first, F.lit(-1)).otherwise(F.col("order"))})
+    # All of an order's intents come before what became of them, so one order of an account's events shows where a batch ends, too.
+    ordered = whole.orderBy("day", "order", "stage", "line")
+    ends = (F.col("kind") != "order") | (F.coalesce(F.lead("stage").over(ordered), F.lit(-1)) != 3)
+    return events.withColumns({"seq": F.row_number().over(ordered).cast("long"), "ends": ends}).select("account", *gateway.COLUMNS)
 
 
 def pretrade_gateway(spark, sf_dir):
     """What became of every line of every order."""
-    return gateway.judged(gateway_events(spark, sf_dir), LIMITS)
+    return gateway.judged(gateway_events(spark, sf_dir), LIMITS, ordered=True)
 
 
 def gateway_reasons(spark, sf_dir):
     """How often each customer was denied for each reason."""
-    out = gateway.judged(gateway_events(spark, sf_dir), LIMITS)
+    out = gateway.judged(gateway_events(spark, sf_dir), LIMITS, ordered=True)
     return out.groupBy("account", "reason").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
 
 

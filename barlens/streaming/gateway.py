@@ -16,8 +16,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
+from itertools import count, islice
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -48,7 +51,8 @@ class Account:
     waiting: list[list] = field(default_factory=list)
 
     def note(self, rejected: bool, limits: Limits) -> None:
-        self.outcomes = [*self.outcomes, rejected][-limits.window :]
+        self.outcomes.append(rejected)
+        del self.outcomes[: -limits.window]
 
     def reason(self, order_id: str, asset: str, side: str, qty: float, price: float, bought: set[str], limits: Limits) -> str:
         if self.panic:
@@ -99,17 +103,19 @@ class Account:
 
     def take(self, events: list[tuple], limits: Limits) -> list[tuple[int, str, str]]:
         """Answers to whatever whole batches the events complete; the rest waits, in any order of arrival. A number that was judged before is ignored."""
-        self.waiting = sorted({e[0]: list(e) for e in [*self.waiting, *events] if e[0] >= self.next_seq}.values())
-        out, batch = [], []
-        for e in self.waiting:
+        if self.waiting or any(e[0] != n for e, n in zip(events, count(self.next_seq))):  # else they are the next ones, in order
+            events = sorted({e[0]: list(e) for e in [*self.waiting, *events] if e[0] >= self.next_seq}.values())
+        out, batch, done = [], [], 0
+        for e in events:
             if e[0] != self.next_seq + len(batch):
                 break
             batch.append(tuple(e))
             if e[7]:
                 out += self.judge(batch, limits)
                 self.next_seq += len(batch)
+                done += len(batch)
                 batch = []
-        self.waiting = [e for e in self.waiting if e[0] >= self.next_seq]
+        self.waiting = [list(e) for e in events[done:]]
         return out
 
 
@@ -125,22 +131,41 @@ def _answers(account, found: list[tuple[int, str, str]]) -> pd.DataFrame:
     return pd.DataFrame([(account, seq, order_id, not reason, reason) for seq, order_id, reason in found], columns=["account", "seq", "order_id", "allowed", "reason"])
 
 
-def judged(events: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
-    """Answers to a whole table. A task reads its accounts' events in order and holds one account's state and batch, so no account is collected."""
+def _columns(events: pa.RecordBatch) -> Iterator[tuple]:
+    """The same from an Arrow batch, without pandas."""
+    of = {c: events.column(c) for c in COLUMNS}
+    of["asset"] = pc.cast(of["asset"], pa.string())
+    for c in ("qty", "price"):
+        of[c] = pc.fill_null(pc.cast(of[c], pa.float64()), float("nan"))
+    # Whole arrays at once: to_pylist makes an object of Arrow's of each value first.
+    return zip(*(of[c].to_numpy(zero_copy_only=False).tolist() for c in COLUMNS), strict=True)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def judged(events: DataFrame, limits: Limits = Limits(), ordered: bool = False) -> DataFrame:  # noqa: B008
+    """Answers to a whole table. A task reads its accounts' events in order and holds one account's state and batch, so no account is collected.
+
+    ``ordered``: each account's events lie in one partition in the order of their numbers, as the window that numbered them leaves them, and are not shuffled again."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         account = state = None
         for part in parts:
-            out = []
-            for name, own in part.groupby("account", sort=False):
+            names, out, rows, at = [], [], _columns(part), 0
+            runs = pc.run_end_encode(part.column("account"))
+            for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
                 if name != account:
                     account, state = name, Account()
-                out.append(_answers(account, state.take(_rows(own), limits)))
-            if out:
-                yield pd.concat(out)
-
-    ordered = events.where("account is not null").select("account", *COLUMNS).repartition("account").sortWithinPartitions("account", "seq")
-    return ordered.mapInPandas(run, _schema(events))
+                found = state.take(list(islice(rows, end - at)), limits)
+                names += [name] * len(found)
+                out += found
+                at = end
+            seq, order_id, reason = zip(*out, strict=True) if out else ((), (), ())
+            columns = [pa.array(names, part.schema.field("account").type), pa.array(seq, pa.int64()), pa.array(order_id, pa.string()), pa.array([not r for r in reason], pa.bool_()), pa.array(reason, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["account", "seq", "order_id", "allowed", "reason"])
+
+    placed = events.where("account is not null").select("account", *COLUMNS)
+    if not ordered:
+        placed = placed.repartition("account").sortWithinPartitions("account", "seq")
+    return placed.mapInArrow(run, _schema(events))
 
 
 def judged_stream(events: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
