@@ -184,14 +184,22 @@ def windows_report(returns: DataFrame, windows: list[tuple[str, str, str]]) -> D
     return j.groupBy("window").agg((F.product(1 + F.col("r")) - 1).alias("ret"), F.count(F.lit(1)).alias("n"))
 
 
+def dealt_assets(assets: DataFrame, n: int, each: int = 500) -> DataFrame:
+    """``n`` assets (asset) in partitions of some ``each``, by asset: days that are made from them there need no shuffle of their own. The number is
+    given, as one that goes by the size of the assets alone would leave all days to a task or two."""
+    least = int(assets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return assets.repartition(max(-(-n // each), min(least, max(n, 1))), "asset")
+
+
 def synthetic_bars(spark: SparkSession, n_assets: int, n_days: int, seed: int = 1) -> DataFrame:
     """Bars of random walks on numbered assets and days."""
-    days = spark.range(n_assets).select(F.col("id").alias("asset")).withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(n_days - 1))))
+    assets = dealt_assets(spark.range(n_assets).select(F.col("id").alias("asset")), n_assets)
+    days = assets.withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(n_days - 1))))
     return synthetic_walks(days.withColumn("t", F.date_add(F.lit("2020-01-01").cast("date"), F.col("day"))), seed)
 
 
 def synthetic_walks(days: DataFrame, seed: int = 1) -> DataFrame:
-    """Bars of a random walk from hashes of (asset, day) of ``days`` (asset, day, t), the same on every run and cluster."""
+    """Bars of a random walk from hashes of (asset, day) of ``days`` (asset, day, t), the same on every run and cluster. Days that lie by asset are not shuffled."""
     u = lambda k: (F.pmod(F.xxhash64("asset", "day", F.lit(seed), F.lit(k)), F.lit(1_000_003)) + 1) / 1_000_005.0
     z = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * np.pi * u(2))
     d = days.select("asset", "t", (0.0004 + 0.02 * z).alias("r"), u(3).alias("v"))

@@ -156,7 +156,7 @@ def synthetic(spark, sf_dir):
     assets = views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("asset"))
     # A calendar of some thousand dates, whatever the size of the tables.
     calendar = views.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("t")).distinct()
-    days = assets.crossJoin(F.broadcast(calendar)).withColumn("day", F.datediff("t", F.lit("1990-01-01").cast("date")))
+    days = backtest.dealt_assets(assets, assets.count()).crossJoin(F.broadcast(calendar)).withColumn("day", F.datediff("t", F.lit("1990-01-01").cast("date")))
     return backtest.synthetic_walks(days)
 
 
