@@ -33,9 +33,21 @@ def _candidates(spark, sf_dir):
     return selection.candidates(bars, {k: e for k, (e, _) in CANDIDATES.items()})
 
 
+def _judged(rows, exprs, n=None):
+    of = F.create_map(*[F.lit(x) for kv in exprs.items() for x in kv])
+    return selection.gated(selection.candidate_stats(rows, n=n).withColumn("expression", of[F.col("name")]))
+
+
+def _listed(spark, sf_dir, exprs):
+    """Candidates of ``exprs`` from written scores, and how many rows they are at most: the scores' files know their number."""
+    wide = scratch.written(selection.with_forward(views.supplier_bars(spark, sf_dir), exprs), "scores")
+    return selection.each(wide, exprs), wide.count() * len(exprs)
+
+
 def _gated(spark, sf_dir):
-    of = F.create_map(*[F.lit(x) for k, (e, _) in CANDIDATES.items() for x in (k, e)])
-    return selection.gated(selection.candidate_stats(_candidates(spark, sf_dir)).withColumn("expression", of[F.col("name")]))
+    exprs = {k: e for k, (e, _) in CANDIDATES.items()}
+    rows, n = _listed(spark, sf_dir, exprs)
+    return _judged(rows, exprs, n)
 
 
 def gates(spark, sf_dir):
