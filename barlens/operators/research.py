@@ -238,10 +238,11 @@ def nested_targets(alpha: DataFrame, covariance: DataFrame | structured.Structur
     return d.join(target, "asset").select("asset", "raw", "slippage", "target", (F.col("target") - F.col("w")).alias("change"))
 
 
-def research_run(rows: DataFrame, prices: DataFrame, equity: float, n_hold: int, cap: float = 0.2, lot: int = 1) -> DataFrame:
+def research_run(rows: DataFrame, prices: DataFrame, equity: float, n_hold: int, cap: float = 0.2, lot: int = 1, n: int | None = None) -> DataFrame:
     """(asset, score, weight, shares): from stacked candidates (name, asset, t, score, fwd) and the last date's ``prices`` (name, asset, score, price)
-    to orders. Candidates weigh by their ICIR; z-scores of the last date are summed by weight; the ``n_hold`` best share the equity."""
-    w = selection.candidate_stats(rows).select("name", "icir")
+    to orders. Candidates weigh by their ICIR; z-scores of the last date are summed by weight; the ``n_hold`` best share the equity.
+    ``n``: the number of ``rows``, if it is known, for :func:`selection.candidate_stats`."""
+    w = selection.candidate_stats(rows, n=n).select("name", "icir")
     w = w.crossJoin(F.broadcast(w.agg(F.sum(F.abs("icir")).alias("total")))).select("name", F.coalesce(F.try_divide("icir", "total"), F.lit(0.0)).alias("share"))
     by = Window.partitionBy("name")
     sd = F.stddev_pop("score").over(by)

@@ -114,12 +114,12 @@ def mean_correlations(rows: DataFrame, least: int = 3) -> DataFrame:
     return rank_products(rows).where(F.col("n") >= least).select("a", "b", product_correlation().alias("corr")).groupBy("a", "b").agg(F.avg("corr").alias("corr"))
 
 
-def screened(rows: DataFrame, expressions: dict[str, str], n_trials: int, exposures: DataFrame | None = None, styles: tuple[str, ...] = (), dsr: float = 0.5, orthogonal: float = 0.01, **gates: float) -> DataFrame:
+def screened(rows: DataFrame, expressions: dict[str, str], n_trials: int, exposures: DataFrame | None = None, styles: tuple[str, ...] = (), dsr: float = 0.5, orthogonal: float = 0.01, n: int | None = None, **gates: float) -> DataFrame:
     """(name, expression, ic, icir, monotonicity, long_short, nodes, dsr, orthogonal_ic, passed, score): every candidate with what each gate looks at.
 
-    The gate of orthogonality is open where no ``exposures`` are given."""
+    The gate of orthogonality is open where no ``exposures`` are given. ``n``: the number of ``rows``, if it is known, for :func:`selection.candidate_stats`."""
     of = F.create_map(*[F.lit(x) for kv in expressions.items() for x in kv])
-    d = selection.gated(selection.candidate_stats(rows).withColumn("expression", of[F.col("name")]), **gates).join(deflated_ratio(ic_by_date(rows), n_trials), "name", "left")
+    d = selection.gated(selection.candidate_stats(rows, n=n).withColumn("expression", of[F.col("name")]), **gates).join(deflated_ratio(ic_by_date(rows), n_trials), "name", "left")
     d = d.join(orthogonal_ic(rows, exposures, styles), "name", "left") if exposures is not None else d.withColumn("orthogonal_ic", F.lit(None).cast("double"))
     passed = F.col("passed") & (F.coalesce("dsr", F.lit(0.0)) >= dsr)
     if exposures is not None:

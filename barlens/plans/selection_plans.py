@@ -67,7 +67,7 @@ def factor_selection(spark, sf_dir):
     bars = scratch.written(views.supplier_bars(spark, sf_dir), "bars")
     rows = selection.candidates(bars, {k: e for k, (e, _) in POOL.items()})
     rows = scratch.written(rows, "candidates")
-    out = screening.select_factors(rows, {k: e for k, (e, _) in POOL.items()}, N_TRIALS, 3, exposures=risk.style_exposures(bars), styles=("momentum",), dsr=LEAST_DSR, orthogonal=LEAST_ORTHOGONAL)
+    out = screening.select_factors(rows, {k: e for k, (e, _) in POOL.items()}, N_TRIALS, 3, exposures=risk.style_exposures(bars), styles=("momentum",), dsr=LEAST_DSR, orthogonal=LEAST_ORTHOGONAL, n=rows.count())
     return quantise(out, "name", "expression", "nodes", "passed", "place", "blocked_by")
 
 
