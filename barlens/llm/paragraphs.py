@@ -13,11 +13,14 @@ five words collide. They are linked if at most a fifth of the words have to be c
 A first pass over whole texts gives each paragraph's place, a 128-bit digest of its words (A-Z as a-z) and its band. Bands are
 aggregated to the least and greatest paragraph, so that a band that only copies share is dropped at once. A second pass gives the words of
 paragraphs whose bands are left, found by a bitmap of fixed size and then by a join; from then on equal paragraphs are one. Groups of
-bands go to tasks. Two paragraphs within four edits have three successive words in common behind the first five, so a band is parted by such runs;
-in each part all are compared with a centre, and by the triangle inequality only those between four and eight edits from it need be
+bands go to tasks. Two paragraphs within four edits have three successive words in common behind the first five, so a band is parted by such runs.
+They also have all words but four in common, and so, in any one order of words, one of the first five of each: with the rarest words first,
+paragraphs made from one form with other words in its gaps, of which few are near, seldom meet. A part of more than PART_ROWS paragraphs goes to the buckets of
+its five rarest words, and these again, as long as that halves the pairs at least.
+In each bucket all are compared with a centre, and by the triangle inequality only those between four and eight edits from it need be
 compared with the ones it takes. A task returns fewer links than it has paragraphs. A band with more than BAND_ROWS distinct
-paragraphs does not go to one task: each of them goes to the buckets of its own three-word runs, and only what is still large there is dealt
-out as pairs of tiles.
+paragraphs does not go to one task: each of them goes to the buckets of its own five rarest words, by counts in a table of fixed size, and only what is
+still large there is dealt out as pairs of tiles.
 
 What is reported are the paragraphs whose component stands in two rows or more. The first paragraph of each component (least
 doc_id, then place) stays, the others are removed. Where a removed paragraph and the next one in the text go on like the
@@ -42,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import batches_of, materialize, read_table
-from ._shingles import SHINGLE, shingles_of, words_of
+from ._shingles import SHINGLE, mixed, shingles_of, words_of
 from .components import connected_components
 
 #: Words of a paragraph, and places of which one begins one.
@@ -51,8 +54,10 @@ THRESHOLD = 0.8
 #: Words of the runs that part a large band, and bits of the bitmap of bands.
 RUN = 3
 BITMAP_BITS = 24
-#: Rows of a group of bands on average, and those from which a band is parted.
-GROUP_ROWS, BAND_ROWS = 1024, 20_000
+#: Rows of a group of bands on average, those from which a band is parted, and those from which a part within a task is.
+GROUP_ROWS, BAND_ROWS, PART_ROWS = 1024, 20_000, 64
+#: Bits of the table that counts the words of large bands.
+COUNT_BITS = 18
 #: Characters of the texts that a task cuts together.
 BLOCK_CHARS = 1_000_000
 
@@ -216,19 +221,78 @@ def sharing(words: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         label = after
 
 
+def numbered(words: np.ndarray) -> np.ndarray:
+    """The words behind the band's five, row by row in order of their hashes; a word's second place in a row and further ones count as words of their own."""
+    rest = np.sort(words[:, SHINGLE:], axis=1)
+    at = np.broadcast_to(np.arange(rest.shape[1]), rest.shape)
+    first = np.maximum.accumulate(np.where(np.diff(rest, axis=1, prepend=~rest[:, :1]) != 0, at, 0), axis=1)
+    return rest ^ (at - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def rarest(words: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` + 1 words of each row that have the least ``counts``, ties to the lesser word. Rows of equally many words, all different,
+    that have all but ``most`` in common have one of these in common, as long as a word's count is the same in both."""
+    return np.lexsort((words, counts), axis=1)[:, : most + 1]
+
+
+def parted(words: np.ndarray, bucket: np.ndarray, most: int, part_rows: int = PART_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket): for all pairs of rows of a ``bucket`` within ``most`` edits a bucket that holds both. Buckets of more than ``part_rows`` rows are parted by
+    their rarest words, the parts again by the words that are rare in them, as long as that halves the number of pairs."""
+    own, row, found, below = numbered(words), np.arange(len(words)), [], 0
+    while len(row):
+        _, bucket, size = np.unique(bucket, return_inverse=True, return_counts=True)
+        large = size[bucket] > part_rows
+        found.append((row[~large], bucket[~large] + below))
+        below += len(size)
+        row, bucket = row[large], bucket[large]
+        if not len(row):
+            break
+        keys = own[row]
+        _, code, counts = np.unique(mixed(keys ^ mixed(bucket.astype(np.uint64) + np.uint64(1))[:, None]), return_inverse=True, return_counts=True)
+        code = code.reshape(keys.shape)
+        code = np.take_along_axis(code, rarest(keys, counts[code], most), 1)
+        n = np.bincount(code.ravel())
+        # Each row of a part stands for as many pairs as the part has rows.
+        pairs = np.bincount(bucket, weights=n[code].sum(axis=1), minlength=len(size))
+        spared = (2 * pairs <= size.astype(float) ** 2)[bucket]
+        found.append((row[~spared], bucket[~spared] + below))
+        below += len(size)
+        row, bucket = np.repeat(row[spared], code.shape[1]), code[spared].ravel()
+        met = n[bucket] > 1
+        row, bucket = row[met], bucket[met]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (row, bucket)
+
+
+def forest_of(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer than ``n`` links with the components of the links between rows below ``n``."""
+    label = np.arange(n)
+    while True:
+        a, b = label[u], label[v]
+        apart = a != b
+        if not apart.any():
+            break
+        np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (label != label[label]).any():
+            label = label[label]
+    linked = np.flatnonzero(label != np.arange(n))
+    return linked, label[linked]
+
+
 def edit_forest(ids: np.ndarray, words: np.ndarray, bucket: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links with the components of all pairs within a bucket that are within ``most`` edits, fewer than there are rows.
 
-    In rounds, all buckets at once: a bucket's centre is compared with its rows. Those within ``most`` are linked to it and done, as what is more than twice ``most``
+    In rounds, all parts of buckets at once: a part's centre is compared with its rows. Those within ``most`` are linked to it and done, as what is more than twice ``most``
     from the centre cannot be within ``most`` of them; rows in between are linked to one of those that are done, if any is near. The rest go on."""
     links: list[tuple[np.ndarray, np.ndarray]] = []
     _, bucket = np.unique(bucket, return_inverse=True)
-    bucket = sharing(words, bucket)
-    rows = np.argsort(bucket, kind="stable")
+    rows, bucket = parted(words, sharing(words, bucket), most)
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
     while len(rows):
-        first = np.flatnonzero(np.append(True, np.diff(bucket[rows]) != 0))
+        first = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
         size = np.diff(np.append(first, len(rows)))
-        rows, first, size = rows[np.repeat(size > 1, size)], None, size[size > 1]
+        several = np.repeat(size > 1, size)
+        rows, bucket, size = rows[several], bucket[several], size[size > 1]
         if not len(rows):
             break
         first = np.cumsum(size) - size
@@ -257,10 +321,10 @@ def edit_forest(ids: np.ndarray, words: np.ndarray, bucket: np.ndarray, most: in
                 left, far = left[keep], far[keep]
                 if not len(left):
                     break
-        rows = rows[~near]
+        rows, bucket = rows[~near], bucket[~near]
     if not links:
         return ids[:0], ids[:0]
-    u, v = (np.concatenate(x) for x in zip(*links, strict=True))
+    u, v = forest_of(*(np.concatenate(x) for x in zip(*links, strict=True)), len(words))
     return ids[u], ids[v]
 
 
@@ -269,21 +333,36 @@ def edit_links(found: DataFrame, threshold: float = THRESHOLD, width: int = WIDT
     most = int((1 - threshold) * width + 1e-9)
     large = materialize(found.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows).select("band"), "large-bands")
 
-    def by_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each paragraph once for each of its runs."""
-        for batch in batches:
-            raw = batch.column("words").to_pylist()
-            if raw:
-                keys = runs_of(np.frombuffer(b"".join(raw), "<u8").reshape(len(raw), width))
-                row = pa.array(np.repeat(np.arange(len(raw)), keys.shape[1]))
-                keys = keys ^ batch.column("band").to_numpy().view(np.uint64)[:, None]
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(row), pa.array(keys.reshape(-1).view(np.int64))], names=["id", "bucket"])
-
-    parted = found.join(large, "band", "left_semi").select("id", "band", "words").mapInArrow(by_runs, "id long, bucket long").distinct()
-    parted = materialize(parted, "parted-bands")
-    shared = parted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    def keys_of(batch: pa.RecordBatch) -> np.ndarray:
+        """Each paragraph's words, apart from band to band."""
+        words = np.frombuffer(b"".join(batch.column("words").to_pylist()), "<u8").reshape(batch.num_rows, width)
+        return mixed(numbered(words) ^ mixed(batch.column("band").to_numpy().view(np.uint64))[:, None])
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+        for batch in filter(len, batches):
+            total += np.bincount((keys_of(batch) >> np.uint64(64 - COUNT_BITS)).ravel().astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    inside = found.join(large, "band", "left_semi").select("id", "band", "words")
+    by = inside.mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+    table[by.column("at").to_numpy()] = by.column("n").to_numpy()
+    table = found.sparkSession.sparkContext.broadcast(table)
+
+    def by_rare_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each paragraph once for each of its rarest words."""
+        for batch in filter(len, batches):
+            keys = keys_of(batch)
+            keys = np.take_along_axis(keys, rarest(keys, table.value[(keys >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], most), 1)
+            row = pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(row), pa.array(keys.ravel().view(np.int64))], names=["id", "bucket"])
+
+    spread = materialize(inside.mapInArrow(by_rare_words, "id long, bucket long"), "parted-bands")
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     small = found.join(large, "band", "left_anti").select("id", F.col("band").alias("bucket"), F.lit(1).cast("long").alias("n"))
-    keyed = materialize(small.unionByName(parted.join(shared, "bucket").select("id", "bucket", "n")), "buckets")
+    keyed = materialize(small.unionByName(spread.join(shared, "bucket").select("id", "bucket", "n")), "buckets")
     groups = max(1, -(-keyed.count() // group_rows))
     parts = F.ceil(F.col("n") / bucket_rows).cast("int")
     mine = F.pmod(F.xxhash64("id"), parts).cast("int")
