@@ -117,6 +117,19 @@ def look_back(node: Node) -> int:
     return inner + own
 
 
+def on_fields(node: Node) -> bool:
+    """Whether a rolling node reads fields of the bars and what rolls over them, and nothing else."""
+
+    def plain(n: Node) -> bool:
+        return n.op not in ("rank", "zscore") and (bool(n.children) or n.op == "const" or n.op in FIELDS) and all(map(plain, n.children))
+
+    return node.op in WINDOWED and plain(node)
+
+
+def rolls(node: Node) -> bool:
+    return node.op in WINDOWED or any(map(rolls, node.children))
+
+
 def size_of(node: Node) -> int:
     return 1 + sum(map(size_of, node.children))
 
