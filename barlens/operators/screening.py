@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.functions.columns import guarded_corr, normal_cdf
-from barlens.operators import selection
+from barlens.operators import blocks, selection
 from barlens.operators.expression import tied_rank, token_similarity
 from barlens.operators.selection import scored
+from barlens.sources import scratch
 
 #: Assets of a date that one task multiplies at most, on average.
 BLOCK_ASSETS = 20_000
@@ -55,11 +56,12 @@ def deflated_ratio(ic: DataFrame, n_trials: int, least: int = 10) -> DataFrame:
     return d.select("name", F.when((F.col("n") >= least) & (F.col("sd") > 1e-12), p).otherwise(0.0).alias("dsr"))
 
 
-def orthogonal_ic(rows: DataFrame, exposures: DataFrame, styles: tuple[str, ...], least: int = 10) -> DataFrame:
-    """(name, orthogonal_ic): mean rank-IC of what the exposures to styles leave of each candidate."""
+def orthogonal_ic(rows: DataFrame, exposures: DataFrame, styles: tuple[str, ...], least: int = 10, in_blocks: bool = False) -> DataFrame:
+    """(name, orthogonal_ic): mean rank-IC of what the exposures to styles leave of each candidate; ``in_blocks``: by :func:`blocks.stacked_sections`."""
     keyed = rows.withColumn("t", F.concat_ws(SEPARATOR, "name", F.col("t").cast("string")))
-    left = selection.residual_scores(keyed, exposures, styles).join(keyed.select("asset", "t", "name", "fwd"), ["asset", "t"])
-    return ic_by_date(left, least).groupBy("name").agg(F.avg("ic").alias("orthogonal_ic"))
+    left = selection.residual_scores(keyed, exposures, styles, keep=("name", "fwd"))
+    ic = blocks.stacked_sections(left).where(F.col("n") >= least) if in_blocks else ic_by_date(left, least)
+    return ic.groupBy("name").agg(F.avg("ic").alias("orthogonal_ic"))
 
 
 SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
@@ -119,8 +121,12 @@ def screened(rows: DataFrame, expressions: dict[str, str], n_trials: int, exposu
 
     The gate of orthogonality is open where no ``exposures`` are given. ``n``: the number of ``rows``, if it is known, for :func:`selection.candidate_stats`."""
     of = F.create_map(*[F.lit(x) for kv in expressions.items() for x in kv])
-    d = selection.gated(selection.candidate_stats(rows, n=n).withColumn("expression", of[F.col("name")]), **gates).join(deflated_ratio(ic_by_date(rows), n_trials), "name", "left")
-    d = d.join(orthogonal_ic(rows, exposures, styles), "name", "left") if exposures is not None else d.withColumn("orthogonal_ic", F.lit(None).cast("double"))
+    most = rows.groupBy("name", "t").count().agg(F.max("count")).first()[0] or 0
+    small = 3 * most <= blocks.CELLS
+    by_date = scratch.written(blocks.stacked_sections(rows) if small else selection.ranked_by_date(rows, n=n), "ranked")
+    found = selection.gated(selection.candidate_stats(rows, n=n, by_date=by_date).withColumn("expression", of[F.col("name")]), **gates)
+    d = found.join(deflated_ratio(by_date.where("n >= 10").select("name", "t", "ic"), n_trials), "name", "left")
+    d = d.join(orthogonal_ic(rows, exposures, styles, in_blocks=small), "name", "left") if exposures is not None else d.withColumn("orthogonal_ic", F.lit(None).cast("double"))
     passed = F.col("passed") & (F.coalesce("dsr", F.lit(0.0)) >= dsr)
     if exposures is not None:
         passed = passed & (F.abs(F.coalesce("orthogonal_ic", F.lit(0.0))) >= orthogonal)
@@ -147,7 +153,7 @@ def independent(candidates: list[dict], correlations: dict[tuple[str, str], floa
 def select_factors(rows: DataFrame, expressions: dict[str, str], n_trials: int, k: int = 5, limit: float = 0.7, alike: float = 0.7, **gates) -> DataFrame:
     """:func:`screened` with ``place`` (from 1; 0: not chosen) and ``blocked_by``, the chosen candidate that one is too much like."""
     spark = rows.sparkSession
-    candidates = screened(rows, expressions, n_trials, **gates)
+    candidates = scratch.written(screened(rows, expressions, n_trials, **gates), "screened")
     listed = [r.asDict() for r in candidates.select("name", "expression", "passed", "score").collect()]
     correlations = {(r["a"], r["b"]): r["corr"] for r in value_correlations(rows).collect()}
     places = [(name, place, by) for name, (place, by) in independent(listed, correlations, k, limit, alike).items()]
